@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
@@ -45,6 +45,23 @@ def bigrams(words: list[str]) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+#: Words that make poor anchors, being everywhere.
+COMMON = "a an and any are as at be by can for from in is it its not of on or that the this to under was will with you use work".split()
+
+
+def anchors(words: list[str], threshold: float) -> list[str]:
+    """Words of which a passage must hold one to reach the threshold: it shares at least need of the template's bigrams, and fewer
+    than that hold none of these words."""
+    left = set(bigrams(words))
+    need = threshold / 2 * (len(left) * threshold / (2 - threshold) + len(left))
+    out = []
+    while len(left) >= need:
+        best = max(sorted({w for b in left for w in b.split()}), key=lambda w: (w not in COMMON, len(w) >= 3, sum(w in b.split() for b in left) * len(w)))
+        out.append(best)
+        left = {b for b in left if best not in b.split()}
+    return out
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     templates = TEMPLATES if templates is None else templates
     if len(templates) > MAX_TEMPLATES:
@@ -56,16 +73,26 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     bounds = [(len(w) / ratio, len(w) * ratio) for w in parsed.values()]
     least, most = min((a for a, _ in bounds), default=0.0), max((b for _, b in bounds), default=0.0)
 
+    # a matching passage holds an anchor, and so does its text, as a plain substring: most texts go no further
+    needed = sorted({a for w in parsed.values() for a in anchors(w, threshold)})
+
+    def holds_anchor(c: Column) -> Column:
+        out = F.lit(False)
+        for a in needed:
+            out = out | c.contains(a)
+        return out
+
+    low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("__low")).where(holds_anchor(F.col("__low")))
     # one blank between words; line ends stay
-    normal = F.regexp_replace(F.lower(F.col("text").cast("string")), r"[^\p{L}\p{N}\n]+", " ")
-    lines = F.split("__text", r"\n")
+    rows = low.select("doc_id", F.regexp_replace("__low", r"[^\p{L}\p{N}\n]+", " ").alias("__text"))
     blocks = F.when(F.col("__text").rlike(r"\n *\n"), F.split("__text", r"\n *\n")).otherwise(F.array().cast("array<string>"))
-    words_of = lambda p: F.filter(F.split(p, r"[ \n]+"), lambda w: w != "")
-    # a blank passage has no blanks inside, one of n words at least n - 1: texts and blocks are measured by their blanks first
-    passages = F.concat(lines, blocks, F.array("__text"))
-    rough = F.filter(passages, lambda p: F.regexp_count(p, F.lit(r"[ \n]+")).between(int(least) - 1, int(most) + 1))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal.alias("__text")).where(F.col("__text").isNotNull())
-    rows = rows.select("doc_id", F.explode(F.array_distinct(F.transform(rough, lambda p: F.array_join(words_of(p), " ")))).alias("__p"))
+    whole = F.array(F.translate("__text", "\n", " "))
+    passages = F.concat(F.split("__text", r"\n"), F.transform(blocks, lambda b: F.translate(b, "\n", " ")), whole)
+    rows = rows.select("doc_id", F.explode(passages).alias("__p"))
+    # n words have n - 1 blanks between them, and two more at most on either side of each line end or edge
+    blanks = F.length("__p") - F.length(F.translate("__p", " ", ""))
+    rows = rows.where((blanks >= max(1, int(least) - 1)) & holds_anchor(F.col("__p")))
+    rows = rows.select("doc_id", F.trim(F.regexp_replace("__p", " +", " ")).alias("__p")).distinct()
     rows = rows.withColumn("__w", F.split("__p", " ")).withColumn("__n", F.size("__w")).where(F.col("__n").between(max(2, least), most) & (F.col("__n") >= 2))
     rows = rows.withColumn("__b", F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("__n") - 2), lambda i: F.concat_ws(" ", F.get("__w", i), F.get("__w", i + 1)))))
     scores = []
