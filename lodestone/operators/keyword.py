@@ -134,12 +134,12 @@ def _phrase(lexemes: list, at: int) -> tuple[Phrase, int]:
     return Phrase(tuple(words), prefix, first), at + prefix
 
 
-def phrases_of(tree: Query) -> list[Phrase]:
-    """Scored phrases in order; the right sides of NOT have none."""
+def phrases_of(tree: Query) -> list[tuple[Phrase, Near | None]]:
+    """Scored phrases in order, with the NEAR that each stands in; the right sides of NOT have none."""
     if isinstance(tree, Phrase):
-        return [tree]
+        return [(tree, None)]
     if isinstance(tree, Near):
-        return list(tree.phrases)
+        return [(p, tree) for p in tree.phrases]
     return phrases_of(tree.left) + (phrases_of(tree.right) if tree.op != "NOT" else [])
 
 
@@ -170,19 +170,27 @@ def _back(j: int):
     return lambda s: s - j
 
 
-def _near(near: Near, starts: dict[Phrase, Column]) -> Column:
-    """Some choice of one instance of each phrase with at most ``distance`` tokens between the end of the first and the start of the last:
-    every phrase has an instance inside a window that begins at some instance."""
+def _windows(near: Near, starts: dict[Phrase, Column]) -> Column:
+    """Starts of the spans that hold an instance of every phrase, with at most ``distance`` other tokens; each begins at an instance."""
     begins = F.array_distinct(F.concat(*(starts[p] for p in near.phrases)))
-    longest = sum(len(p.words) for p in near.phrases)
 
-    def window(w: Column) -> Column:
+    def full(w: Column) -> Column:
         ok = F.lit(True)
         for p in near.phrases:
-            ok = ok & (F.size(F.filter(starts[p], _inside(w, near.distance + longest, len(p.words)))) > 0)
+            ok = ok & (F.size(F.filter(starts[p], _inside(w, _room(near), len(p.words)))) > 0)
         return ok
 
-    return F.exists(begins, window)
+    return F.filter(begins, full)
+
+
+def _near_hits(phrase: Phrase, near: Near, starts: dict[Phrase, Column]) -> Column:
+    """Instances of the phrase inside such a span."""
+    windows = _windows(near, starts)
+    return F.size(F.filter(starts[phrase], lambda s: F.exists(windows, lambda w: _inside(w, _room(near), len(phrase.words))(s))))
+
+
+def _room(near: Near) -> int:
+    return near.distance + sum(len(p.words) for p in near.phrases)
 
 
 def _inside(w: Column, room: int, length: int):
@@ -193,7 +201,7 @@ def _matches(tree: Query, hits: dict[Phrase, Column], near_starts: dict[Phrase,
     if isinstance(tree, Phrase):
         return hits[tree] > 0
     if isinstance(tree, Near):
-        return _near(tree, near_starts)
+        return F.size(_windows(tree, near_starts)) > 0
     left, right = (_matches(t, hits, near_starts) for t in (tree.left, tree.right))
     return {"AND": left & right, "OR": left | right, "NOT": left & ~right}[tree.op]
 
@@ -201,7 +209,7 @@ def _matches(tree: Query, hits: dict[Phrase, Column], near_starts: dict[Phrase,
 def _all_phrases(tree: Query) -> list[Phrase]:
     if isinstance(tree, Node):
         return _all_phrases(tree.left) + _all_phrases(tree.right)
-    return phrases_of(tree)
+    return [tree] if isinstance(tree, Phrase) else list(tree.phrases)
 
 
 def search(docs: DataFrame, query: str, k: int | None = K, where: Column | None = None, digits: int | None = None) -> DataFrame:
@@ -229,8 +237,8 @@ def search(docs: DataFrame, query: str, k: int | None = K, where: Column | None
     positions = {m: F.col(f"__p{i}") for i, m in enumerate(matchers)}
     starts = {p: _starts(positions, p) for p in every}
     counts = {p: F.size(starts[p]) for p in every}
-    found = places.select("id", "__d", *(counts[p].alias(f"__f{i}") for i, p in enumerate(scored)), _matches(tree, counts, starts).alias("__match"))
-    frequencies = found.agg(*(F.coalesce(F.sum((F.col(f"__f{i}") > 0).cast("long")), F.lit(0)).alias(f"__df{i}") for i in range(len(scored))))
+    found = places.select("id", "__d", *(counts[p].alias(f"__c{i}") for i, (p, _) in enumerate(scored)), *((_near_hits(p, near, starts) if near else counts[p]).alias(f"__f{i}") for i, (p, near) in enumerate(scored)), _matches(tree, counts, starts).alias("__match"))
+    frequencies = found.agg(*(F.coalesce(F.sum((F.col(f"__c{i}") > 0).cast("long")), F.lit(0)).alias(f"__df{i}") for i in range(len(scored))))
 
     score = F.lit(0.0)
     repeats = phrases_of(tree)
