@@ -1,5 +1,82 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
+
+Trained models (op7, op8), tokenizer files (op3, op9), suffix arrays (op1) and Spark's 64-bit hashes (op5, op10) are
+beyond it; tests hold those against brute force.
+"""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from .license_scan import TEMPLATES, THRESHOLD
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_OP2 = rf"""
+WITH templates(license, words) AS (
+  SELECT k, string_split(trim(regexp_replace(lower(t), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')
+  FROM (VALUES {", ".join(f"({_literal(k)}, {_literal(t)})" for k, t in TEMPLATES.items())}) AS v(k, t)
+), sets AS (
+  SELECT license, len(words) AS n, list_distinct([words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) AS own FROM templates
+), low AS (
+  SELECT doc_id, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS text FROM documents WHERE text IS NOT NULL
+), raw AS (
+  SELECT doc_id, unnest(list_concat(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\n *\n')), [text])) AS p FROM low
+), passages AS (
+  SELECT DISTINCT doc_id, trim(regexp_replace(p, '[ \n]+', ' ', 'g')) AS p FROM raw
+), cut AS (
+  SELECT doc_id, p, string_split(p, ' ') AS w FROM passages WHERE p LIKE '% %'
+), near AS (
+  SELECT doc_id, license, own, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS b
+  FROM cut JOIN sets ON len(w) BETWEEN n * {THRESHOLD} / (2 - {THRESHOLD}) AND n * (2 - {THRESHOLD}) / {THRESHOLD}
+), scored AS (
+  SELECT doc_id, license, CAST(2 * len(list_intersect(b, own)) AS DOUBLE) / (len(b) + len(own)) AS dice FROM near
+)
+SELECT doc_id, license, max(dice) AS dice, count(*) AS n_passages FROM scored WHERE dice >= CAST({THRESHOLD} AS DOUBLE) GROUP BY doc_id, license
+"""
+
+# a call's need is the exchange before its own, so its step is its own turn
+_OP4 = """
+WITH turns AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, lower(role) AS role, text FROM conversations
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+), parts AS (
+  SELECT conv_id, turn, text, coalesce('"question":' || CAST(to_json(text) AS VARCHAR), '') AS question,
+    CASE WHEN turn >= 2 THEN '"needs":["call_' || (turn - 2) || '"]' ELSE '' END AS needs
+  FROM turns WHERE role = 'user'
+), calls AS (
+  SELECT conv_id, turn, text IS NOT NULL AS complete,
+    '{"turn":' || turn || CASE WHEN question <> '' THEN ',' || question ELSE '' END || CASE WHEN needs <> '' THEN ',' || needs ELSE '' END || '}' AS arguments,
+    '{' || CASE WHEN needs <> '' THEN needs || ',' ELSE '' END || CASE WHEN question <> '' THEN question || ',' ELSE '' END || '"turn":' || turn || '}' AS canonical
+  FROM parts
+), asked AS (
+  SELECT conv_id, turn, arg_min(complete, arguments) AS complete, arg_min(canonical, arguments) AS canonical FROM calls GROUP BY conv_id, turn
+), given AS (
+  SELECT DISTINCT conv_id, turn AS result_turn FROM turns WHERE role = 'assistant'
+)
+SELECT coalesce(a.conv_id, g.conv_id) AS conv_id, 'call_' || coalesce(a.turn, result_turn - 1) AS call_id,
+  CASE WHEN a.conv_id IS NULL THEN 'orphan' WHEN g.conv_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+  CASE WHEN a.conv_id IS NOT NULL THEN 'reply' END AS name,
+  coalesce(a.turn, result_turn) AS step, CAST(0 AS INTEGER) AS depth, result_turn AS result_step,
+  CASE WHEN a.conv_id IS NOT NULL THEN a.complete AND (a.turn < 2 OR n.conv_id IS NOT NULL) END AS valid,
+  FALSE AS cyclic, a.canonical AS canonical
+FROM asked a FULL JOIN given g ON a.conv_id = g.conv_id AND a.turn = result_turn - 1
+LEFT JOIN asked n ON n.conv_id = a.conv_id AND n.turn = a.turn - 2
+"""
+
+_OP6 = """
+WITH vectors AS (
+  SELECT vec_id, row_number() OVER () AS r, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), queries AS (
+  SELECT vec_id, min(q) AS q FROM vectors WHERE vec_id % 50 = 0 GROUP BY vec_id
+), ranked AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score,
+    row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.q, b.q) DESC, b.vec_id) AS place
+  FROM queries a JOIN vectors b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 5
+"""
+
+SQL: dict[str, str] = {"op2_license_scan": _OP2, "op4_tool_calls": _OP4, "op6_topk": _OP6}

@@ -1,12 +1,13 @@
 """Viterbi, mixing, top-k, tool calls and the pipeline, against brute force."""
 
 import json
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, sentencepieces, tool_calls, topk
+from lodestone.llm import mixing, queries, sentencepieces, tool_calls, topk
 from lodestone.llm.queries import tokenizer_path
 
 
@@ -166,3 +167,19 @@ def test_pipeline(spark, tmp_path):
     assert all(r["round_trip"] for r in docs.collect())
     masked = spark.read.parquet(f"{tmp_path}/2").where("doc_id = 103").first()
     assert masked["text"].startswith("write to <EMAIL> the") and masked["n_chars"] == len(masked["text"])
+
+
+@pytest.mark.parametrize("name", ["op2_license_scan", "op4_tool_calls", "op6_topk"])
+def test_agrees_with_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    duckdb = pytest.importorskip("duckdb")
+    base = duckdb.connect()
+    for file in os.listdir(folder):
+        base.sql(f"create view {file.removesuffix('.parquet')} as select * from '{folder}/{file}'")
+    got = queries.queries()[name](spark, folder)
+    want = base.sql(queries.oracle_sql()[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert sorted(map(repr, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(repr, want.select(*columns).fetchall()))
