@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schema import K
+from ..sources.scratch import materialize
 
 #: Fixed values of the ranking function.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -154,6 +155,14 @@ def _matchers(phrases: list[Phrase]) -> list[tuple[str, bool]]:
     return list(dict.fromkeys((w, p.prefix and j == len(p.words) - 1) for p in phrases for j, w in enumerate(p.words)))
 
 
+def _positions(tokens: Column, word: str, prefix: bool) -> Column:
+    """Positions of the word, or of the words that it begins; most texts hold none and are not walked twice."""
+    hit = (lambda t: t.startswith(word)) if prefix else (lambda t: t == word)
+    held = F.exists(tokens, hit) if prefix else F.array_contains(tokens, word)
+    places = F.filter(F.transform(tokens, lambda t, i: F.when(hit(t), i)), lambda i: i.isNotNull())
+    return F.when(held, places).otherwise(F.array().cast("array<int>"))
+
+
 def _starts(positions: dict[tuple[str, bool], Column], phrase: Phrase) -> Column:
     """Positions at which the phrase starts: its words' positions, moved back by their places, have them in common."""
     if not phrase.words:
@@ -213,10 +222,11 @@ def _all_phrases(tree: Query) -> list[Phrase]:
 
 
 def search(docs: DataFrame, query: str, k: int | None = K, where: Column | None = None, digits: int | None = None) -> DataFrame:
-    """The k best rows with column ``score``, ties by id. Statistics cover all rows; the predicate only decides who is ranked.
+    """The k best rows with column ``score``, ties by id (unique). Statistics cover all rows; the predicate only decides who is ranked.
 
-    Only postings of the query's own words leave a task, folded per document; phrases are intersections of shifted positions. Single-row
-    aggregates (document frequencies, lengths) are broadcast, and the k best ids fetch their rows.
+    One pass tokenizes each text once and leaves a narrow row of counts per document, without a shuffle: positions are array
+    functions over the row's own tokens, and phrases intersections of shifted positions. The counts are written and read again for the
+    statistics, a single row that is broadcast, and for the ranking; the k best ids fetch their rows.
     """
     if not query.strip():
         return docs.limit(0).withColumn("score", F.lit(0.0))
@@ -224,21 +234,21 @@ def search(docs: DataFrame, query: str, k: int | None = K, where: Column | None
     every = list(dict.fromkeys(_all_phrases(tree)))
     scored = list(dict.fromkeys(phrases_of(tree)))
     matchers = _matchers(every)
-    tokens = T.tokens(F.col("text"))
-    lengths = docs.agg(F.count("*").alias("__n"), F.avg(F.size(tokens)).alias("__avg"))
-
-    # the query's own postings: a partial aggregate per document, of positions of the words asked for only
-    hit = {m: F.col("term").startswith(m[0]) if m[1] else F.col("term") == m[0] for m in matchers}
-    any_hit = F.lit(False)
-    for condition in hit.values():
-        any_hit = any_hit | condition
-    words = docs.select("id", F.size(tokens).alias("__d"), F.posexplode(tokens).alias("pos", "term")).where(any_hit)
-    places = words.groupBy("id").agg(F.max("__d").alias("__d"), *(F.sort_array(F.collect_list(F.when(hit[m], F.col("pos")))).alias(f"__p{i}") for i, m in enumerate(matchers)))
+    keep = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    read = docs.select("id", T.tokens(F.col("text")).alias("__t"), keep.alias("__keep"))
+    read = read.select("id", "__keep", F.size("__t").alias("__d"), *(_positions(F.col("__t"), *m).alias(f"__p{i}") for i, m in enumerate(matchers)))
     positions = {m: F.col(f"__p{i}") for i, m in enumerate(matchers)}
     starts = {p: _starts(positions, p) for p in every}
     counts = {p: F.size(starts[p]) for p in every}
-    found = places.select("id", "__d", *(counts[p].alias(f"__c{i}") for i, (p, _) in enumerate(scored)), *((_near_hits(p, near, starts) if near else counts[p]).alias(f"__f{i}") for i, (p, near) in enumerate(scored)), _matches(tree, counts, starts).alias("__match"))
-    frequencies = found.agg(*(F.coalesce(F.sum((F.col(f"__c{i}") > 0).cast("long")), F.lit(0)).alias(f"__df{i}") for i in range(len(scored))))
+    found = read.select(
+        "id", "__d",
+        *(counts[p].alias(f"__c{i}") for i, (p, _) in enumerate(scored)),
+        *((_near_hits(p, near, starts) if near else counts[p]).alias(f"__f{i}") for i, (p, near) in enumerate(scored)),
+        (F.col("__keep") & _matches(tree, counts, starts)).alias("__match"),
+    )
+    found = materialize(found, "keyword")
+    frequencies = (F.coalesce(F.sum((F.col(f"__c{i}") > 0).cast("long")), F.lit(0)).alias(f"__df{i}") for i in range(len(scored)))
+    statistics = found.agg(F.count("*").alias("__n"), F.avg("__d").alias("__avg"), *frequencies)
 
     score = F.lit(0.0)
     repeats = phrases_of(tree)
@@ -247,10 +257,7 @@ def search(docs: DataFrame, query: str, k: int | None = K, where: Column | None
         idf = F.ln((n - df + 0.5) / (df + 0.5))
         idf = F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf)
         score = score - repeats.count(p) * idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__d") / F.col("__avg")))
-    ranked = found.where("__match")
-    if where is not None:
-        ranked = ranked.join(docs.where(where).select("id"), "id", "left_semi")
-    ranked = ranked.join(F.broadcast(lengths)).join(F.broadcast(frequencies))  # one row each
+    ranked = found.where("__match").join(F.broadcast(statistics))  # one row
     ranked = ranked.select("id", (F.round(score, digits) if digits is not None else score).alias("score"))
     if k is None:
         return docs.join(ranked, "id").select(*docs.columns, "score")
