@@ -83,7 +83,9 @@ def word_count(text: Column) -> Column:
 
 
 def row_hash() -> Column:
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    """The first 60 bits of an MD5, which SQL elsewhere has as well."""
+    key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
 def mix(docs: DataFrame) -> DataFrame:

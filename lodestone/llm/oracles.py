@@ -1,7 +1,6 @@
 """DuckDB SQL for the queries that SQL can express.
 
-Trained models (op7, op8), tokenizer files (op3, op9), suffix arrays (op1) and Spark's 64-bit hashes (op5, op10) are
-beyond it; tests hold those against brute force.
+Trained models (op7, op8), tokenizer files (op3, op9), suffix arrays (op1) and XXH64 (op10) are beyond it; tests hold those against brute force.
 """
 
 from __future__ import annotations
@@ -65,6 +64,41 @@ FROM asked a FULL JOIN given g ON a.conv_id = g.conv_id AND a.turn = result_turn
 LEFT JOIN asked n ON n.conv_id = a.conv_id AND n.turn = a.turn - 2
 """
 
+_OP5 = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS BIGINT) AS h
+  FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM sized GROUP BY source
+), weighted AS (
+  SELECT *, [3.0::DOUBLE, 1, 2][(r - 1) % 3 + 1] AS weight, [-1.0::DOUBLE, 1, 0][(r - 1) % 3 + 1] AS slope, CAST(2 * source_size AS DOUBLE) AS cap,
+    CAST(sum(source_size) OVER () AS DOUBLE) * 150 / 100 AS budget
+  FROM sources
+), levels AS (
+  SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighted
+), level AS (
+  SELECT level AS reached FROM levels WHERE level * weight <= cap ORDER BY cap / weight, r LIMIT 1
+), targets AS (
+  SELECT source, source_size, slope, least(cap, coalesce((SELECT reached FROM level) * weight, cap)) AS target,
+    CASE WHEN source_size > 0 THEN CAST(floor(floor(least(cap, coalesce((SELECT reached FROM level) * weight, cap))) / source_size) AS BIGINT) ELSE 0 END AS epochs
+  FROM weighted
+), placed AS (
+  SELECT doc_id, size, source_size, slope, target, epochs, CAST(floor(target) AS BIGINT) - epochs * source_size AS rest,
+    CAST(coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY h % 1024, (h >> 10) % 1024, h, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), taken AS (
+  SELECT *, epochs * size + least(size, greatest(0, rest - before)) AS taken FROM placed
+), shares AS (
+  SELECT *, 1 - slope / 2 AS b, CASE WHEN size > 0 AND taken > 0 THEN least(1.0::DOUBLE, (before + least(size, taken) / 2.0::DOUBLE) / target) END AS share FROM taken
+)
+SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
+  CASE WHEN share IS NOT NULL THEN 2 * share / (b + sqrt(greatest(b * b + 2 * slope * share, 0.0::DOUBLE))) END AS position
+FROM shares
+"""
+
 _OP6 = """
 WITH vectors AS (
   SELECT vec_id, row_number() OVER () AS r, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q FROM embeddings
@@ -79,4 +113,4 @@ WITH vectors AS (
 SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 5
 """
 
-SQL: dict[str, str] = {"op2_license_scan": _OP2, "op4_tool_calls": _OP4, "op6_topk": _OP6}
+SQL: dict[str, str] = {"op2_license_scan": _OP2, "op4_tool_calls": _OP4, "op5_mixing": _OP5, "op6_topk": _OP6}

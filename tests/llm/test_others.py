@@ -169,7 +169,7 @@ def test_pipeline(spark, tmp_path):
     assert masked["text"].startswith("write to <EMAIL> the") and masked["n_chars"] == len(masked["text"])
 
 
-@pytest.mark.parametrize("name", ["op2_license_scan", "op4_tool_calls", "op6_topk"])
+@pytest.mark.parametrize("name", ["op2_license_scan", "op4_tool_calls", "op5_mixing", "op6_topk"])
 def test_agrees_with_sql(spark, name):
     folder = "/root/testdata/sf0.001"
     if not os.path.isdir(folder):
