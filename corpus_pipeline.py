@@ -41,7 +41,7 @@ STAGES = [
     ("mixing", mixing_weights),
     ("sentencepiece", sentencepiece),
 ]
-#: Trained models and tokenizers are beyond SQL; tests hold every stage against brute force.
+#: Trained models and tokenizers are beyond SQL; tests hold every stage against rows planted in a small table.
 ORACLE_SQL = None
 
 
