@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import chain
+from itertools import compress
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 
 #: Distinct pieces that a worker remembers before it forgets those met once: a bound on memory only.
 REMEMBERED = 700_000
@@ -78,35 +80,68 @@ class PieceTable:
         self.size += len(units)
         self.pending = []
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and the number of ids of each text, its end included."""
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and the number of ids of each text, its end included. Only the distinct pieces of ``texts`` become strings."""
         if self.size > REMEMBERED:
             self._forget()
-        numbers: list[list[int]] = []
-        for text in texts:
-            pieces = (text or "").split(" ")
-            own = list(map(self.spaced.__getitem__, pieces[0 if self.leading_space else 1 :]))
-            if not self.leading_space:
-                own.insert(0, self.whole[pieces[0]])
-            own.append(0)
-            numbers.append(own)
+        if not len(texts):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        column = _raw(texts)
+        pieces = pa.compute.split_pattern(column, " ")
+        counts = pa.compute.list_value_length(pieces).to_numpy().astype(np.int64)
+        coded = pieces.flatten().dictionary_encode()
+        index = coded.indices.to_numpy()
+        names = _strings(coded.dictionary)
+        first = np.zeros(0, np.int64) if self.leading_space else np.cumsum(counts) - counts
+        spaced = np.ones(len(index), bool)
+        spaced[first] = False
+        used = np.bincount(index[spaced], minlength=len(names)) > 0
+        numbers = np.zeros(len(names), np.int64)
+        numbers[used] = np.fromiter(map(self.spaced.__getitem__, compress(names, used.tolist())), np.int64, int(used.sum()))
+        own = numbers[index]
+        own[first] = [self.whole[names[i]] for i in index[first].tolist()]
         self._resolve()
-        counts = np.fromiter(map(len, numbers), np.int64, len(numbers))
-        flat = np.fromiter(chain.from_iterable(numbers), np.int64, int(counts.sum()))
-        bad = np.unique(np.repeat(np.arange(len(texts)), counts)[self.odd[flat]])
-        if len(bad):
-            for i in bad.tolist():
-                text = " " + (texts[i] or "") if self.leading_space else texts[i]
-                numbers[i] = [*(self.whole[u] for u in self.split.findall(text)), 0]
+        counts += 1
+        ends = np.cumsum(counts)
+        flat = np.zeros(int(ends[-1]), np.int64)
+        inner = np.ones(len(flat), bool)
+        inner[ends - 1] = False  # number 0 ends a text
+        flat[inner] = own
+        bad = np.unique(np.searchsorted(ends, np.flatnonzero(self.odd[flat]), "right")).tolist()
+        if bad:
+            parts, at = [], 0
+            for i in bad:
+                text = _text(column[i].as_py())
+                units = [self.whole[u] for u in self.split.findall(" " + text if self.leading_space else text)]
+                parts += [flat[at : ends[i] - counts[i]], np.array([*units, 0], np.int64)]
+                at = ends[i]
+                counts[i] = len(units) + 1
+            flat = np.concatenate([*parts, flat[at:]])
             self._resolve()
-            counts = np.fromiter(map(len, numbers), np.int64, len(numbers))
-            flat = np.fromiter(chain.from_iterable(numbers), np.int64, int(counts.sum()))
         self.met += np.bincount(flat, minlength=self.size)
         lengths = self.lengths[flat]
-        per_text = np.add.reduceat(lengths, np.cumsum(counts) - counts) if len(texts) else lengths
+        per_text = np.add.reduceat(lengths, np.cumsum(counts) - counts)
         return ragged(self.flat, (np.cumsum(self.lengths) - self.lengths)[flat], lengths), per_text
 
 
+def _raw(texts: list[str | None] | pa.Array) -> pa.Array:
+    """UTF-8 bytes; null texts are empty."""
+    if isinstance(texts, pa.Array):
+        return pa.compute.fill_null(texts, "").cast(pa.large_binary())
+    return pa.array([(t or "").encode("utf-8", "surrogatepass") for t in texts], pa.large_binary())
+
+
+def _strings(raw: pa.Array) -> list[str]:
+    try:
+        return raw.cast(pa.large_string()).to_numpy(zero_copy_only=False).tolist()
+    except pa.ArrowInvalid:  # lone surrogates
+        return [_text(x) for x in raw.to_pylist()]
+
+
+def _text(raw: bytes) -> str:
+    return raw.decode("utf-8", "surrogatepass")
+
+
 def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """values[starts[i] : starts[i] + lengths[i]] for all i, one after the other."""
     before = np.cumsum(lengths) - lengths

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, slices
 from .pieces import PieceTable, ragged
 
 END_ID = 0
@@ -32,7 +32,7 @@ SHARD_TOKENS = 1 << 20
 #: Shards of one file: they are read together.
 FILE_SHARDS = 8
 _MAGIC = b"LWM1"
-_BLOCK_CHARS = 2 << 20
+_BLOCK_BYTES = 8 << 20
 _TABLES: dict[str, PieceTable] = {}
 
 
@@ -228,14 +228,9 @@ def write_shards(docs: DataFrame, tokenizer: str, target: str, shard_tokens: int
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "seq", "n_tokens", "n_docs", "shard"])
 
         for batch in batches:
-            texts, keys = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end] or "") <= _BLOCK_CHARS):
-                    size += len(texts[end] or "")
-                    end += 1
-                flat, counts = table.encode(texts[at:end])
+            texts, keys = batch.column(1), batch.column(0).to_pylist()
+            for at, end in slices(texts, _BLOCK_BYTES):
+                flat, counts = table.encode(texts.slice(at, end - at))
                 done, start = 0, at
                 stops = np.cumsum(counts)
                 while start < end:  # whole documents up to the shard's size
@@ -251,7 +246,6 @@ def write_shards(docs: DataFrame, tokenizer: str, target: str, shard_tokens: int
                         done, start = stop, fit
                     if start < end:
                         yield flush()
-                at = end
         if names:
             yield flush()
 
