@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +18,15 @@ REMEMBERED = 700_000
 
 
 class _Numbers(dict):
-    """Numbers keys as they are first asked for."""
+    """Numbers whole units as they are first asked for."""
 
-    def __init__(self, table: "PieceTable", spaced: bool):
+    def __init__(self, table: "PieceTable"):
         super().__init__()
-        self.table, self.spaced = table, spaced
+        self.table = table
 
     def __missing__(self, key: str) -> int:
         number = self.table.size + len(self.table.pending)
-        self.table.pending.append((key, self.spaced))
+        self.table.pending.append((key, False))
         self[key] = number
         return number
 
@@ -42,7 +41,9 @@ class PieceTable:
 
     def _clear(self) -> None:
         self.size, self.pending = 0, []
-        self.spaced, self.whole = _Numbers(self, True), _Numbers(self, False)
+        self.whole = _Numbers(self)
+        # pieces after a space stay in Arrow, which looks up a whole block at once
+        self.keys, self.key_numbers = pa.array([], pa.large_binary()), np.zeros(0, np.int64)
         self.flat, self.lengths, self.odd = np.asarray(self.end, self.dtype), np.array([len(self.end)], np.int64), np.zeros(1, bool)
         self.size = 1  # number 0 is the end of a document
         self.met = np.zeros(1, np.int64)
@@ -55,11 +56,11 @@ class PieceTable:
         keep = np.r_[0, keep[keep > 0]]
         new = np.full(self.size, -1)
         new[keep] = np.arange(len(keep))
-        numbers = new.tolist()
-        for known in (self.spaced, self.whole):
-            left = [(k, numbers[v]) for k, v in known.items() if numbers[v] >= 0]
-            known.clear()
-            known.update(left)
+        held = new[self.key_numbers] >= 0
+        self.keys, self.key_numbers = self.keys.filter(pa.array(held)), new[self.key_numbers[held]]
+        left = [(k, int(new[v])) for k, v in self.whole.items() if new[v] >= 0]
+        self.whole.clear()
+        self.whole.update(left)
         starts = np.cumsum(self.lengths) - self.lengths
         self.flat = ragged(self.flat, starts[keep], self.lengths[keep])
         self.lengths, self.odd, self.met = self.lengths[keep], self.odd[keep], self.met[keep]
@@ -80,8 +81,24 @@ class PieceTable:
         self.size += len(units)
         self.pending = []
 
+    def _spaced(self, pieces: pa.Array, but: np.ndarray) -> np.ndarray:
+        """Numbers of pieces after a space; at the places ``but`` anything."""
+        found = pa.compute.index_in(pieces, value_set=self.keys)
+        new = found.is_null().to_numpy(zero_copy_only=False)
+        new[but] = False
+        place = found.fill_null(0).to_numpy()
+        numbers = self.key_numbers[place] if len(self.key_numbers) else np.zeros(len(pieces), np.int64)
+        if new.any():
+            coded = pieces.filter(pa.array(new)).dictionary_encode()
+            start = self.size + len(self.pending)
+            self.pending += [(x, True) for x in _strings(coded.dictionary)]
+            self.keys = pa.concat_arrays([self.keys, coded.dictionary])
+            self.key_numbers = np.r_[self.key_numbers, np.arange(start, start + len(coded.dictionary))]
+            numbers[new] = start + coded.indices.to_numpy()
+        return numbers
+
     def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and the number of ids of each text, its end included. Only the distinct pieces of ``texts`` become strings."""
+        """Flat ids and the number of ids of each text, its end included. Only pieces not met before become strings."""
         if self.size > REMEMBERED:
             self._forget()
         if not len(texts):
@@ -89,17 +106,10 @@ class PieceTable:
         column = _raw(texts)
         pieces = pa.compute.split_pattern(column, " ")
         counts = pa.compute.list_value_length(pieces).to_numpy().astype(np.int64)
-        coded = pieces.flatten().dictionary_encode()
-        index = coded.indices.to_numpy()
-        names = _strings(coded.dictionary)
+        flattened = pieces.flatten()
         first = np.zeros(0, np.int64) if self.leading_space else np.cumsum(counts) - counts
-        spaced = np.ones(len(index), bool)
-        spaced[first] = False
-        used = np.bincount(index[spaced], minlength=len(names)) > 0
-        numbers = np.zeros(len(names), np.int64)
-        numbers[used] = np.fromiter(map(self.spaced.__getitem__, compress(names, used.tolist())), np.int64, int(used.sum()))
-        own = numbers[index]
-        own[first] = [self.whole[names[i]] for i in index[first].tolist()]
+        own = self._spaced(flattened, first)
+        own[first] = [self.whole[_text(x)] for x in flattened.take(pa.array(first)).to_pylist()]
         self._resolve()
         counts += 1
         ends = np.cumsum(counts)

@@ -5,11 +5,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from lodestone.llm import langid, license_scan, pii, repetition, simhash, wavelet
+from lodestone.llm import langid, license_scan, pieces, pii, repetition, simhash, wavelet
 from lodestone.llm.queries import tokenizer_path
 from lodestone.llm.xxh64 import xxh64
 
@@ -250,3 +252,17 @@ def test_token_file(spark, docs, empty):
     wavelet.write_shards(docs, path, target, shard_tokens=64)
     assert sorted(map(tuple, wavelet.documents_of(wavelet.read_shards(spark, target)).collect()), key=lambda x: x[1]) == want
     assert wavelet.token_file(empty, path).count() == 0
+
+
+def test_piece_tables_agree_on_lists_and_arrow_columns_and_after_forgetting(monkeypatch):
+    path = tokenizer_path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    texts = ["", None, " ", "a b. a b,", "two  blanks \n and  a line\nmore.", "same same same", "  lead", "trail  ", "x" * 5000, "é ß 漢字 🙂", "same same same"]
+    expected = [[*plain.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    monkeypatch.setattr(pieces, "REMEMBERED", 4)
+    table = wavelet.byte_bpe(path)
+    for column in (texts, pa.array(texts), pa.array(["skipped", *texts])[1:], pa.array(texts, pa.large_string())):
+        flat, counts = table.encode(column)
+        ends = np.cumsum(counts)
+        assert [flat[a:b].tolist() for a, b in zip(ends - counts, ends)] == expected
+    assert table.encode([])[1].tolist() == []
