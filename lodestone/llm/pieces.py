@@ -152,7 +152,13 @@ def _text(raw: bytes) -> str:
     return raw.decode("utf-8", "surrogatepass")
 
 
-def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """values[starts[i] : starts[i] + lengths[i]] for all i, one after the other."""
-    before = np.cumsum(lengths) - lengths
-    return values[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
+def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: int = 1 << 16) -> np.ndarray:
+    """values[starts[i] : starts[i] + lengths[i]] for all i, one after the other. ``rows`` at a time, which keeps the index arrays small."""
+    out, at = np.empty(int(lengths.sum()), values.dtype), 0
+    for k in range(0, len(lengths), rows):
+        own = lengths[k : k + rows]
+        ends = np.cumsum(own)
+        n = int(ends[-1])
+        np.take(values, np.repeat(starts[k : k + rows] - ends + own, own) + np.arange(n), out=out[at : at + n], mode="clip")
+        at += n
+    return out
