@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..schema import SILHOUETTE_SAMPLE
+from ..sources.scratch import materialize
 
 #: Centroids that may stand in a plan as a literal.
 MAX_CENTROIDS = 4096
-#: Rows that density clustering takes at once.
-MAX_DENSITY_ROWS = 10_000
+#: Rows of a block of density clustering; a task holds two blocks.
+DENSITY_BLOCK = 4096
 #: Words that tags leave out.
 STOP_WORDS = """a about above after again all also am an and any are as at be because been before being below between both but by can could did do
 does doing down during each few for from further had has have having he her here hers him his how i if in into is it its itself just
@@ -87,24 +88,58 @@ def minibatch_kmeans(docs: DataFrame, k: int, batch: int = 1024, rounds: int = 1
     return rows.select("id", nearest_label(F.col("embedding"), centers).alias("label")), centers.tolist()
 
 
+def nearest_distances(points: np.ndarray, others: np.ndarray, k: int) -> np.ndarray:
+    """Distances of each point to its k nearest others (fewer if there are fewer): products find the candidates, differences measure them."""
+    k = min(k, len(others))
+    wide = min(k + 8, len(others))
+    squares, out = (others**2).sum(1), []
+    for a in range(0, len(points), 512):
+        own = points[a : a + 512]
+        rough = squares[None] - 2 * own @ others.T
+        near = np.argpartition(rough, wide - 1, axis=1)[:, :wide]
+        gap = others[near] - own[:, None]
+        out.append(np.sort(np.sqrt(np.einsum("ijk,ijk->ij", gap, gap)), axis=1)[:, :k])
+    return np.concatenate(out) if out else np.zeros((0, k))
+
+
+def spanning_tree(points: np.ndarray, core: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weight, a, b) with a < b: the minimum spanning tree by mutual reachability of all points, or of the links between the two sides.
+    Equal weights go by (a, b), so the tree is unique and the trees of parts hold that of the whole."""
+    n = len(points)
+    every = np.arange(n)
+    across = [every, every] if side is None else [np.flatnonzero(side != 0), np.flatnonzero(side != 1)]
+    parts = [(v, points[v], core[v]) for v in across]
+    best, key, inside = np.full(n, np.inf), np.full(n, n * n), np.zeros(n, bool)
+    weight, first, second, at = np.zeros(n - 1), np.zeros(n - 1, int), np.zeros(n - 1, int), 0
+    for step in range(n - 1):
+        inside[at] = True
+        v, x, c = parts[0 if side is None else side[at]]
+        gap = x - points[at]
+        reach = np.maximum(np.maximum(np.sqrt(np.einsum("ij,ij->i", gap, gap)), c), core[at])
+        keys = np.minimum(v, at) * n + np.maximum(v, at)
+        old = best[v]
+        closer = ((reach < old) | ((reach == old) & (keys < key[v]))) & ~inside[v]
+        best[v[closer]], key[v[closer]] = reach[closer], keys[closer]
+        best[at] = np.inf
+        outside = np.where(inside, np.inf, best)
+        ties = np.flatnonzero(outside == outside.min())
+        ties = ties[~inside[ties]]
+        at = int(ties[key[ties].argmin()])
+        weight[step], first[step], second[step] = best[at], key[at] // n, key[at] % n
+    return weight, first, second
+
+
 def density_labels(points: np.ndarray, min_cluster_size: int = 5) -> np.ndarray:
     """Hierarchical density clusters: core distances, mutual reachability, minimum spanning tree, condensed tree, excess of mass. -1 is noise."""
     n = len(points)
     if n < 2 or n < min_cluster_size:
         return np.full(n, -1)
-    squares = (points**2).sum(1)
-    d = np.sqrt(np.maximum(0, squares[:, None] + squares[None] - 2 * points @ points.T))
-    core = np.sort(d, axis=1)[:, min(min_cluster_size, n) - 1]
-    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
-    # Prim's tree
-    inside, best, parent = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
-    at, edges = 0, []
-    for _ in range(n - 1):
-        inside[at] = True
-        closer = (reach[at] < best) & ~inside
-        best[closer], parent[closer] = reach[at][closer], at
-        at = int(np.where(inside, np.inf, best).argmin())
-        edges.append((best[at], parent[at], at))
+    core = nearest_distances(points, points, min_cluster_size)[:, -1]
+    return tree_labels(n, sorted(zip(*(x.tolist() for x in spanning_tree(points, core)))), min_cluster_size)
+
+
+def tree_labels(n: int, edges: Iterable[tuple[float, int, int]], min_cluster_size: int) -> np.ndarray:
+    """Labels of n points from sorted edges that hold their minimum spanning tree."""
     # single linkage: node numbers from n up
     root, size, sons = list(range(2 * n - 1)), [1] * n + [0] * (n - 1), {}
 
@@ -114,11 +149,15 @@ def density_labels(points: np.ndarray, min_cluster_size: int = 5) -> np.ndarray:
             x = root[x]
         return x
 
-    for node, (w, a, b) in enumerate(sorted(edges), n):
+    node = n
+    for w, a, b in edges:
         a, b = top(a), top(b)
+        if a == b:
+            continue
         sons[node] = (a, b, w)
         root[a] = root[b] = node
         size[node] = size[a] + size[b]
+        node += 1
     # condense: a split into two large parts makes two clusters, small parts fall out
     births, mass, kids, members = {0: 0.0}, {0: 0.0}, {0: []}, {0: []}
     stack = [(2 * n - 2, 0)]
@@ -179,17 +218,54 @@ def density_labels(points: np.ndarray, min_cluster_size: int = 5) -> np.ndarray:
     return labels
 
 
-def hdbscan(docs: DataFrame, min_cluster_size: int = 5, max_rows: int = MAX_DENSITY_ROWS) -> DataFrame:
-    """(id, label). Quadratic by nature: up to max_rows rows are clustered exactly in one task; of more, a sample by hash is, and
-    only the sample is returned."""
-    rows = docs.where(F.col("embedding").isNotNull()).select(F.col("id").cast("long").alias("id"), V.doubles(F.col("embedding")).alias("v")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
-        labels = density_labels(np.stack(group["v"].map(np.asarray).to_list()), min_cluster_size)
-        return pd.DataFrame({"id": group["id"].to_numpy(), "label": labels.astype(np.int32)})
-
-    return rows.groupBy(F.lit(1).alias("g")).applyInPandas(run, "id long, label int")
+def hdbscan(docs: DataFrame, min_cluster_size: int = 5, block_rows: int = DENSITY_BLOCK) -> DataFrame:
+    """(id, label) of every row with a vector, exactly. Quadratic by nature: rows are dealt into blocks by hash and each pair of blocks is a
+    group of its own, first for the core distances, then for the spanning tree of its links. The trees of all pairs hold
+    that of the whole; one task merges them, in order of weight, and cuts the tree, with memory linear in the rows."""
+    rows = docs.where(F.col("embedding").isNotNull()).select(F.col("id").cast("long").alias("id"), V.doubles(F.col("embedding")).alias("v"))
+    rows = materialize(rows.orderBy("id").withColumn("n", F.monotonically_increasing_id()), "points")
+    total = rows.count()
+    if total < max(2, min_cluster_size):
+        return rows.select("id", F.lit(-1).alias("label"))
+    blocks = -(-total // block_rows)
+    numbers = F.sequence(F.lit(0), F.lit(blocks - 1))
+    pairs = F.transform(numbers, lambda x: F.struct(F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j")))
+
+    def dealt(points: DataFrame) -> DataFrame:
+        spread = points.withColumn("block", F.pmod(F.xxhash64("n"), F.lit(blocks)).cast("int")).withColumn("p", F.explode(pairs))
+        return spread.select("n", "v", "block", *(["core"] if "core" in points.columns else []), "p.i", "p.j").repartition(blocks * (blocks + 1) // 2, "i", "j").groupBy("i", "j")
+
+    def measure(group: pd.DataFrame) -> pd.DataFrame:
+        points, block = np.stack(group["v"].to_numpy()), group["block"].to_numpy()
+        if group["i"].iloc[0] == group["j"].iloc[0]:
+            sides = [(block == block, block == block)]
+        else:
+            sides = [(block == group["i"].iloc[0], block == group["j"].iloc[0]), (block == group["j"].iloc[0], block == group["i"].iloc[0])]
+        found = [(group["n"].to_numpy()[a], list(nearest_distances(points[a], points[b], min_cluster_size))) for a, b in sides if b.any()]
+        return pd.DataFrame({"n": np.concatenate([n for n, _ in found]), "near": [d for _, ds in found for d in ds]}) if found else pd.DataFrame({"n": [], "near": []})
+
+    def join(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("n")
+        n, block = group["n"].to_numpy(), group["block"].to_numpy()
+        i, j = group["i"].iloc[0], group["j"].iloc[0]
+        if i != j and len(np.unique(block)) < 2:
+            return pd.DataFrame({"w": [], "a": [], "b": []})
+        w, a, b = spanning_tree(np.stack(group["v"].to_numpy()), group["core"].to_numpy(), None if i == j else (block == j).astype(int))
+        return pd.DataFrame({"w": w, "a": n[a], "b": n[b]})
+
+    def label(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[int, int] = {}
+        number = lambda n: seen.setdefault(n, len(seen))
+        edges = ((w, number(a), number(b)) for part in parts for w, a, b in zip(part["w"].tolist(), part["a"].tolist(), part["b"].tolist()))
+        labels = tree_labels(total, edges, min_cluster_size)
+        yield pd.DataFrame({"n": np.fromiter(seen, np.int64, total), "label": labels.astype(np.int32)})
+
+    near = dealt(rows).applyInPandas(measure, "n long, near array<double>")
+    core = near.groupBy("n").agg(F.element_at(F.sort_array(F.flatten(F.collect_list("near"))), min_cluster_size).alias("core"))
+    points = materialize(rows.join(core, "n"), "core")
+    tree = materialize(dealt(points).applyInPandas(join, "w double, a long, b long"), "tree")
+    labels = tree.repartition(1).sortWithinPartitions("w", "a", "b").mapInPandas(label, "n long, label int")
+    return rows.select("n", "id").join(materialize(labels, "labels"), "n").select("id", "label")
 
 
 def inertia(docs: DataFrame, centroids: DataFrame) -> DataFrame:

@@ -71,6 +71,22 @@ def test_density_clusters():
     assert len(set(labels[:30])) == 1 and len(set(labels[30:60])) == 1 and labels[0] != labels[30] and labels[60] == -1
 
 
+def test_density_clusters_label_every_row(spark):
+    rng = np.random.default_rng(3)
+    points = np.concatenate([rng.normal(0, 0.1, (60, 3)), rng.normal(5, 0.1, (50, 3)), rng.uniform(-9, 9, (20, 3)), np.full((15, 3), 2.0)])
+    points = points.astype(np.float32).astype(float)
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)] + [(900, None)], "id long, embedding array<float>")
+    want = cluster.density_labels(points, 5)
+    for block in (4096, 20):  # one block; eight of them
+        found = {r["id"]: r["label"] for r in cluster.hdbscan(rows, 5, block).collect()}
+        assert [found[i] for i in range(len(points))] == want.tolist() and len(found) == len(points)
+    assert cluster.hdbscan(rows.limit(0)).count() == 0
+    assert {r["label"] for r in cluster.hdbscan(rows.where("id < 3")).collect()} == {-1}
+    # more rows than the former limit
+    many = spark.range(10_050).select("id", F.array((F.col("id") % 3 * 50 + F.rand(1)).cast("float"), F.rand(2).cast("float")).alias("embedding"))
+    assert cluster.hdbscan(many).count() == 10_050
+
+
 def test_inverted_file_recall(spark):
     rng = np.random.default_rng(2)
     points = rng.normal(size=(400, 8))
