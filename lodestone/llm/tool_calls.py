@@ -3,8 +3,10 @@
 Calls and results are hash-joined by (conversation, call identifier). Calls may depend on the results of other calls; they are put
 into topological order by the earliest step at which everything that they need is there: a call's step is the greatest of
 its own turn and the steps of the results that it needs, a result's the greater of its own turn and its call's step, and ``depth``
-orders what shares a step. Steps are relaxed along the dependencies until nothing moves, which is at once where the log is in
-order already; what still moves after ``MAX_ROUNDS`` rounds is in a cycle and marked. Arguments are parsed as variants, held against the
+orders what shares a step. A call that needs itself, if only by way of others, is in a cycle and marked; needs within a cycle are left out of
+the order, and calls after a cycle are placed after it. Steps are relaxed along the other dependencies until nothing moves, which is
+at once where the log is in order already, and takes as many rounds as the longest chain that isn't. Cycles are found by
+squaring the needs, in those conversations only where a call needs one that isn't of an earlier turn. Arguments are parsed as variants, held against the
 schema of their function, and serialised as canonical JSON (keys sorted, no blanks).
 
 Defined cases: rows without conversation or call id are dropped from linking; of repeated call ids in a conversation the one with the smallest (turn,
@@ -20,7 +22,6 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-MAX_ROUNDS = 32
 #: Function -> field -> (types of schema_of_variant, required).
 Schema = dict[str, dict[str, tuple[str, bool]]]
 TYPES = {"string": r"^STRING$", "integer": r"^BIGINT$", "number": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL\(.*\))$", "boolean": r"^BOOLEAN$", "array": r"^ARRAY<.*>$", "object": r"^OBJECT<.*>$"}
@@ -48,10 +49,24 @@ def valid_arguments(name: Column, value: Column, schemas: Schema) -> Column:
     return out
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: Schema, needs_field: str = "needs", max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def _reach(links: DataFrame) -> DataFrame:
+    """(conv, src, dst): calls that lead to one another, in conversations where some need isn't of an earlier turn; others hold no cycle."""
+    late = links.where(~F.coalesce(F.col("need_turn") < F.col("turn"), F.lit(False))).select(F.col("conv_id").alias("conv")).distinct()
+    reach = materialize(links.join(late, links["conv_id"] == late["conv"]).select("conv", F.col("need").alias("src"), F.col("call_id").alias("dst")), "reach")
+    size, before = reach.count(), -1
+    while size != before:
+        on = reach.select(F.col("conv").alias("_conv"), F.col("src").alias("_mid"), F.col("dst").alias("_dst"))
+        further = reach.join(on, (reach["conv"] == F.col("_conv")) & (reach["dst"] == F.col("_mid"))).select("conv", "src", F.col("_dst").alias("dst"))
+        reach = materialize(reach.unionByName(further).distinct(), "reach")
+        size, before = reach.count(), size
+    return reach
+
+
+def link(calls: DataFrame, results: DataFrame, schemas: Schema, needs_field: str = "needs", max_rounds: int | None = None) -> DataFrame:
     """calls: conv_id, call_id, turn, name, arguments; results: conv_id, call_id, turn, content.
 
     Returns conv_id, call_id, status, name, step, depth, result_step, valid, cyclic, canonical, ordered by step within each conversation.
+    Raises when the steps don't settle in max_rounds, if that is given.
     """
     key = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     first = lambda *c: F.min(F.struct(*c)).alias("f")
@@ -65,14 +80,23 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schema, needs_field: str
     status = F.when(F.col("asked").isNull(), "orphan").when(F.col("given").isNull(), "unanswered").otherwise("linked")
     nodes = materialize(linked.withColumn("status", status).select("conv_id", "call_id", "status", "name", "turn", "result_turn", "valid", "canonical", "needs"), "calls")
 
-    edges = nodes.where("status <> 'orphan'").select("conv_id", "call_id", F.explode(F.array_distinct("needs")).alias("need")).where("need is not null")
-    edges = materialize(edges, "needs")
-    known = nodes.where("status <> 'orphan'").select(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_id"))
-    unknown = edges.join(known, (edges["conv_id"] == F.col("_conv")) & (edges["need"] == F.col("_id")), "left_anti").select("conv_id", "call_id").distinct().withColumn("lost", F.lit(True))
-
-    steps = nodes.where("status <> 'orphan'").select("conv_id", "call_id", F.col("turn").alias("step"), F.lit(0).alias("depth"), "result_turn", F.lit(False).alias("moved"))
-    moved = True
-    for _ in range(max_rounds):
+    asking = nodes.where("status <> 'orphan'")
+    edges = asking.select("conv_id", "call_id", "turn", F.explode(F.array_distinct("needs")).alias("need")).where("need is not null")
+    known = asking.select(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_id"), F.col("turn").alias("need_turn"))
+    edges = materialize(edges.join(known, (edges["conv_id"] == F.col("_conv")) & (edges["need"] == F.col("_id")), "left").drop("_conv"), "needs")
+    unknown = edges.where("_id is null").select("conv_id", "call_id").distinct().withColumn("lost", F.lit(True))
+    edges = edges.where("_id is not null").drop("_id")
+    reach = _reach(edges)
+    cycles = reach.where("src = dst").select(F.col("conv").alias("conv_id"), F.col("src").alias("call_id"), F.lit(True).alias("cyclic"))
+    within = (F.col("conv_id") == F.col("conv")) & (F.col("call_id") == F.col("src")) & (F.col("need") == F.col("dst"))
+    edges = materialize(edges.join(reach, within, "left_anti").select("conv_id", "call_id", "need"), "open")
+
+    steps = asking.select("conv_id", "call_id", F.col("turn").alias("step"), F.lit(0).alias("depth"), "result_turn", F.lit(False).alias("moved"))
+    moved, rounds = True, 0
+    while moved:
+        if max_rounds is not None and rounds >= max_rounds:
+            raise RuntimeError(f"steps did not settle in {max_rounds} rounds")
+        rounds += 1
         ready = F.struct(F.greatest("step", F.coalesce("result_turn", "step")).alias("step"), F.when(F.coalesce("result_turn", "step") > F.col("step"), F.lit(0)).otherwise(F.col("depth") + 1).alias("depth"))
         source = steps.select(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_need"), ready.alias("ready"))
         latest = edges.join(source, (edges["conv_id"] == F.col("_conv")) & (edges["need"] == F.col("_need"))).groupBy("conv_id", "call_id").agg(F.max("ready").alias("ready"))
@@ -81,9 +105,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schema, needs_field: str
         new = new.select("conv_id", "call_id", F.when(F.col("moved"), F.col("ready.step")).otherwise(F.col("step")).alias("step"), F.when(F.col("moved"), F.col("ready.depth")).otherwise(F.col("depth")).alias("depth"), "result_turn", "moved")
         steps = materialize(new, "steps")
         moved = not steps.where("moved").isEmpty()
-        if not moved:
-            break
-    ordered = steps.select("conv_id", "call_id", "step", "depth", F.col("moved").alias("cyclic"))
+    ordered = steps.select("conv_id", "call_id", "step", "depth").join(cycles, ["conv_id", "call_id"], "left")
     out = nodes.join(ordered, ["conv_id", "call_id"], "left").join(unknown, ["conv_id", "call_id"], "left")
     out = out.select(
         "conv_id", "call_id", "status", "name",

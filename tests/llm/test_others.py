@@ -137,6 +137,22 @@ def test_tool_calls(spark):
     assert found[2, "x"]["cyclic"] and found[2, "y"]["cyclic"] and not found[1, "b"]["cyclic"]
 
 
+def test_long_chains_and_cycles_of_tool_calls(spark):
+    ask = lambda conv, name, turn, *needs: (conv, name, turn, "reply", json.dumps({"turn": turn, "question": "q", "needs": needs}))
+    calls = [ask(1, f"a{i}", 0, *([f"a{i - 1}"] if i else [])) for i in range(40)]
+    # x and y need each other, s itself; z comes after them, w before
+    calls += [ask(2, "w", 0), ask(2, "x", 0, "y", "w"), ask(2, "y", 0, "x"), ask(2, "z", 0, "y"), ask(2, "s", 1, "s"), ask(2, "t", 1, "s", "z")]
+    # out of order: the later turn is needed
+    calls += [ask(3, "p", 0, "q"), ask(3, "q", 3)]
+    table = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string")
+    none = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    found = {(r["conv_id"], r["call_id"]): r for r in tool_calls.link(table, none, tool_calls.CHAT_SCHEMA).collect()}
+    assert [(found[1, f"a{i}"]["step"], found[1, f"a{i}"]["depth"], found[1, f"a{i}"]["cyclic"]) for i in range(40)] == [(0, i, False) for i in range(40)]
+    assert {k for k, r in found.items() if r["cyclic"]} == {(2, "x"), (2, "y"), (2, "s")}
+    assert (found[2, "y"]["step"], found[2, "y"]["depth"]) < (found[2, "z"]["step"], found[2, "z"]["depth"]) and found[2, "w"]["depth"] < found[2, "x"]["depth"]
+    assert (found[3, "p"]["step"], found[3, "p"]["depth"], found[3, "q"]["step"]) == (3, 1, 3)
+
+
 def test_conversations(spark):
     turns = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "hi \"x\"\n"), (1, 2, "assistant", "yo"), (1, 3, "user", None), (2, 0, "user", "q"), (None, 0, "user", "z")], "conv_id long, turn long, role string, text string")
     found = tool_calls.link_conversations(turns).collect()
