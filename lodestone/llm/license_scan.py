@@ -1,12 +1,14 @@
 """License scans: passages compared to license templates by the Dice coefficient. DataFrame functions only.
 
 A text is normalised (lower case, everything but letters and digits to one space); its passages are its lines, its blocks
-between blank lines, and itself. Passages and templates are compared as sets of word bigrams. A passage meets only
+between blank lines, and itself. Where none of them matches a license, windows do: as many words as a template has, laid so that one
+of its anchors meets the same word of the text, so a notice is found inside a longer line or paragraph or across line ends. Passages and templates are compared as sets of word bigrams. A passage meets only
 templates within size bounds: a Dice coefficient of ``THRESHOLD`` needs set sizes within a factor of (2 - t) / t, and the number of
 words must keep to the same factor of the template's; that prunes nearly all passages before any bigram is made. It is a map
 over rows; only matches are grouped. Templates are a parameter, a literal in the plan (``MAX_TEMPLATES`` at most).
 
-Result: a row for each document and license that it matches: doc_id, license, dice (the best), n_passages (distinct ones).
+Result: a row for each document and license that it matches: doc_id, license, dice (the best), n_passages (distinct ones; of a license
+that only windows match, the distinct windows with the best coefficient).
 Defined cases: null, empty and blank texts match nothing, nor do passages of one word; equal best passages count as one; rows
 that share a doc_id share their result row, those without doc_id as well; an empty table gives an empty result; further columns are ignored.
 """
@@ -88,11 +90,19 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     blocks = F.when(F.col("__text").rlike(r"\n *\n"), F.split("__text", r"\n *\n")).otherwise(F.array().cast("array<string>"))
     whole = F.array(F.translate("__text", "\n", " "))
     passages = F.concat(F.split("__text", r"\n"), F.transform(blocks, lambda b: F.translate(b, "\n", " ")), whole)
-    rows = rows.select("doc_id", F.explode(passages).alias("__p"))
+    words = F.split(F.trim(F.regexp_replace("__text", r"[ \n]+", " ")), " ")
+    starts = sorted({(a, i, len(w)) for w in parsed.values() for a in anchors(w, threshold) for i, x in enumerate(w) if x == a})
+    fits = F.array(*(F.struct(F.lit(a).alias("word"), F.lit(i).alias("at"), F.lit(n).alias("n")) for a, i, n in starts)) if starts else None
+    held = F.filter(F.transform("__words", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda h: h["x"].isin(needed))
+    laid = lambda h: F.transform(F.filter(fits, lambda f: f["word"] == h["x"]), lambda f: F.concat_ws(" ", F.slice("__words", F.greatest(h["i"] - f["at"], F.lit(0)) + 1, f["n"])))
+    windows = F.array_distinct(F.flatten(F.transform(held, laid))) if starts else F.array().cast("array<string>")
+    marked = lambda c, inside: F.transform(c, lambda p: F.struct(p.alias("p"), F.lit(inside).alias("inside")))
+    rows = rows.withColumn("__words", words).select("doc_id", F.explode(F.concat(marked(passages, False), marked(windows, True))).alias("__q"))
+    rows = rows.select("doc_id", F.col("__q.p").alias("__p"), F.col("__q.inside").alias("__inside"))
     # n words have n - 1 blanks between them, and two more at most on either side of each line end or edge
     blanks = F.length("__p") - F.length(F.translate("__p", " ", ""))
     rows = rows.where((blanks >= max(1, int(least) - 1)) & holds_anchor(F.col("__p")))
-    rows = rows.select("doc_id", F.trim(F.regexp_replace("__p", " +", " ")).alias("__p")).distinct()
+    rows = rows.select("doc_id", "__inside", F.trim(F.regexp_replace("__p", " +", " ")).alias("__p")).distinct()
     rows = rows.withColumn("__w", F.split("__p", " ")).withColumn("__n", F.size("__w")).where(F.col("__n").between(max(2, least), most) & (F.col("__n") >= 2))
     rows = rows.withColumn("__b", F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("__n") - 2), lambda i: F.concat_ws(" ", F.get("__w", i), F.get("__w", i + 1)))))
     scores = []
@@ -104,5 +114,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
         scores.append(F.when(near, F.struct(F.lit(name).alias("license"), (F.lit(2.0) * shared / (size + len(own))).alias("dice"))))
     if not scores:
         return docs.sparkSession.createDataFrame([], "doc_id long, license string, dice double, n_passages long")
-    found = rows.select("doc_id", F.explode(F.filter(F.array(*scores), lambda s: s.isNotNull() & (s["dice"] >= threshold))).alias("s"))
-    return found.groupBy("doc_id", F.col("s.license").alias("license")).agg(F.max("s.dice").alias("dice"), F.count("*").alias("n_passages"))
+    found = rows.select("doc_id", "__inside", F.explode(F.filter(F.array(*scores), lambda s: s.isNotNull() & (s["dice"] >= threshold))).alias("s"))
+    counted = found.groupBy("doc_id", F.col("s.license").alias("license"), "__inside", F.col("s.dice").alias("dice")).agg(F.count("*").alias("n"))
+    best = F.max(F.struct(~F.col("__inside"), "dice", "n"))
+    whole = F.sum(F.when(~F.col("__inside"), F.col("n")))
+    return counted.groupBy("doc_id", "license").agg(best["dice"].alias("dice"), F.coalesce(whole, best["n"]).alias("n_passages"))

@@ -192,6 +192,13 @@ def test_license_scan(docs, empty, spark):
     assert license_scan.scan(empty).count() == 0 and license_scan.scan(docs).count() == 0
 
 
+def test_notices_inside_longer_passages(spark):
+    mit = license_scan.TEMPLATES["MIT"] + " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + prose(60, 1)
+    lines = [prose(40, 2) + ". This page says how this corpus was built. Licensed under the Apache License, Version 2.0.", mit, "Released under the MIT License. Released under the MIT License.", prose(20, 3) + " released under\nthe MIT license " + prose(20, 4), "Released under the MIT License.", prose(300, 5) + " the license of the software under license"]
+    found = {(r["doc_id"], r["license"]): (r["dice"], r["n_passages"]) for r in license_scan.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert found == {(0, "Apache-2.0-notice"): (1.0, 1), (1, "MIT"): (1.0, 1), (2, "MIT-notice"): (1.0, 1), (3, "MIT-notice"): (1.0, 1), (4, "MIT-notice"): (1.0, 1)}
+
+
 def test_language(spark):
     rng = np.random.default_rng(9)
     make = {"aa": "la le li lo lu ma", "bb": "trz krz szcz prz drz grz"}
