@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
@@ -84,16 +84,19 @@ def block_fingerprints(texts: list[str | None]) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp: the SimHash as a signed long of the same 64 bits."""
+def fingerprints(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """doc_id, fp: the SimHash as a signed long of the same 64 bits; with a key (a long) that as well."""
+    further = [] if key is None else ["key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1), _BLOCK_BYTES):
                 fp = block_fingerprints(batch.column(1).slice(a, b - a).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                more = [batch.column(2 + k).slice(a, b - a) for k in range(len(further))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fp.view(np.int64)), *more], names=["doc_id", "fp", *further])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, fp long")
+    own = [] if key is None else [key.cast("long").alias("key")]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *own).mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", "fp", *further]))
 
 
 def _syndromes(x: np.ndarray) -> np.ndarray:
@@ -251,32 +254,48 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def _rooted(marked: DataFrame, block: int) -> DataFrame:
+    """fp, least_id, root for every distinct fingerprint of marked."""
+    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+    roots = components(links(distinct, block))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").selectExpr("fp", "least_id", "coalesce(root, fp) as root")
+
+
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
     marked = materialize(fingerprints(docs), "fingerprints")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    roots = components(links(distinct, block))
-    by_root = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").selectExpr("fp", "least_id", "coalesce(root, fp) as root")
+    by_root = _rooted(marked, block)
     least = by_root.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of = by_root.join(least, "root").select("fp", "component_id")
     return marked.join(of, "fp").selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0')) as fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is the smallest of their component, with all columns; rows that share it keep one,
-    rows without doc_id stay."""
-    found = near_duplicates(docs)
-    gone = found.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__gone"))
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all columns, nulls included. Rows with the same doc_id and key are taken to be equal."""
+    return F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
+
+
+def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row of each component, with all columns: that with the smallest doc_id (one without only if none has any), of several the one
+    with the smallest fingerprint and key. Which row stays never depends on rows of other components, even if they share its doc_id."""
+    marked = materialize(fingerprints(docs, row_key(docs)), "fingerprints")
+    rank = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "fp", "key")
+    least = marked.groupBy("fp").agg(F.min(rank).alias("first"))
+    of = materialize(_rooted(marked, block).select("fp", "root").join(least, "fp"), "firsts")
+    best = of.groupBy("root").agg(F.min("first").alias("best"))
+    several = marked.join(of.join(best, "root").select("fp", "best"), "fp")
+    gone = several.where(rank != F.col("best")).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+    repeated = marked.groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
     return _without(docs, gone, repeated)
 
 
 def _without(docs: DataFrame, gone: DataFrame, repeated: DataFrame) -> DataFrame:
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    keyed = docs.withColumn("__own", row_key(docs))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key"))
+    kept = keyed.join(gone, same, "left_anti")
     repeated = materialize(repeated, "repeated")
     if repeated.isEmpty():
-        return kept
-    # rows that share a doc_id are rare: only they are shuffled whole
-    once = kept.join(repeated, kept["doc_id"] == repeated["__gone"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, kept["doc_id"] == repeated["__gone"], "left_anti").unionByName(once)
-
+        return kept.drop("__own")
+    # equal rows are rare: only they are shuffled whole
+    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__own"])
+    return kept.join(repeated, same, "left_anti").unionByName(once).drop("__own")

@@ -98,6 +98,16 @@ def test_simhash(docs, empty):
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted({v for v in least.values() if v is not None})
 
 
+def test_keep_one_goes_by_row(spark):
+    a, b, c, d, e = (prose(60, s) for s in range(20, 25))
+    # a, b, c and d are components; 5 is an id of two unrelated texts, null ids hold copies of one another and of 9
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "x"), (9, b, "x"), (None, c, "x"), (None, c, "y"), (None, b, "x"), (7, d, "x"), (7, d, "x"), (7, d, None), (None, e, None), (None, e, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = simhash.keep_one(docs).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([("3", a), ("5", b), ("None", c), ("7", d), ("None", e)])
+    assert sorted(map(str, simhash.keep_one(docs.repartition(3)).collect())) == sorted(map(str, kept))
+
+
 @pytest.mark.parametrize("block", [8192, 8])
 def test_links_of_dense_balls(spark, block):
     rng = np.random.default_rng(5)
