@@ -8,7 +8,8 @@ of a source may be cut.
 
 A source's weight varies over training: ``w(t) = 1 + slope * (t - 1/2)`` for t in [0, 1]. Its integral is the share of the
 source's demand that has been met by then; inverted at a document's cumulative words it gives the document's training
-position, and documents are range-sorted by position. Prefix sums go through two levels of hash buckets, so no window holds
+position, and documents are range-sorted by position. A table of one row a document (``mix``) has the position of the first copy; the mix
+itself (``mixed_documents``) gives each copy its own. Prefix sums go through two levels of hash buckets, so no window holds
 more than about a millionth of a source.
 
 Defined cases: a null or blank text has size 0 and takes nothing (position null); a null source is a source of its own, ranked
@@ -88,8 +89,8 @@ def row_hash() -> Column:
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, source, position, range-sorted by position."""
+def _planned(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, __h, __before, source_size, slope, target, taken, copies: a row for each of docs."""
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), row_hash().alias("__h"))
     sized = materialize(sized, "sizes")
     targets = source_targets(sized).select(F.col("source").alias("__source"), "source_size", "slope", "target")
@@ -101,17 +102,37 @@ def mix(docs: DataFrame) -> DataFrame:
     epochs = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(F.lit(0))
     rest = goal - epochs * F.col("source_size")
     partly = F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("__before")))
-    share = F.when((F.col("size") > 0) & (F.col("taken") > 0), F.least(F.lit(1.0), (F.col("__before") + F.least("size", "taken") / 2) / F.col("target")))
     out = rows.withColumn("taken", (epochs * F.col("size") + partly).cast("long"))
-    out = out.withColumn("copies", F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("long"))
-    out = out.withColumn("position", position(share, F.col("slope")))
+    return out.withColumn("copies", F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("long"))
+
+
+def _share(copy: Column) -> Column:
+    """The share of its source's demand that is met in the middle of a document's copy, counted from 0."""
+    own = F.least(F.col("size"), F.col("taken") - copy * F.col("size"))
+    return F.least(F.lit(1.0), (copy * F.col("source_size") + F.col("__before") + own / 2) / F.col("target"))
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies, source, position (of the first copy), range-sorted by position."""
+    share = F.when((F.col("size") > 0) & (F.col("taken") > 0), _share(F.lit(0)))
+    out = _planned(docs).withColumn("position", position(share, F.col("slope")))
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id", "__h").select("doc_id", "size", "source_size", "target", "taken", "copies", "source", "position", F.col("__h").alias("row_hash"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself, with all columns: a document stands as often as it is taken (the last time whole, too), not at all
-    if nothing of it is taken. Equal rows stand alike."""
+    """The mix itself, with all columns, range-sorted by training position: a document stands as often as it is taken (the last
+    time whole, too), each copy at a position of its own, not at all if nothing of it is taken."""
     names = docs.columns
-    plan = mix(docs).where("taken > 0").groupBy("row_hash").agg(F.max("copies").cast("int").alias("__copies")).withColumnRenamed("row_hash", "__hash")
+    places = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), lambda e: position(_share(e), F.col("slope"))))
+    plan = _planned(docs).select(F.col("__h").alias("__hash"), F.col("source").alias("__source"), "__before", F.coalesce(places, F.array().cast("array<double>")).alias("at"))
+    plan = plan.groupBy("__hash", "__source").agg(F.sort_array(F.collect_list(F.struct("__before", "at"))).alias("__plan"))
+    plan = materialize(plan, "plan")
     rows = docs.withColumn("__own", row_hash())
-    return rows.join(plan, rows["__own"] == F.col("__hash")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
+    same = (F.col("__own") == F.col("__hash")) & F.col("source").cast("string").eqNullSafe(F.col("__source"))
+    # rows that share id, text and source are rare: only they are numbered, each for a place in the plan of its own
+    once, repeated = plan.where((F.size("__plan") == 1) & (F.size(F.col("__plan")[0]["at"]) > 0)), plan.where(F.size("__plan") > 1)
+    out = rows.join(once, same).withColumn("__at", F.col("__plan")[0]["at"])
+    if not repeated.isEmpty():
+        number = F.row_number().over(Window.partitionBy("__hash", "__source").orderBy(F.xxhash64(*names)))
+        out = out.unionByName(rows.join(repeated, same).withColumn("__n", number).withColumn("__at", F.get("__plan", F.col("__n") - 1)["at"]).drop("__n"))
+    return out.withColumn("__position", F.explode("__at")).orderBy("__position", "__own").select(*names)

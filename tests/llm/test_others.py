@@ -94,6 +94,23 @@ def test_mixing(spark):
     assert out.columns == docs.columns and out.where("doc_id = 1000").isEmpty()
 
 
+def test_every_copy_has_its_position(spark):
+    # one source: three halves of it, so every document once and then the first half again, in the same order
+    docs = spark.createDataFrame([(i, f"w{i} x", "s") for i in range(40)], "doc_id long, text string, source string")
+    order = [r["doc_id"] for r in mixing.mixed_documents(docs).collect()]
+    assert sorted(order[:40]) == list(range(40)) and order[40:] == order[:20]
+    # a small source is taken twice and spread over the whole mix; repeated rows count each
+    rows = [(i, f"a{i} x", "a") for i in range(20)] + [(i, f"b{i} x", "b") for i in range(200)] + [(300, "b b", "b")] * 3 + [(300, "b b", "a"), (301, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {(r["doc_id"], r["source"]): 0 for r in mixing.mix(docs).collect()}
+    for r in mixing.mix(docs).collect():
+        want[r["doc_id"], r["source"]] += r["copies"]
+    found = [(r["doc_id"], r["source"]) for r in mixing.mixed_documents(docs).collect()]
+    assert {k: found.count(k) for k in want} == want and len(found) == sum(want.values())
+    small = [k for k in found if k[1] == "a"]
+    assert small[: len(small) // 2] == small[len(small) // 2 :] and max(i for i, k in enumerate(found) if k[1] == "a") > 0.9 * len(found)
+
+
 def test_position_inverts_the_schedule(spark):
     grid = spark.range(21).select((F.col("id") / 20).alias("t"))
     for slope in (-1.0, 0.0, 1.0):
