@@ -1,13 +1,15 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 Two GRUs read a window of bytes from either side; at every byte both states give a softmax over the languages. The
-network is trained in numpy by backpropagation through time on the driver, from a bounded sample of labelled documents
-(``DOCS_PER_LANG`` expected documents of each language, ``WINDOWS`` passages of each, at offsets drawn from a hash).
+network is trained in numpy by backpropagation through time on the driver, from a bounded sample of labelled documents: of
+every language the ``DOCS_PER_LANG`` documents whose hashes are smallest, ``WINDOWS`` passages of each, at offsets drawn from a hash.
+The states grow with the number of languages (``hidden_size``), the training steps with its root. Every language is learned;
+more than ``MAX_LANGS`` raise an error, as the column can hardly be one of languages then.
 Prediction runs over whole texts: a text is cut into windows, all windows of a block advance together, every byte is
 labelled, and the document's probabilities are the means over the bytes of letters.
 
 Defined cases: a null text, or one without a letter, gets ``und`` and score 0; so does every document when nothing is
-labelled. Only ``text`` enters a prediction. Rows without doc_id are neither held out nor learnt from. Repeated rows
+labelled; a language whose labelled texts are all null or empty can't be learned. Only ``text`` enters a prediction. Rows without doc_id are neither held out nor learnt from. Repeated rows
 get equal results; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -18,9 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: States of each direction up to eight languages.
 HIDDEN = 8
 #: Bytes of a window; recurrence starts anew in each.
 WINDOW = 64
@@ -30,7 +33,8 @@ LANES = 2048
 DOCS_PER_LANG = 500
 WINDOWS = 4
 PASSAGE = 120
-MAX_LANGS = 64
+MAX_LANGS = 4096
+#: Up to four languages.
 STEPS = 300
 BATCH = 128
 UNKNOWN = "und"
@@ -48,14 +52,23 @@ class Model:
     out: list[np.ndarray]
     bias: np.ndarray
 
+    @property
+    def hidden(self) -> int:
+        return self.recurrent[0].shape[1]
+
     def parameters(self) -> list[np.ndarray]:
         return [*self.tables, *self.recurrent, *self.out, self.bias]
 
 
+def hidden_size(langs: int) -> int:
+    """HIDDEN states up to eight languages, four more for each doubling."""
+    return HIDDEN + 4 * max(0, (langs - 1).bit_length() - 3)
+
+
 def new_model(langs: list[str], seed: int = 7) -> Model:
-    rng = np.random.default_rng(seed)
+    rng, h = np.random.default_rng(seed), hidden_size(len(langs))
     draw = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
-    return Model(langs, [draw(3 * HIDDEN, 256, scale=0.3) for _ in "fb"], [draw(3 * HIDDEN, HIDDEN, scale=0.3) for _ in "fb"], [draw(len(langs), HIDDEN, scale=0.3) for _ in "fb"], np.zeros((len(langs), 1), np.float32))
+    return Model(langs, [draw(3 * h, 256, scale=0.3) for _ in "fb"], [draw(3 * h, h, scale=0.3) for _ in "fb"], [draw(len(langs), h, scale=0.3) for _ in "fb"], np.zeros((len(langs), 1), np.float32))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -70,7 +83,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def loss_and_gradients(model: Model, x: np.ndarray, mask: np.ndarray, labels: np.ndarray) -> tuple[float, list[np.ndarray]]:
     """Mean cross-entropy over the unmasked bytes and its gradients, by backpropagation through time. x: (steps, lanes)."""
     steps, lanes = x.shape
-    h_ = HIDDEN
+    h_ = model.hidden
     tapes, states = [], []
     for d, times in ((0, range(steps)), (1, range(steps - 1, -1, -1))):
         h = np.zeros((h_, lanes), np.float32)
@@ -117,11 +130,12 @@ def loss_and_gradients(model: Model, x: np.ndarray, mask: np.ndarray, labels: np
     return loss, grads
 
 
-def train(passages: list[tuple[bytes, str]], steps: int = STEPS, seed: int = 11) -> Model | None:
+def train(passages: list[tuple[bytes, str]], steps: int | None = None, seed: int = 11) -> Model | None:
     """Adam over windows cut at random from the passages; every language is drawn equally often."""
     langs = sorted({lang for _, lang in passages})
     if not langs:
         return None
+    steps = steps or round(STEPS * max(1.0, len(langs) / 4) ** 0.5)
     model = new_model(langs)
     if len(langs) == 1:
         return model
@@ -150,35 +164,36 @@ def train(passages: list[tuple[bytes, str]], steps: int = STEPS, seed: int = 11)
 
 def _advance(table: np.ndarray, recurrent: np.ndarray, x: np.ndarray, h: np.ndarray) -> np.ndarray:
     """One step for all lanes; the update and reset rows of table and recurrent are halved beforehand."""
+    k = len(h)
     a = table.take(x, 1)
     u = recurrent @ h
-    gates = np.tanh(a[: 2 * HIDDEN] + u[: 2 * HIDDEN])
+    gates = np.tanh(a[: 2 * k] + u[: 2 * k])
     gates += 1
     gates *= 0.5
-    n = gates[HIDDEN:]
-    n *= u[2 * HIDDEN :]
-    n += a[2 * HIDDEN :]
+    n = gates[k:]
+    n *= u[2 * k :]
+    n += a[2 * k :]
     np.tanh(n, out=n)
     h = h - n
-    h *= gates[:HIDDEN]
+    h *= gates[:k]
     h += n
     return h
 
 
 def window_sums(model: Model, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """(langs, lanes): sums of the position probabilities over the bytes of letters. x, mask: (steps, lanes)."""
-    half = np.r_[np.full(2 * HIDDEN, 0.5), np.ones(HIDDEN)].astype(np.float32)[:, None]
+    half = np.r_[np.full(2 * model.hidden, 0.5), np.ones(model.hidden)].astype(np.float32)[:, None]
     tables, recurrent = [t * half for t in model.tables], [r * half for r in model.recurrent]
     steps, lanes = x.shape
     x = x.astype(np.intp)
     votes = _LETTER[x] * mask
     forward = np.empty((steps, len(model.langs), lanes), np.float32)
-    h = np.zeros((HIDDEN, lanes), np.float32)
+    h = np.zeros((model.hidden, lanes), np.float32)
     for t in range(steps):
         h = _advance(tables[0], recurrent[0], x[t], h)
         np.matmul(model.out[0], h, out=forward[t])
     sums = np.zeros((len(model.langs), lanes), np.float32)
-    h = np.zeros((HIDDEN, lanes), np.float32)
+    h = np.zeros((model.hidden, lanes), np.float32)
     for t in range(steps - 1, -1, -1):
         h = _advance(tables[1], recurrent[1], x[t], h)
         h *= mask[t]
@@ -226,20 +241,32 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame) -> list[tuple[bytes, str]]:
-    """Passages of a bounded number of labelled documents that are not held out."""
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+def cutoff(count: int, wanted: int) -> int:
+    """Below which of 2**62 hashes about four times the wanted of ``count`` rows lie; all, of few."""
+    return (1 << 62) if count <= 8 * wanted else (4 * wanted << 62) // count
+
+
+def sample(docs: DataFrame, wanted: int = DOCS_PER_LANG) -> list[tuple[bytes, str]]:
+    """Passages of a bounded number of labelled documents that are not held out, of each language.
+
+    A cut on the hash of doc_id leaves a few times as many rows as are wanted, of however many; of those the ones with the smallest hashes are taken.
+    """
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    labelled = labelled.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") > 0))
+    counts = labelled.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     if not counts:
         return []
-    share = F.lit(0)
-    for row in counts:
-        share = F.when(F.col("lang") == row["lang"], int(min(1.0, DOCS_PER_LANG / row["count"]) * (1 << 20))).otherwise(share)
-    drawn = labelled.withColumn("h", F.xxhash64("doc_id")).where(F.pmod("h", F.lit(1 << 20)) < share).where("text is not null").orderBy("h", "doc_id", "lang").limit(2 * DOCS_PER_LANG * len(counts))
+    few = docs.sparkSession.createDataFrame([(r["lang"], cutoff(r["count"], wanted)) for r in counts], "lang string, below long")
+    hashed = labelled.withColumn("h", F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 62) - 1)))
+    first = Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text"))
     room = F.greatest(F.lit(1), F.length("text") - PASSAGE + 1)
     passages = [F.substring("text", (F.pmod(F.xxhash64("doc_id", F.lit(k)), room) + 1).cast("int"), F.lit(PASSAGE)) for k in range(WINDOWS)]
-    rows = drawn.select("lang", F.array(*passages).alias("p")).collect()
-    return [(q, r["lang"]) for r in rows for p in dict.fromkeys(r["p"]) if len(q := p.encode("utf-8", "surrogatepass")) >= 8]
+    drawn = hashed.join(F.broadcast(few), "lang").where("h < below").withColumn("p", F.array(*passages)).withColumn("n", F.row_number().over(first)).where(F.col("n") <= wanted)
+    rows = drawn.select("lang", "h", "doc_id", "p").collect()
+    ordered = sorted(rows, key=lambda r: (r["h"], r["doc_id"], r["lang"], r["p"]))
+    return [(q, r["lang"]) for r in ordered for p in dict.fromkeys(r["p"]) if (q := p.encode("utf-8", "surrogatepass"))]
 
 
 def fit(docs: DataFrame) -> Model | None:
@@ -281,6 +308,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The documents whose language is known with a probability of ``least`` or more, with all columns."""
+    """The documents whose language is known with a probability of ``least`` or more, with all columns. A column named __lang is an error."""
+    if "__lang" in docs.columns:
+        raise ValueError("the column __lang is the operator's own")
     run = classifier(fit(docs))
     return docs.withColumn("__lang", run(F.col("text").cast("string"))).where((F.col("__lang.lang_pred") != UNKNOWN) & (F.col("__lang.score") >= least)).drop("__lang")
