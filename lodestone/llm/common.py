@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,10 +11,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words everywhere in this subpackage are runs of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
+#: Rows of a few numbers each that may be broadcast once they are counted.
+BROADCAST_ROWS = 1_000_000
+#: A key is hot if it has more than one of so many rows; there are fewer hot keys than that.
+HOT_SHARE = 200
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +53,25 @@ def delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` gave and nothing will read again."""
+    for df in tables:
+        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+            delete(df.sparkSession, folder)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` outer join of two stored tables on a long key that is never null; ``right`` has at most one row a key. Hot keys of ``left`` (fewer than
+    ``HOT_SHARE``, as each has more than one of so many of its rows) meet their rows by broadcast, so none of them lands in one task."""
+    n = left.count()
+    hot = left.groupBy(key).count().where(F.col("count") * HOT_SHARE > n).select(F.col(key).alias("__hot"))
+    found = right.join(F.broadcast(hot), right[key] == F.col("__hot"), "right").drop(key)
+    names = [c for c in right.columns if c != key]
+    marked = left.join(F.broadcast(found), left[key] == F.col("__hot"), "left")
+    cold = marked.where("__hot is null").drop("__hot", *names).join(right, key, "left")
+    return cold.unionByName(marked.where("__hot is not null").drop("__hot"))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: lineage ends here, and lost executors cost nothing."""
     spark = df.sparkSession

@@ -8,8 +8,8 @@ fingerprints are compared per anchor only. (The two bits outside the codes are c
 
 Only distinct fingerprints are compared: groups of equal fingerprints are folded first. A comparison leaves a spanning
 forest of each anchor's links, never all its pairs; an anchor with more than ``block`` fingerprints is cut into blocks,
-and pairs of blocks are compared apart, in different tasks. Components of the forests come from iterated minimum labels
-with pointer jumping over tables in the shared folder.
+and pairs of blocks are compared apart, in different tasks. Components of the forests come from contraction to minimum labels
+over tables in the shared folder.
 
 Defined cases: a null, empty or blank text has fingerprint zero and is linked like any other; repeated rows keep one
 result row each; rows without doc_id get the smallest doc_id of their component, null if it has none; an empty table
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import BROADCAST_ROWS, discard, join_hot, materialize, slices
 from .xxh64 import xxh64
 
 SHINGLE = 3
@@ -235,30 +235,51 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, root): the smallest node of each node's component, for every node that has an edge.
 
-    Each round links every node to the smallest label around it and then jumps to that label's label, so the number of
-    rounds grows with the logarithm of the longest path. Raises when max_rounds don't settle it.
+    Each round labels every node with the smallest one around it, jumps to the label's label until that is a node without a smaller
+    neighbour, and contracts the edges to those between labels; what has no edge left is settled and drops out. At least half of a
+    component's nodes go in a round, so rounds and jumps grow with the logarithm of the largest component and the tables shrink. The
+    rounds' labels are then put one after the other.
+    Joins on a hub of many edges, or on the label of many nodes, go by ``join_hot``. Raises when max_rounds don't settle it.
     """
-    both = materialize(edges.selectExpr("a as node", "b as near").unionByName(edges.selectExpr("b as node", "a as near")), "edges")
-    label = materialize(both.groupBy("node").agg(F.min("near").alias("m")).selectExpr("node", "least(node, m) as root"), "labels")
-    for _ in range(max_rounds):
-        around = both.join(label.withColumnRenamed("node", "near"), "near").groupBy("node").agg(F.min("root").alias("m"))
-        lower = label.join(around, "node").selectExpr("node", "root", "least(root, m) as m")
-        # the old root also learns the lower label, then everyone jumps
-        hook = lower.where("m < root").groupBy("root").agg(F.min("m").alias("h")).withColumnRenamed("root", "node")
-        hooked = lower.join(hook, "node", "left").selectExpr("node", "root as old", "least(m, coalesce(h, m)) as root")
-        jump = hooked.selectExpr("node as root", "root as to")
-        new = materialize(hooked.join(jump, "root", "left").selectExpr("node", "old", "least(root, coalesce(to, root)) as root"), "labels")
-        label = new.select("node", "root")
-        if new.where("root < old").isEmpty():
-            return label
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    left = materialize(edges.selectExpr("least(a, b) as a", "greatest(a, b) as b").where("a < b").distinct(), "edges")
+    labels = []
+    while not left.isEmpty():
+        if len(labels) >= max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        around = left.selectExpr("a as node", "a as root").unionByName(left.selectExpr("b as node", "a as root"))
+        label = materialize(around.groupBy("node").agg(F.min("root").alias("root")), "labels")
+        moved = True
+        while moved:
+            jump = label.selectExpr("node as root", "root as to")
+            jumped = materialize(join_hot(label, jump, "root").selectExpr("node", "to as root", "to <> root as moved"), "labels")
+            moved = not jumped.where("moved").isEmpty()
+            discard(label)
+            label = jumped.drop("moved")
+        labels.append(label)
+        ends = join_hot(left.withColumnRenamed("a", "node"), label, "node").selectExpr("root as a", "b as node")
+        ends = join_hot(ends, label, "node").selectExpr("a", "root as b").where("a <> b")
+        narrow = materialize(ends.selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct(), "edges")
+        discard(left)
+        left = narrow
+    if not labels:
+        return left.selectExpr("a as node", "b as root")
+    discard(left)
+    found = labels.pop()
+    while labels:
+        # a label without edges in the later rounds stays
+        earlier = labels.pop()
+        later = found.selectExpr("node as root", "root as to")
+        joined = materialize(join_hot(earlier, later, "root").selectExpr("node", "coalesce(to, root) as root"), "labels")
+        discard(earlier, found)
+        found = joined
+    return found
 
 
 def _rooted(marked: DataFrame, block: int) -> DataFrame:
     """fp, least_id, root for every distinct fingerprint of marked."""
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
     roots = components(links(distinct, block))
-    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").selectExpr("fp", "least_id", "coalesce(root, fp) as root")
+    return materialize(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").selectExpr("fp", "least_id", "coalesce(root, fp) as root"), "roots")
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -266,8 +287,8 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     marked = materialize(fingerprints(docs), "fingerprints")
     by_root = _rooted(marked, block)
     least = by_root.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of = by_root.join(least, "root").select("fp", "component_id")
-    return marked.join(of, "fp").selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0')) as fingerprint", "component_id")
+    of = materialize(join_hot(by_root, least, "root").select("fp", "component_id"), "components")
+    return join_hot(marked, of, "fp").selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0')) as fingerprint", "component_id")
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -277,25 +298,31 @@ def row_key(docs: DataFrame) -> Column:
 
 def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row of each component, with all columns: that with the smallest doc_id (one without only if none has any), of several the one
-    with the smallest fingerprint and key. Which row stays never depends on rows of other components, even if they share its doc_id."""
+    with the smallest fingerprint and key. Which row stays never depends on rows of other components, even if they share its doc_id.
+
+    Only ids, fingerprints and keys are shuffled to decide; the documents then meet the keys of the rows that go, which are broadcast up to
+    ``BROADCAST_ROWS`` of them and joined beyond. Columns named __own, __id or __key are an error."""
+    if {"__own", "__id", "__key"} & set(docs.columns):
+        raise ValueError("columns __own, __id and __key are the operator's own")
     marked = materialize(fingerprints(docs, row_key(docs)), "fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "fp", "key")
     least = marked.groupBy("fp").agg(F.min(rank).alias("first"))
     of = materialize(_rooted(marked, block).select("fp", "root").join(least, "fp"), "firsts")
-    best = of.groupBy("root").agg(F.min("first").alias("best"))
-    several = marked.join(of.join(best, "root").select("fp", "best"), "fp")
+    best = materialize(of.groupBy("root").agg(F.min("first").alias("best")), "best")
+    several = join_hot(marked, materialize(join_hot(of, best, "root").select("fp", "best"), "best"), "fp")
     gone = several.where(rank != F.col("best")).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
     repeated = marked.groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
-    return _without(docs, gone, repeated)
+    return _without(docs, materialize(gone, "gone"), materialize(repeated, "repeated"))
 
 
 def _without(docs: DataFrame, gone: DataFrame, repeated: DataFrame) -> DataFrame:
     keyed = docs.withColumn("__own", row_key(docs))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key"))
-    kept = keyed.join(gone, same, "left_anti")
-    repeated = materialize(repeated, "repeated")
+    few = lambda keys: F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+    kept = keyed.join(few(gone), same, "left_anti")
     if repeated.isEmpty():
         return kept.drop("__own")
     # equal rows are rare: only they are shuffled whole
+    repeated = few(repeated)
     once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__own"])
     return kept.join(repeated, same, "left_anti").unionByName(once).drop("__own")
