@@ -60,16 +60,18 @@ def discard(*tables: DataFrame) -> None:
             delete(df.sparkSession, folder)
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """``left`` outer join of two stored tables on a long key that is never null; ``right`` has at most one row a key. Hot keys of ``left`` (fewer than
+def join_hot(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """``left`` outer join of two stored tables on keys that are never null; ``right`` has at most one row a key. Hot keys of ``left`` (fewer than
     ``HOT_SHARE``, as each has more than one of so many of its rows) meet their rows by broadcast, so none of them lands in one task."""
     n = left.count()
-    hot = left.groupBy(key).count().where(F.col("count") * HOT_SHARE > n).select(F.col(key).alias("__hot"))
-    found = right.join(F.broadcast(hot), right[key] == F.col("__hot"), "right").drop(key)
-    names = [c for c in right.columns if c != key]
-    marked = left.join(F.broadcast(found), left[key] == F.col("__hot"), "left")
-    cold = marked.where("__hot is null").drop("__hot", *names).join(right, key, "left")
-    return cold.unionByName(marked.where("__hot is not null").drop("__hot"))
+    own = [f"__hot_{k}" for k in keys]
+    hot = left.groupBy(*keys).count().where(F.col("count") * HOT_SHARE > n).select(*(F.col(k).alias(h) for k, h in zip(keys, own)), F.lit(True).alias("__hot"))
+    same = lambda df: [df[k] == F.col(h) for k, h in zip(keys, own)]
+    found = right.join(F.broadcast(hot), same(right), "right").drop(*keys)
+    names = [c for c in right.columns if c not in keys]
+    marked = left.join(F.broadcast(found), same(left), "left")
+    cold = marked.where("__hot is null").drop("__hot", *own, *names).join(right, list(keys), "left")
+    return cold.unionByName(marked.where("__hot").drop("__hot", *own))
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

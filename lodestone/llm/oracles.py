@@ -35,33 +35,74 @@ WITH templates(license, words) AS (
 SELECT doc_id, license, max(dice) AS dice, count(*) AS n_passages FROM scored WHERE dice >= CAST({THRESHOLD} AS DOUBLE) GROUP BY doc_id, license
 """
 
-# a call's need is the exchange before its own, so its step is its own turn
+# cycles from the closure of the needs, steps from the values along all paths: conversations are short
 _OP4 = """
-WITH turns AS (
-  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, lower(role) AS role, text FROM conversations
-  WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+WITH RECURSIVE turns AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, lower(role) AS role, text, CASE WHEN length(text) >= 8 THEN length(text) ELSE 11 END AS n,
+    CAST(to_json(text) AS VARCHAR) AS quoted
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
 ), parts AS (
-  SELECT conv_id, turn, text, coalesce('"question":' || CAST(to_json(text) AS VARCHAR), '') AS question,
-    CASE WHEN turn >= 2 THEN '"needs":["call_' || (turn - 2) || '"]' ELSE '' END AS needs
-  FROM turns WHERE role = 'user'
-), calls AS (
-  SELECT conv_id, turn, text IS NOT NULL AS complete,
-    '{"turn":' || turn || CASE WHEN question <> '' THEN ',' || question ELSE '' END || CASE WHEN needs <> '' THEN ',' || needs ELSE '' END || '}' AS arguments,
-    '{' || CASE WHEN needs <> '' THEN needs || ',' ELSE '' END || CASE WHEN question <> '' THEN question || ',' ELSE '' END || '"turn":' || turn || '}' AS canonical
+  SELECT conv_id, turn, role, text, n, quoted,
+    [x FOR x IN [CASE WHEN turn >= 2 AND n % 3 <> 0 THEN 'call_' || (turn - 2) END, CASE WHEN n % 4 = 1 THEN 'call_' || (turn + 2) END] IF x IS NOT NULL] AS needs
+  FROM turns
+), fields AS (
+  SELECT *, CASE WHEN len(needs) > 0 THEN '"needs":["' || array_to_string(needs, '","') || '"]' END AS f_needs,
+    '"question":' || quoted AS f_question, CASE WHEN n % 7 = 0 THEN '"extra":true' END AS f_extra,
+    '"turn":' || CASE WHEN n % 5 = 0 THEN '"' || turn || '"' ELSE '' || turn END AS f_turn
   FROM parts
+), calls AS (
+  SELECT conv_id, 'call_' || turn AS call_id, turn, 'reply' AS name, needs, text IS NOT NULL AND n % 5 <> 0 AND n % 7 <> 0 AS valid,
+    '{' || concat_ws(',', f_turn, f_question, f_needs, f_extra) || '}' AS arguments, '{' || concat_ws(',', f_extra, f_needs, f_question, f_turn) || '}' AS canonical
+  FROM fields WHERE role = 'user'
+  UNION ALL
+  SELECT conv_id, 'call_' || (turn - 1), turn, 'reply', [], text IS NOT NULL,
+    '{' || concat_ws(',', '"turn":' || turn, f_question) || '}', '{' || concat_ws(',', f_question, '"turn":' || turn) || '}'
+  FROM fields WHERE role = 'assistant' AND n % 6 = 0
+  UNION ALL
+  SELECT conv_id, 'find_' || turn, turn, 'search', ['call_' || (turn - 1)], text IS NOT NULL,
+    '{' || concat_ws(',', '"query":' || quoted, '"needs":["call_' || (turn - 1) || '"]') || '}', '{' || concat_ws(',', '"needs":["call_' || (turn - 1) || '"]', '"query":' || quoted) || '}'
+  FROM fields WHERE role = 'assistant' AND n % 4 = 2
 ), asked AS (
-  SELECT conv_id, turn, arg_min(complete, arguments) AS complete, arg_min(canonical, arguments) AS canonical FROM calls GROUP BY conv_id, turn
+  SELECT * FROM calls QUALIFY row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, name, arguments) = 1
 ), given AS (
-  SELECT DISTINCT conv_id, turn AS result_turn FROM turns WHERE role = 'assistant'
+  SELECT conv_id, 'call_' || (turn - 1) AS call_id, min(turn) AS result_turn FROM turns WHERE role = 'assistant' GROUP BY ALL
+), wanted AS (
+  SELECT conv_id, call_id AS dst, unnest(list_distinct(needs)) AS src FROM asked
+), edges AS (
+  SELECT w.conv_id, src, dst FROM wanted w JOIN asked a ON a.conv_id = w.conv_id AND a.call_id = src
+), lost AS (
+  SELECT DISTINCT conv_id, dst AS call_id FROM wanted w ANTI JOIN asked a ON a.conv_id = w.conv_id AND a.call_id = w.src
+), reach AS (
+  SELECT * FROM edges
+  UNION
+  SELECT r.conv_id, r.src, e.dst FROM reach r JOIN edges e ON e.conv_id = r.conv_id AND e.src = r.dst
+), cyclic AS (
+  SELECT conv_id, src AS call_id FROM reach WHERE src = dst
+), blocked AS (
+  SELECT DISTINCT r.conv_id, r.dst AS call_id FROM reach r JOIN cyclic c ON c.conv_id = r.conv_id AND c.call_id = r.src
+), open AS (
+  SELECT e.* FROM edges e ANTI JOIN reach r ON r.conv_id = e.conv_id AND r.src = e.dst AND r.dst = e.src WHERE e.src <> e.dst
+), placed AS (
+  SELECT a.conv_id, a.call_id, a.turn AS step, 0 AS depth, g.result_turn FROM asked a LEFT JOIN given g ON g.conv_id = a.conv_id AND g.call_id = a.call_id
+  UNION
+  SELECT a.conv_id, a.call_id,
+    CASE WHEN (greatest(p.step, coalesce(p.result_turn, p.step)), CASE WHEN coalesce(p.result_turn, p.step) > p.step THEN 0 ELSE p.depth + 1 END) > (a.turn, 0) THEN greatest(p.step, coalesce(p.result_turn, p.step)) ELSE a.turn END,
+    CASE WHEN (greatest(p.step, coalesce(p.result_turn, p.step)), CASE WHEN coalesce(p.result_turn, p.step) > p.step THEN 0 ELSE p.depth + 1 END) > (a.turn, 0) THEN CASE WHEN coalesce(p.result_turn, p.step) > p.step THEN 0 ELSE p.depth + 1 END ELSE 0 END,
+    g.result_turn
+  FROM placed p JOIN open o ON o.conv_id = p.conv_id AND o.src = p.call_id JOIN asked a ON a.conv_id = o.conv_id AND a.call_id = o.dst
+  LEFT JOIN given g ON g.conv_id = a.conv_id AND g.call_id = a.call_id
+), steps AS (
+  SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY conv_id, call_id ORDER BY step DESC, depth DESC) = 1
 )
-SELECT coalesce(a.conv_id, g.conv_id) AS conv_id, 'call_' || coalesce(a.turn, result_turn - 1) AS call_id,
-  CASE WHEN a.conv_id IS NULL THEN 'orphan' WHEN g.conv_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
-  CASE WHEN a.conv_id IS NOT NULL THEN 'reply' END AS name,
-  coalesce(a.turn, result_turn) AS step, CAST(0 AS INTEGER) AS depth, result_turn AS result_step,
-  CASE WHEN a.conv_id IS NOT NULL THEN a.complete AND (a.turn < 2 OR n.conv_id IS NOT NULL) END AS valid,
-  FALSE AS cyclic, a.canonical AS canonical
-FROM asked a FULL JOIN given g ON a.conv_id = g.conv_id AND a.turn = result_turn - 1
-LEFT JOIN asked n ON n.conv_id = a.conv_id AND n.turn = a.turn - 2
+SELECT coalesce(a.conv_id, g.conv_id) AS conv_id, coalesce(a.call_id, g.call_id) AS call_id,
+  CASE WHEN a.conv_id IS NULL THEN 'orphan' WHEN g.conv_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status, a.name AS name,
+  coalesce(s.step, g.result_turn) AS step, CAST(coalesce(s.depth, 0) AS INTEGER) AS depth, CASE WHEN g.result_turn IS NOT NULL THEN greatest(g.result_turn, coalesce(s.step, g.result_turn)) END AS result_step,
+  CASE WHEN a.conv_id IS NOT NULL THEN a.valid AND l.conv_id IS NULL END AS valid,
+  c.conv_id IS NOT NULL AS cyclic, b.conv_id IS NOT NULL AND c.conv_id IS NULL AS blocked, a.canonical AS canonical
+FROM asked a FULL JOIN given g ON a.conv_id = g.conv_id AND a.call_id = g.call_id
+LEFT JOIN steps s ON s.conv_id = a.conv_id AND s.call_id = a.call_id LEFT JOIN lost l ON l.conv_id = a.conv_id AND l.call_id = a.call_id
+LEFT JOIN (SELECT DISTINCT * FROM cyclic) c ON c.conv_id = a.conv_id AND c.call_id = a.call_id LEFT JOIN blocked b ON b.conv_id = a.conv_id AND b.call_id = a.call_id
+WHERE g.conv_id IS NULL OR g.result_turn IS NOT NULL
 """
 
 _OP5 = r"""

@@ -3,11 +3,15 @@
 Calls and results are hash-joined by (conversation, call identifier). Calls may depend on the results of other calls; they are put
 into topological order by the earliest step at which everything that they need is there: a call's step is the greatest of
 its own turn and the steps of the results that it needs, a result's the greater of its own turn and its call's step, and ``depth``
-orders what shares a step. A call that needs itself, if only by way of others, is in a cycle and marked; needs within a cycle are left out of
-the order, and calls after a cycle are placed after it. Steps are relaxed along the other dependencies until nothing moves, which is
-at once where the log is in order already, and takes as many rounds as the longest chain that isn't. Cycles are found by
-squaring the needs, in those conversations only where a call needs one that isn't of an earlier turn. Arguments are parsed as variants, held against the
-schema of their function, and serialised as canonical JSON (keys sorted, no blanks).
+orders what shares a step. A call that needs itself, if only by way of others, is in a cycle and marked ``cyclic``; what needs such a call, if
+only by way of others, is ``blocked``. Needs within a cycle are left out of the order, and calls after a cycle are placed after it.
+
+Steps start from the turns and are relaxed along the needs, from the calls that moved in the round before only, until nothing
+moves: at once where the log is in order already, in as many rounds as the longest chain that isn't, with no limit. Cycles lie in
+conversations where some need isn't of an earlier turn; there calls that nothing needs or that need nothing are peeled off layer by layer, and
+what is left is told apart by colouring (the smallest name that reaches a call, then back from it within its colour). Tables of pairs are never
+made: every step holds at most the needs themselves. Small sides are broadcast once counted; beyond, hot calls are joined apart.
+Arguments are parsed as variants, held against the schema of their function, and serialised as canonical JSON (keys sorted, no blanks).
 
 Defined cases: rows without conversation or call id are dropped from linking; of repeated call ids in a conversation the one with the smallest (turn,
 name, arguments) counts, and of repeated results likewise; a call without result is ``unanswered``, a result without call an ``orphan``; arguments that
@@ -17,16 +21,21 @@ an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import BROADCAST_ROWS, join_hot, materialize
 
 #: Function -> field -> (types of schema_of_variant, required).
 Schema = dict[str, dict[str, tuple[str, bool]]]
 TYPES = {"string": r"^STRING$", "integer": r"^BIGINT$", "number": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL\(.*\))$", "boolean": r"^BOOLEAN$", "array": r"^ARRAY<.*>$", "object": r"^OBJECT<.*>$"}
-#: The function that a user's turn calls in ``conversation_calls``.
-CHAT_SCHEMA: Schema = {"reply": {"question": ("string", True), "turn": ("integer", True), "needs": ("array", False)}}
+#: The functions that turns call in ``conversation_calls``.
+CHAT_SCHEMA: Schema = {
+    "reply": {"question": ("string", True), "turn": ("integer", True), "needs": ("array", False)},
+    "search": {"query": ("string", True), "needs": ("array", True)},
+}
 
 
 def _field(value: Column, name: str, kind: str, required: bool) -> Column:
@@ -49,86 +58,195 @@ def valid_arguments(name: Column, value: Column, schemas: Schema) -> Column:
     return out
 
 
-def _reach(links: DataFrame) -> DataFrame:
-    """(conv, src, dst): calls that lead to one another, in conversations where some need isn't of an earlier turn; others hold no cycle."""
-    late = links.where(~F.coalesce(F.col("need_turn") < F.col("turn"), F.lit(False))).select(F.col("conv_id").alias("conv")).distinct()
-    reach = materialize(links.join(late, links["conv_id"] == late["conv"]).select("conv", F.col("need").alias("src"), F.col("call_id").alias("dst")), "reach")
-    size, before = reach.count(), -1
-    while size != before:
-        on = reach.select(F.col("conv").alias("_conv"), F.col("src").alias("_mid"), F.col("dst").alias("_dst"))
-        further = reach.join(on, (reach["conv"] == F.col("_conv")) & (reach["dst"] == F.col("_mid"))).select("conv", "src", F.col("_dst").alias("dst"))
-        reach = materialize(reach.unionByName(further).distinct(), "reach")
-        size, before = reach.count(), size
-    return reach
+_NODE = ("conv_id", "call_id")
+#: Rounds of moved steps that are kept as they are before they are folded into one table.
+_FOLD = 8
+
+
+def _meet(left: DataFrame, right: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Inner join of stored tables on keys that are unique in ``right``, which has so many rows."""
+    if rows <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), list(keys))
+    return join_hot(left, right.withColumn("__met", F.lit(True)), *keys).where("__met").drop("__met")
+
+
+def _ends(edges: DataFrame, end: str, name: str = "at") -> DataFrame:
+    return edges.select("conv_id", F.col(end).alias(name)).distinct()
+
+
+def _peel(edges: DataFrame) -> tuple[DataFrame, int]:
+    """The edges (conv_id, src, dst) that lie on a path from a cycle to a cycle, and their number."""
+    size, before = edges.count(), -1
+    while size and size != before:
+        kept = _meet(edges, _ends(edges, "dst", "src"), size, "conv_id", "src")
+        kept = _meet(kept, _ends(edges, "src", "dst"), size, "conv_id", "dst") if size <= BROADCAST_ROWS else _meet(materialize(kept, "peel"), _ends(edges, "src", "dst"), size, "conv_id", "dst")
+        edges = materialize(kept.select("conv_id", "src", "dst"), "peel")
+        size, before = edges.count(), size
+    return edges, size
+
+
+def _spread(start: DataFrame, along: DataFrame, better: bool) -> DataFrame:
+    """(conv_id, at, value) at its fixed point: along edges (conv_id, src, dst) every dst learns the smallest value of its sources. Without ``better``
+    a value that is there never changes."""
+    known, fresh = [start], start
+    few = along.count() <= BROADCAST_ROWS  # no more calls can be told anything in a round
+    while True:
+        n = fresh.count()
+        if not n:
+            break
+        told = _meet(along, fresh.select("conv_id", F.col("at").alias("src"), "value"), n, "conv_id", "src")
+        told = told.groupBy("conv_id", F.col("dst").alias("at")).agg(F.min("value").alias("value"))
+        if not few:
+            told = materialize(told, "told")
+        if len(known) > _FOLD:
+            known = [materialize(_smallest(known), "known")]
+        old = _smallest(known).withColumnRenamed("value", "old")
+        held = old.join(F.broadcast(told), ["conv_id", "at"]) if few else told.join(old, ["conv_id", "at"])
+        if better:
+            fresh = held.where("value < old").select("conv_id", "at", "value")
+            fresh = fresh.unionByName(told.join(old, ["conv_id", "at"], "left_anti"))
+        else:
+            fresh = told.join(old, ["conv_id", "at"], "left_anti")
+        fresh = materialize(fresh, "fresh")
+        known.append(fresh)
+    return materialize(_smallest(known), "known")
+
+
+def _smallest(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables).groupBy("conv_id", "at").agg(F.min("value").alias("value"))
+
+
+def _cycles(edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, cycle) for every call on a cycle of edges (conv_id, src, dst): calls that lead to one another share their cycle."""
+    out = edges.where("src = dst").select("conv_id", F.col("src").alias("call_id"), F.col("src").alias("cycle")).limit(0)
+    left, size = _peel(edges.where("src <> dst"))
+    found = []
+    while size:
+        nodes = materialize(_ends(left, "src"), "nodes")
+        colour = _spread(nodes.withColumn("value", F.col("at")), left, True)
+        mine = colour.select("conv_id", F.col("at").alias("src"), F.col("value").alias("of_src"))
+        within = left.join(mine, ["conv_id", "src"]).join(mine.select("conv_id", F.col("src").alias("dst"), F.col("of_src").alias("of_dst")), ["conv_id", "dst"]).where("of_src = of_dst")
+        backward = materialize(within.select("conv_id", F.col("dst").alias("src"), F.col("src").alias("dst")), "within")
+        held = _spread(colour.where("at = value"), backward, False)
+        found.append(held.select("conv_id", F.col("at").alias("call_id"), F.col("value").alias("cycle")))
+        gone = held.select("conv_id", "at")
+        rest = left.join(gone.withColumnRenamed("at", "src"), ["conv_id", "src"], "left_anti").join(gone.withColumnRenamed("at", "dst"), ["conv_id", "dst"], "left_anti")
+        left, size = _peel(materialize(rest, "rest"))
+    grouped = reduce(DataFrame.unionByName, found, out)
+    several = grouped.groupBy("conv_id", "cycle").count().where("count > 1").drop("count")
+    grouped = grouped.join(several, ["conv_id", "cycle"])
+    alone = edges.where("src = dst").select("conv_id", F.col("src").alias("call_id")).distinct().join(grouped, list(_NODE), "left_anti")
+    return materialize(grouped.select(*_NODE, "cycle").unionByName(alone.select(*_NODE, F.col("call_id").alias("cycle"))), "cycles")
+
+
+def _ready() -> Column:
+    """When a call's result is there, and how deep in that step."""
+    later = F.coalesce(F.col("result_turn") > F.col("step"), F.lit(False))
+    return F.struct(F.when(later, F.col("result_turn")).otherwise(F.col("step")).alias("step"), F.when(later, F.lit(0).cast("long")).otherwise(F.col("depth") + 1).alias("depth"))
+
+
+def _settle(nodes: DataFrame, edges: DataFrame, max_rounds: int | None) -> DataFrame:
+    """(conv_id, call_id, step, depth) for nodes (conv_id, call_id, turn, result_turn) and acyclic edges (conv_id, src, dst)."""
+    start = nodes.select(*_NODE, F.col("turn").alias("step"), F.lit(0).cast("long").alias("depth"), "result_turn")
+    latest = lambda tables: reduce(DataFrame.unionByName, tables).groupBy(*_NODE).agg(F.max(F.struct("step", "depth", "result_turn")).alias("s")).select(*_NODE, "s.*")
+    known, fresh, n, rounds = [start], start, start.count(), 0
+    active, few = edges, edges.count() <= BROADCAST_ROWS
+    while True:
+        told = _meet(active, fresh.select("conv_id", F.col("call_id").alias("src"), _ready().alias("ready")), n, "conv_id", "src")
+        told = told.groupBy("conv_id", F.col("dst").alias("call_id")).agg(F.max("ready").alias("ready"))
+        if not few:
+            told = materialize(told, "told")
+        if len(known) > _FOLD:
+            known = [known[0], materialize(latest(known[1:]), "moved")]
+        now = latest(known) if len(known) > 1 else start
+        held = now.join(F.broadcast(told), list(_NODE)) if few else told.join(now, list(_NODE))
+        moved = held.where(F.struct("step", "depth") < F.col("ready")).select(*_NODE, F.col("ready.step").alias("step"), F.col("ready.depth").alias("depth"), "result_turn")
+        fresh = materialize(moved, "moved")
+        n = fresh.count()
+        if not n:
+            break
+        rounds += 1
+        if max_rounds is not None and rounds >= max_rounds:
+            raise RuntimeError(f"steps did not settle in {max_rounds} rounds")
+        known.append(fresh)
+        if rounds == 1:  # only conversations in which something moved go on
+            on = materialize(fresh.select("conv_id").distinct(), "active")
+            active = materialize(edges.join(on, "conv_id", "left_semi"), "active")
+    return latest(known).drop("result_turn")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Schema, needs_field: str = "needs", max_rounds: int | None = None) -> DataFrame:
     """calls: conv_id, call_id, turn, name, arguments; results: conv_id, call_id, turn, content.
 
-    Returns conv_id, call_id, status, name, step, depth, result_step, valid, cyclic, canonical, ordered by step within each conversation.
+    Returns conv_id, call_id, status, name, step, depth, result_step, valid, cyclic, blocked, canonical, ordered by step within each conversation.
     Raises when the steps don't settle in max_rounds, if that is given.
     """
     key = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     first = lambda *c: F.min(F.struct(*c)).alias("f")
-    asked = calls.where(key).groupBy("conv_id", "call_id").agg(first("turn", "name", "arguments")).select("conv_id", "call_id", F.lit(True).alias("asked"), "f.turn", "f.name", "f.arguments")
-    given = results.where(key).groupBy("conv_id", "call_id").agg(first("turn", "content")).select("conv_id", "call_id", F.lit(True).alias("given"), F.col("f.turn").alias("result_turn"))
+    asked = calls.where(key).groupBy(*_NODE).agg(first("turn", "name", "arguments")).select(*_NODE, F.lit(True).alias("asked"), "f.turn", "f.name", "f.arguments")
+    given = results.where(key).groupBy(*_NODE).agg(first("turn", "content")).select(*_NODE, F.lit(True).alias("given"), F.col("f.turn").alias("result_turn"))
     value = F.try_parse_json("arguments")
     is_object = F.coalesce(F.schema_of_variant(F.col("value")).rlike(TYPES["object"]), F.lit(False))
-    linked = asked.join(given, ["conv_id", "call_id"], "full_outer").withColumn("value", value)
+    linked = asked.join(given, list(_NODE), "full_outer").withColumn("value", value)
     linked = linked.withColumn("canonical", F.when(is_object, F.to_json("value"))).withColumn("valid", F.when(F.col("asked"), valid_arguments(F.col("name"), F.col("value"), schemas)))
     linked = linked.withColumn("needs", F.try_variant_get("value", f"$.{needs_field}", "array<string>")).drop("value")
     status = F.when(F.col("asked").isNull(), "orphan").when(F.col("given").isNull(), "unanswered").otherwise("linked")
-    nodes = materialize(linked.withColumn("status", status).select("conv_id", "call_id", "status", "name", "turn", "result_turn", "valid", "canonical", "needs"), "calls")
-
-    asking = nodes.where("status <> 'orphan'")
-    edges = asking.select("conv_id", "call_id", "turn", F.explode(F.array_distinct("needs")).alias("need")).where("need is not null")
-    known = asking.select(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_id"), F.col("turn").alias("need_turn"))
-    edges = materialize(edges.join(known, (edges["conv_id"] == F.col("_conv")) & (edges["need"] == F.col("_id")), "left").drop("_conv"), "needs")
-    unknown = edges.where("_id is null").select("conv_id", "call_id").distinct().withColumn("lost", F.lit(True))
-    edges = edges.where("_id is not null").drop("_id")
-    reach = _reach(edges)
-    cycles = reach.where("src = dst").select(F.col("conv").alias("conv_id"), F.col("src").alias("call_id"), F.lit(True).alias("cyclic"))
-    within = (F.col("conv_id") == F.col("conv")) & (F.col("call_id") == F.col("src")) & (F.col("need") == F.col("dst"))
-    edges = materialize(edges.join(reach, within, "left_anti").select("conv_id", "call_id", "need"), "open")
-
-    steps = asking.select("conv_id", "call_id", F.col("turn").alias("step"), F.lit(0).alias("depth"), "result_turn", F.lit(False).alias("moved"))
-    moved, rounds = True, 0
-    while moved:
-        if max_rounds is not None and rounds >= max_rounds:
-            raise RuntimeError(f"steps did not settle in {max_rounds} rounds")
-        rounds += 1
-        ready = F.struct(F.greatest("step", F.coalesce("result_turn", "step")).alias("step"), F.when(F.coalesce("result_turn", "step") > F.col("step"), F.lit(0)).otherwise(F.col("depth") + 1).alias("depth"))
-        source = steps.select(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_need"), ready.alias("ready"))
-        latest = edges.join(source, (edges["conv_id"] == F.col("_conv")) & (edges["need"] == F.col("_need"))).groupBy("conv_id", "call_id").agg(F.max("ready").alias("ready"))
-        late = F.col("ready").isNotNull() & (F.struct("step", "depth") < F.col("ready"))
-        new = steps.drop("moved").join(latest, ["conv_id", "call_id"], "left").withColumn("moved", F.coalesce(late, F.lit(False)))
-        new = new.select("conv_id", "call_id", F.when(F.col("moved"), F.col("ready.step")).otherwise(F.col("step")).alias("step"), F.when(F.col("moved"), F.col("ready.depth")).otherwise(F.col("depth")).alias("depth"), "result_turn", "moved")
-        steps = materialize(new, "steps")
-        moved = not steps.where("moved").isEmpty()
-    ordered = steps.select("conv_id", "call_id", "step", "depth").join(cycles, ["conv_id", "call_id"], "left")
-    out = nodes.join(ordered, ["conv_id", "call_id"], "left").join(unknown, ["conv_id", "call_id"], "left")
+    nodes = materialize(linked.withColumn("status", status).select(*_NODE, "status", "name", "turn", "result_turn", "valid", "canonical", "needs"), "calls")
+
+    asking = nodes.where("status <> 'orphan'").withColumn("turn", F.col("turn").cast("long")).withColumn("result_turn", F.col("result_turn").cast("long"))
+    wanted = materialize(asking.select("conv_id", F.col("call_id").alias("dst"), F.col("turn").alias("dst_turn"), F.explode(F.array_distinct("needs")).alias("src")).where("src is not null"), "needs")
+    known = materialize(asking.select("conv_id", F.col("call_id").alias("src"), F.col("turn").alias("src_turn"), F.lit(True).alias("known")), "asked")
+    edges = materialize(join_hot(wanted, known, "conv_id", "src"), "edges")
+    unknown = edges.where("known is null").select("conv_id", F.col("dst").alias("call_id")).distinct().withColumn("lost", F.lit(True))
+    edges = edges.where("known")
+    late = edges.where(~F.coalesce(F.col("src_turn") < F.col("dst_turn"), F.lit(False))).select("conv_id").distinct()
+    suspect = materialize(edges.join(late, "conv_id", "left_semi").select("conv_id", "src", "dst"), "suspect")
+    cycles = _cycles(suspect)
+    edges = edges.select("conv_id", "src", "dst")
+    blocked = asking.select(*_NODE, F.lit(True).alias("blocked")).limit(0)
+    if not cycles.isEmpty():
+        side = lambda end: cycles.select("conv_id", F.col("call_id").alias(end), F.col("cycle").alias(f"of_{end}"))
+        marked = edges.join(side("src"), ["conv_id", "src"], "left").join(side("dst"), ["conv_id", "dst"], "left")
+        edges = materialize(marked.where("of_src is null or of_dst is null or of_src <> of_dst").select("conv_id", "src", "dst"), "open")
+        after = _spread(cycles.select("conv_id", F.col("call_id").alias("at"), F.lit(1).alias("value")), edges, False)
+        blocked = after.select("conv_id", F.col("at").alias("call_id"), F.lit(True).alias("blocked"))
+    steps = _settle(asking, edges, max_rounds)
+    ordered = steps.join(cycles.select(*_NODE, F.lit(True).alias("cyclic")), list(_NODE), "left").join(blocked, list(_NODE), "left")
+    out = nodes.join(ordered, list(_NODE), "left").join(unknown, list(_NODE), "left")
     out = out.select(
-        "conv_id", "call_id", "status", "name",
+        *_NODE, "status", "name",
         F.coalesce("step", "result_turn").alias("step"),
         F.coalesce("depth", F.lit(0)).cast("int").alias("depth"),
         F.when(F.col("result_turn").isNotNull(), F.greatest("result_turn", F.coalesce("step", "result_turn"))).alias("result_step"),
         F.when(F.col("valid").isNotNull(), F.col("valid") & F.col("lost").isNull()).alias("valid"),
         F.coalesce("cyclic", F.lit(False)).alias("cyclic"),
+        (F.coalesce("blocked", F.lit(False)) & F.col("cyclic").isNull()).alias("blocked"),
         "canonical",
     )
     return out.orderBy("conv_id", "step", "depth", "call_id")
 
 
 def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of (conv_id, turn, role, text) rows: a user's turn calls ``reply``, needing the exchange before its own;
-    an assistant's turn is the result of the call one turn earlier. Identifiers are local to the rows, so no row looks at another."""
+    """Calls and results of (conv_id, turn, role, text) rows, which hold no tool calls of their own: stand-ins drawn from the turns and the
+    lengths of their texts (those under 8 count as 11), a row at a time, so that logs are out of order, repeat, break their schemas and run in cycles.
+
+    A user's turn calls ``reply``, needing the exchange before its own (unless its length divides by 3) and the one after (if
+    the remainder by 4 is 1); its turn is a string if the length divides by 5, and a field is unknown if by 7. An assistant's turn is the result of the
+    call one turn earlier; it repeats that call if its length divides by 6, and calls ``search``, needing it, if the remainder by 4 is 2.
+    """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.lower(F.col("role").cast("string")).alias("role"), F.col("text").cast("string").alias("text"))
     name = lambda n: F.concat(F.lit("call_"), n.cast("string"))
-    needs = F.when(F.col("turn") >= 2, F.array(name(F.col("turn") - 2)))
-    arguments = F.to_json(F.struct(F.col("turn"), F.col("text").alias("question"), needs.alias("needs")))
-    calls = rows.where("role = 'user'").select("conv_id", name(F.col("turn")).alias("call_id"), "turn", F.lit("reply").alias("name"), arguments.alias("arguments"))
-    results = rows.where("role = 'assistant'").select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
-    return calls, results
+    turn, n = F.col("turn"), F.when(F.length("text") >= 8, F.length("text")).otherwise(11)
+    needs = F.array_compact(F.array(F.when((turn >= 2) & (n % 3 != 0), name(turn - 2)), F.when(n % 4 == 1, name(turn + 2))))
+    own = [F.col("text").alias("question"), F.when(F.size(needs) > 0, needs).alias("needs"), F.when(n % 7 == 0, F.lit(True)).alias("extra")]
+    arguments = F.when(n % 5 == 0, F.to_json(F.struct(turn.cast("string").alias("turn"), *own))).otherwise(F.to_json(F.struct(turn.alias("turn"), *own)))
+    user, assistant = rows.where("role = 'user'"), rows.where("role = 'assistant'")
+    calls = user.select("conv_id", name(turn).alias("call_id"), "turn", F.lit("reply").alias("name"), arguments.alias("arguments"))
+    again = assistant.where(n % 6 == 0).select("conv_id", name(turn - 1).alias("call_id"), "turn", F.lit("reply").alias("name"), F.to_json(F.struct("turn", F.col("text").alias("question"))).alias("arguments"))
+    query = F.to_json(F.struct(F.col("text").alias("query"), F.array(name(turn - 1)).alias("needs")))
+    search = assistant.where(n % 4 == 2).select("conv_id", F.concat(F.lit("find_"), turn.cast("string")).alias("call_id"), "turn", F.lit("search").alias("name"), query.alias("arguments"))
+    results = assistant.select("conv_id", name(turn - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return calls.unionByName(again).unionByName(search), results
 
 
 def link_conversations(turns: DataFrame) -> DataFrame:
