@@ -56,7 +56,7 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wavelet.token_file(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return wavelet.token_file(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), special_as_text=False, lookups=True)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,16 @@
 """Token-ID files: a wavelet matrix per shard.
 
-Documents are dealt by range of doc_id and sorted in each partition, encoded, and packed into shards of about
-``SHARD_TOKENS`` ids. A shard is one compressed binary value: ``width`` succinct bit-planes (the ids' bits from the highest
-down, each plane in the order that the planes above leave: zeros first, stably), the number of zeros of each plane, and
-the documents' ids and lengths. Rank tables are rebuilt on opening; token access, counting and occurrence lookup work
-on the planes alone. Shards are rows of Parquet files, written by Spark's own committer: a lost executor's attempt
+Documents are encoded where they lie; their ids, not their texts, are then dealt by range of doc_id, sorted in each partition and packed
+into shards of about ``SHARD_TOKENS`` ids. A shard is one compressed binary value: ``width`` succinct bit-planes (the ids' bits from the
+highest down, each plane in the order that the planes above leave: zeros first, stably) in blocks of ``PLANE_BLOCK`` bits, each
+compressed by itself, the number of ones before every block, the number of zeros of each plane, and the documents' ids and lengths.
+Token access, counting and occurrence lookup decompress the blocks that they touch, one a plane and position at most; rank and select of
+many positions go together. Shards are rows of Parquet files, written by Spark's own committer: a lost executor's attempt
 leaves nothing behind and any file system will do.
 
 Defined cases: a null text is encoded as an empty one (its end id only); documents without doc_id come first; repeated
-doc_ids stand in the order of their texts; an empty table writes no shard; further columns are ignored.
+doc_ids stand in the order of a hash of their texts, and equal rows as they happen to lie, so no doc_id has to fit in one task; an empty
+table writes no shard; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,33 +21,88 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, slices
+from .common import delete, new_path, slices
 from .pieces import PieceTable, ragged
 
 END_ID = 0
 SHARD_TOKENS = 1 << 20
 #: Shards of one file: they are read together.
 FILE_SHARDS = 8
-_MAGIC = b"LWM1"
+#: Bits of a plane's block.
+PLANE_BLOCK = 1 << 16
+_MAGIC = b"LWM2"
 _BLOCK_BYTES = 4 << 20
-_TABLES: dict[str, PieceTable] = {}
+_ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
+
+
+class _Planes:
+    """Bit-planes in blocks: ``load(k, j)`` gives the bytes of block j of plane k, which are kept once read."""
+
+    def __init__(self, n: int, ranks: np.ndarray, load):
+        self.n, self.ranks, self.load = n, ranks, load  # ranks: (planes, blocks + 1), ones before each block
+        self.held: dict[tuple[int, int], np.ndarray] = {}
+        self.sums: dict[tuple[int, int], np.ndarray] = {}
+
+    def block(self, k: int, j: int) -> np.ndarray:
+        if (k, j) not in self.held:
+            self.held[k, j] = self.load(k, j)
+        return self.held[k, j]
+
+    def whole(self, k: int) -> np.ndarray:
+        blocks = -(-self.n // PLANE_BLOCK)
+        return np.concatenate([self.block(k, j) for j in range(blocks)]) if blocks else np.zeros(0, np.uint8)
+
+    def rank(self, k: int, i: np.ndarray) -> np.ndarray:
+        """Ones before the positions i of plane k."""
+        out = self.ranks[k][i // PLANE_BLOCK].copy()
+        inner = i % PLANE_BLOCK
+        for j in np.unique((i // PLANE_BLOCK)[inner > 0]).tolist():
+            own = np.flatnonzero((i // PLANE_BLOCK == j) & (inner > 0))
+            raw = self.block(k, j)
+            if (k, j) not in self.sums:
+                self.sums[k, j] = np.r_[0, np.cumsum(np.bitwise_count(raw), dtype=np.int64)]
+            byte, bit = inner[own] >> 3, inner[own] & 7
+            last = raw[np.minimum(byte, len(raw) - 1)] & ((1 << bit) - 1).astype(np.uint8)
+            out[own] += self.sums[k, j][byte] + np.bitwise_count(last)
+        return out
+
+    def bit(self, k: int, i: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), np.int64)
+        for j in np.unique(i // PLANE_BLOCK).tolist():
+            own = np.flatnonzero(i // PLANE_BLOCK == j)
+            inner = i[own] % PLANE_BLOCK
+            out[own] = self.block(k, j)[inner >> 3] >> (inner & 7).astype(np.uint8) & 1
+        return out
+
+    def select(self, k: int, bit: int, nth: np.ndarray) -> np.ndarray:
+        """Positions of the nth (from 0) ones or zeros of plane k, which are there."""
+        edges = np.minimum(np.arange(len(self.ranks[k])) * PLANE_BLOCK, self.n)
+        before = self.ranks[k] if bit else edges - self.ranks[k]
+        block = np.searchsorted(before, nth, "right") - 1
+        out = np.empty(len(nth), np.int64)
+        for j in np.unique(block).tolist():
+            own = np.flatnonzero(block == j)
+            size = int(edges[j + 1] - edges[j])
+            bits = np.unpackbits(self.block(k, j), count=size, bitorder="little")
+            out[own] = j * PLANE_BLOCK + np.flatnonzero(bits == bit)[nth[own] - before[j]]
+        return out
 
 
 class WaveletMatrix:
     """Succinct sequence of integers below 2**width."""
 
-    def __init__(self, planes: list[np.ndarray], zeros: list[int], n: int):
-        self.planes, self.zeros, self.n, self.width = planes, zeros, n, len(planes)
-        self._ranks: list[np.ndarray] | None = None
+    def __init__(self, planes: _Planes, zeros: list[int], n: int):
+        self.planes, self.zeros, self.n, self.width = planes, zeros, n, len(zeros)
 
     @classmethod
     def build(cls, ids: np.ndarray, width: int) -> "WaveletMatrix":
-        planes, zeros = [], []
+        planes, zeros, n = [], [], len(ids)
         for level in range(width - 1, -1, -1):
             bits = (ids & ids.dtype.type(1 << level)) != 0
             planes.append(np.packbits(bits, bitorder="little"))
@@ -53,14 +110,17 @@ class WaveletMatrix:
             zeros.append(len(low))
             if level:
                 ids = np.concatenate([ids.take(low), ids.take(np.flatnonzero(bits))])
-        return cls(planes, zeros, len(ids))
+        step = PLANE_BLOCK // 8
+        ones = [[int(np.bitwise_count(p[a : a + step]).sum()) for a in range(0, len(p), step)] for p in planes]
+        ranks = np.array([np.r_[0, np.cumsum(x, dtype=np.int64)] for x in ones], np.int64).reshape(width, -1)
+        return cls(_Planes(n, ranks, lambda k, j: planes[k][j * step : (j + 1) * step]), zeros, n)
 
     def decode(self) -> np.ndarray:
         """The whole sequence, from the lowest plane up."""
         dtype = np.uint16 if self.width <= 16 else np.uint32
         ids = np.zeros(self.n, dtype)
         for k in range(self.width - 1, -1, -1):
-            bits = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
+            bits = np.unpackbits(self.planes.whole(k), count=self.n, bitorder="little").view(bool)
             value, zeros = dtype(1 << (self.width - 1 - k)), self.zeros[k]
             ids[zeros:] |= value
             up = np.empty_like(ids)
@@ -69,80 +129,73 @@ class WaveletMatrix:
             ids = up
         return ids
 
-    def _rank1(self, k: int, i: int) -> int:
-        """Ones before position i of plane k: a table entry per 64 bytes, then at most 64 bytes."""
-        if self._ranks is None:
-            self._ranks = []
-            for plane in self.planes:
-                ones = np.bitwise_count(plane).astype(np.int64)
-                self._ranks.append(np.r_[0, np.cumsum(np.add.reduceat(ones, np.arange(0, len(ones), 64)) if len(ones) else ones)])
-        byte, block = i >> 3, i >> 9
-        found = int(self._ranks[k][block]) + int(np.bitwise_count(self.planes[k][block * 64 : byte]).sum())
-        if i & 7:
-            found += (int(self.planes[k][byte]) & ((1 << (i & 7)) - 1)).bit_count()
-        return found
-
-    def _bit(self, k: int, i: int) -> int:
-        return int(self.planes[k][i >> 3]) >> (i & 7) & 1
-
-    def access(self, i: int) -> int:
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        value = 0
+    def access_many(self, at: np.ndarray) -> np.ndarray:
+        """The values at positions."""
+        at = np.asarray(at, np.int64)
+        if len(at) and not 0 <= at.min() <= at.max() < self.n:
+            raise IndexError("position outside the sequence")
+        value = np.zeros(len(at), np.int64)
         for k in range(self.width):
-            bit, ones = self._bit(k, i), self._rank1(k, i)
+            bit, ones = self.planes.bit(k, at), self.planes.rank(k, at)
             value = value << 1 | bit
-            i = self.zeros[k] + ones if bit else i - ones
+            at = np.where(bit == 1, self.zeros[k] + ones, at - ones)
         return value
 
-    def _range(self, value: int, start: int, end: int) -> tuple[int, int]:
+    def _ranges(self, value: int, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for k in range(self.width):
-            a, b = self._rank1(k, start), self._rank1(k, end)
+            a, b = self.planes.rank(k, start), self.planes.rank(k, end)
             start, end = (self.zeros[k] + a, self.zeros[k] + b) if value >> (self.width - 1 - k) & 1 else (start - a, end - b)
         return start, end
 
-    def count(self, value: int, start: int = 0, end: int | None = None) -> int:
-        """Occurrences of value in [start, end)."""
+    def count_many(self, value: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Occurrences of value in each [start, end)."""
         if value >> self.width:
-            return 0
-        a, b = self._range(value, start, self.n if end is None else end)
+            return np.zeros(len(start), np.int64)
+        a, b = self._ranges(value, np.asarray(start, np.int64), np.asarray(end, np.int64))
         return b - a
 
-    def _select(self, k: int, bit: int, nth: int) -> int:
-        low, high = 0, self.n  # the smallest i with nth + 1 such bits before i + 1
-        while low < high:
-            mid = (low + high) // 2
-            ones = self._rank1(k, mid + 1)
-            if (ones if bit else mid + 1 - ones) > nth:
-                high = mid
-            else:
-                low = mid + 1
-        return low
+    def find_many(self, value: int, nth: np.ndarray) -> np.ndarray:
+        """Positions of the nth occurrences (from 0) of value; -1 where there are fewer."""
+        nth = np.asarray(nth, np.int64)
+        out = np.full(len(nth), -1, np.int64)
+        some = np.flatnonzero((nth >= 0) & (nth < self.count(value)))
+        if len(some):
+            at = self._ranges(value, np.zeros(1, np.int64), np.full(1, self.n, np.int64))[0][0] + nth[some]
+            for k in range(self.width - 1, -1, -1):
+                bit = value >> (self.width - 1 - k) & 1
+                at = self.planes.select(k, bit, at - self.zeros[k] if bit else at)
+            out[some] = at
+        return out
+
+    def access(self, i: int) -> int:
+        return int(self.access_many(np.array([i]))[0])
+
+    def count(self, value: int, start: int = 0, end: int | None = None) -> int:
+        """Occurrences of value in [start, end)."""
+        return int(self.count_many(value, np.array([start]), np.array([self.n if end is None else end]))[0])
 
     def find(self, value: int, nth: int) -> int:
         """Position of the nth occurrence (from 0) of value; -1 if there are fewer."""
-        if nth < 0 or nth >= self.count(value):
-            return -1
-        i = self._range(value, 0, self.n)[0] + nth
-        for k in range(self.width - 1, -1, -1):
-            bit = value >> (self.width - 1 - k) & 1
-            i = self._select(k, bit, i - self.zeros[k] if bit else i)
-        return i
+        return int(self.find_many(value, np.array([nth]))[0])
 
 
 def pack_shard(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, width: int) -> bytes:
-    matrix = WaveletMatrix.build(ids, width)
+    """The shard: five numbers, the compressed head (documents, zeros, ranks, sizes of blocks), the blocks."""
+    matrix, packer = WaveletMatrix.build(ids, width), zstandard.ZstdCompressor(level=1)
     known = np.array([d is not None for d in doc_ids])
-    parts = [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.packbits(known).tobytes(), lengths.astype("<i8").tobytes(), np.array(matrix.zeros, "<i8").tobytes(), *(p.tobytes() for p in matrix.planes)]
-    packer = zstandard.ZstdCompressor(level=1)
-    return _MAGIC + np.array([len(ids), width, len(doc_ids)], "<i8").tobytes() + packer.compress(b"".join(parts))
+    blocks = matrix.planes.ranks.shape[1] - 1
+    packed = [packer.compress(matrix.planes.block(k, j).tobytes()) for k in range(width) for j in range(blocks)]
+    head = [np.array([d or 0 for d in doc_ids], "<i8"), np.packbits(known), lengths.astype("<i8"), np.array(matrix.zeros, "<i8"), matrix.planes.ranks.astype("<i8"), np.array([len(p) for p in packed], "<i8")]
+    front = packer.compress(b"".join(x.tobytes() for x in head))
+    return _MAGIC + np.array([len(ids), width, len(doc_ids), blocks, len(front)], "<i8").tobytes() + front + b"".join(packed)
 
 
 def open_shard(blob: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
+    """doc_ids, lengths and the matrix; no plane is decompressed yet."""
     if blob[:4] != _MAGIC:
         raise ValueError("not a shard of token ids")
-    n, width, docs = (int(x) for x in np.frombuffer(blob, "<i8", 3, 4))
-    raw = zstandard.ZstdDecompressor().decompress(blob[28:])
+    n, width, docs, blocks, front = (int(x) for x in np.frombuffer(blob, "<i8", 5, 4))
+    raw = zstandard.ZstdDecompressor().decompress(blob[44 : 44 + front])
     at = 0
 
     def take(dtype: str, count: int) -> np.ndarray:
@@ -153,12 +206,19 @@ def open_shard(blob: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix
 
     doc_ids, known = take("<i8", docs), np.unpackbits(take("u1", -(-docs // 8)), count=docs)
     lengths, zeros = take("<i8", docs), take("<i8", width)
-    planes = [take("u1", -(-n // 8)) for _ in range(width)]
-    return [d if k else None for d, k in zip(doc_ids.tolist(), known)], lengths, WaveletMatrix(planes, zeros.tolist(), n)
+    ranks = take("<i8", width * (blocks + 1)).reshape(width, blocks + 1).astype(np.int64)
+    ends = 44 + front + np.cumsum(take("<i8", width * blocks))
+    starts = np.r_[44 + front, ends[:-1]]
+
+    def load(k: int, j: int) -> np.ndarray:
+        i = k * blocks + j
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[starts[i] : ends[i]]), np.uint8)
+
+    return [d if k else None for d, k in zip(doc_ids.tolist(), known)], lengths, WaveletMatrix(_Planes(n, ranks, load), zeros.tolist(), n)
 
 
 def byte_bpe(path: str) -> PieceTable:
-    """Encoder with the tokenizers library; special tokens' strings are ordinary text."""
+    """Encoder with the tokenizers library, for texts without strings of special tokens, or where those are ordinary text."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -205,53 +265,101 @@ def byte_bpe(path: str) -> PieceTable:
     return PieceTable(encode_units, lambda p: not p or p[0].isspace(), re.compile(r"(?s).+?(?= \S|\Z)"), [END_ID], np.uint16 if size <= 1 << 16 else np.uint32, False)
 
 
-def _encoder(path: str) -> PieceTable:
-    if path not in _TABLES:
-        _TABLES[path] = byte_bpe(path)
-    return _TABLES[path]
+class Encoder:
+    """Texts to ids as the library gives them, each text's end id included. The library makes special tokens of their strings in a text, unless
+    ``special_as_text``; texts that hold such a string are given to it whole."""
+
+    def __init__(self, path: str, special_as_text: bool = True):
+        from tokenizers import Tokenizer
+
+        self.table = byte_bpe(path)
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = special_as_text
+        self.special = [] if special_as_text else sorted(t.content for t in self.whole.get_added_tokens_decoder().values())
+        self.dtype = self.table.dtype
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        odd = np.zeros(len(texts), bool)
+        for mark in self.special:
+            odd |= pa.compute.fill_null(pa.compute.match_substring(texts, mark), False).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self.table.encode(texts)
+        flat, counts = self.table.encode(pa.compute.if_else(pa.array(odd), pa.scalar("", texts.type), texts))
+        ends = np.cumsum(counts)
+        parts, at = [], 0
+        for i in np.flatnonzero(odd).tolist():
+            own = np.array([*self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids, END_ID], self.dtype)
+            parts += [flat[at : ends[i] - counts[i]], own]
+            at = ends[i]
+            counts[i] = len(own)
+        return np.concatenate([*parts, flat[at:]]), counts
+
+
+def _encoder(path: str, special_as_text: bool = True) -> Encoder:
+    if (path, special_as_text) not in _ENCODERS:
+        _ENCODERS[path, special_as_text] = Encoder(path, special_as_text)
+    return _ENCODERS[path, special_as_text]
+
 
+def encode_documents(docs: DataFrame, tokenizer: str, special_as_text: bool = True) -> DataFrame:
+    """(doc_id, tie, spread, ids): every document's ids as little-endian numbers of two or four bytes. tie orders documents of one
+    doc_id by their texts; spread is a number of the row that only keeps equal rows apart."""
 
-def write_shards(docs: DataFrame, tokenizer: str, target: str, shard_tokens: int = SHARD_TOKENS) -> None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(tokenizer, special_as_text)
+        for batch in batches:
+            for a, b in slices(batch.column(3), _BLOCK_BYTES):
+                flat, counts = encoder.encode(batch.column(3).slice(a, b - a))
+                raw = np.ascontiguousarray(flat, np.dtype(encoder.dtype).newbyteorder("<"))
+                ends = np.r_[0, np.cumsum(counts)] * raw.itemsize
+                ids = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), ids.cast(pa.binary())], names=["doc_id", "tie", "spread", "ids"])
+
+    text = F.col("text").cast("string")
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(1024)).cast("int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), spread.alias("spread"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, tie long, spread int, ids binary")
+
+
+def write_shards(docs: DataFrame, tokenizer: str, target: str, shard_tokens: int = SHARD_TOKENS, special_as_text: bool = True) -> None:
     """Encode every document and write the shards, as Parquet rows (part, seq, n_tokens, n_docs, shard), to ``target``."""
+    spark = docs.sparkSession
+    vocabulary = np.dtype(_encoder(tokenizer, special_as_text).dtype)
+    width = 8 * vocabulary.itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        table = _encoder(tokenizer)
-        width = 16 if table.dtype == np.uint16 else 32
         ids, lengths, names, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, ids, lengths, names, held
-            blob = pack_shard(names, np.concatenate(lengths), np.concatenate(ids), width)
+            blob = pack_shard(names, np.array(lengths, np.int64), np.concatenate(ids), width)
             row = [part, seq, held, len(names), blob]
             seq, ids, lengths, names, held = seq + 1, [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "seq", "n_tokens", "n_docs", "shard"])
 
         for batch in batches:
-            texts, keys = batch.column(1), batch.column(0).to_pylist()
-            for at, end in slices(texts, _BLOCK_BYTES):
-                flat, counts = table.encode(texts.slice(at, end - at))
-                done, start = 0, at
-                stops = np.cumsum(counts)
-                while start < end:  # whole documents up to the shard's size
-                    base = int(stops[start - at - 1]) if start > at else 0
-                    fit = int(np.searchsorted(stops, base + shard_tokens - held, "right")) + at
-                    fit = min(end, max(fit, start + (held == 0)))
-                    if fit > start:
-                        stop = int(stops[fit - at - 1])
-                        ids.append(flat[base:stop])
-                        lengths.append(counts[start - at : fit - at])
-                        names += keys[start:fit]
-                        held += stop - base
-                        done, start = stop, fit
-                    if start < end:
-                        yield flush()
+            keys, rows = batch.column(0).to_pylist(), batch.column(1)
+            for i, name in enumerate(keys):  # whole documents up to the shard's size
+                own = np.frombuffer(rows[i].as_buffer(), vocabulary.newbyteorder("<"))
+                if names and held + len(own) > shard_tokens:
+                    yield flush()
+                ids.append(own.astype(vocabulary))
+                lengths.append(len(own))
+                names.append(name)
+                held += len(own)
         if names:
             yield flush()
 
-    sorted_docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # encoded once, before the range's sample and the shuffle read it
+    path = new_path(spark, "encoded")
+    encode_documents(docs, tokenizer, special_as_text).write.parquet(path)
+    encoded = spark.read.schema("doc_id long, tie long, spread int, ids binary").parquet(path)
+    order = ["doc_id", "tie", "spread"]
+    sorted_docs = encoded.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
     shards = sorted_docs.mapInArrow(run, "part int, seq int, n_tokens long, n_docs long, shard binary")
     shards.write.option("compression", "none").option("maxRecordsPerFile", FILE_SHARDS).parquet(target)
+    delete(spark, path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -267,26 +375,36 @@ def shard_starts(shards: DataFrame) -> DataFrame:
     return own.join(parts, "part").select("part", "seq", (F.col("base") + F.col("own")).alias("start"))
 
 
-def documents_of(shards: DataFrame) -> DataFrame:
-    """One row per document from its shard: doc_id, start, n_tokens, ids_crc32."""
+def documents_of(shards: DataFrame, lookups: bool = False) -> DataFrame:
+    """One row per document from its shard: doc_id, start, n_tokens, ids_crc32, and with ``lookups``, by access, counting and lookup in the
+    matrix, first_id, n_end_ids (how often the end id stands in the document's ids) and end_at (where the last of them stands, counted
+    from the first document)."""
+    names = ["doc_id", "part", "seq", "own", "n_tokens", "ids_crc32", *(["first_id", "n_end_ids", "own_end"] if lookups else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                names, lengths, matrix = open_shard(batch.column(2)[i].as_py())
-                ids = matrix.decode().astype("<u4")
+                keys, lengths, matrix = open_shard(batch.column(2)[i].as_py())
                 ends = np.cumsum(lengths)
-                crcs = [zlib.crc32(ids[a:b]) for a, b in zip((ends - lengths).tolist(), ends.tolist())]
-                n = len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([batch.column(0)[i].as_py()] * n, pa.int32()), pa.array([batch.column(1)[i].as_py()] * n, pa.int32()), pa.array(ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "part", "seq", "own", "n_tokens", "ids_crc32"])
+                starts, n = ends - lengths, len(keys)
+                looked = []
+                if lookups:
+                    upto = matrix.count_many(END_ID, np.zeros(n, np.int64), ends)
+                    looked = [matrix.access_many(starts), matrix.count_many(END_ID, starts, ends), matrix.find_many(END_ID, upto - 1)]
+                ids = matrix.decode().astype("<u4")
+                crcs = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
+                where = [pa.array([batch.column(k)[i].as_py()] * n, pa.int32()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *where, *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs, *looked))], names=names)
 
-    rows = shards.select("part", "seq", "shard").mapInArrow(run, "doc_id long, part int, seq int, own long, n_tokens long, ids_crc32 long")
-    return rows.join(shard_starts(shards), ["part", "seq"]).selectExpr("doc_id", "start + own as start", "n_tokens", "ids_crc32")
+    schema = ", ".join(f"{c} {'int' if c in ('part', 'seq') else 'long'}" for c in names)
+    rows = shards.select("part", "seq", "shard").mapInArrow(run, schema).join(shard_starts(shards), ["part", "seq"])
+    further = ["first_id", "n_end_ids", "start + own_end as end_at"] if lookups else []
+    return rows.selectExpr("doc_id", "start + own as start", "n_tokens", "ids_crc32", *further)
 
 
-def token_file(docs: DataFrame, tokenizer: str) -> DataFrame:
+def token_file(docs: DataFrame, tokenizer: str, special_as_text: bool = True, lookups: bool = False) -> DataFrame:
     """Write the documents' ids to the shared folder and describe every document from what is read back."""
     spark = docs.sparkSession
     path = new_path(spark, "tokens")
-    write_shards(docs, tokenizer, path)
-    return documents_of(read_shards(spark, path))
+    write_shards(docs, tokenizer, path, special_as_text=special_as_text)
+    return documents_of(read_shards(spark, path), lookups)
