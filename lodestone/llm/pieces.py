@@ -13,8 +13,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-#: Distinct pieces that a worker remembers before it forgets those met once: a bound on memory only.
+#: Distinct pieces, and their bytes, that a worker remembers before it forgets those met once: bounds on memory only. Text without
+#: spaces is a piece of its own, however long.
 REMEMBERED = 700_000
+REMEMBERED_BYTES = 48 << 20
 
 
 class _Numbers(dict):
@@ -47,12 +49,13 @@ class PieceTable:
         self.flat, self.lengths, self.odd = np.asarray(self.end, self.dtype), np.array([len(self.end)], np.int64), np.zeros(1, bool)
         self.size = 1  # number 0 is the end of a document
         self.met = np.zeros(1, np.int64)
+        self.bytes = np.zeros(1, np.int64)
 
     def _forget(self) -> None:
-        """Keep the pieces met most often, half of REMEMBERED at most."""
+        """Keep the pieces met most often, half of REMEMBERED and of REMEMBERED_BYTES at most."""
         keep = np.flatnonzero(self.met > 1)
-        if len(keep) > REMEMBERED // 2:
-            keep = np.sort(keep[np.argsort(-self.met[keep], kind="stable")[: REMEMBERED // 2]])
+        keep = keep[np.argsort(-self.met[keep], kind="stable")[: REMEMBERED // 2]]
+        keep = np.sort(keep[np.cumsum(self.bytes[keep]) <= REMEMBERED_BYTES // 2])
         keep = np.r_[0, keep[keep > 0]]
         new = np.full(self.size, -1)
         new[keep] = np.arange(len(keep))
@@ -63,7 +66,7 @@ class PieceTable:
         self.whole.update(left)
         starts = np.cumsum(self.lengths) - self.lengths
         self.flat = ragged(self.flat, starts[keep], self.lengths[keep])
-        self.lengths, self.odd, self.met = self.lengths[keep], self.odd[keep], self.met[keep]
+        self.lengths, self.odd, self.met, self.bytes = self.lengths[keep], self.odd[keep], self.met[keep], self.bytes[keep]
         self.size = len(keep)
 
     def _resolve(self) -> None:
@@ -78,6 +81,7 @@ class PieceTable:
         self.lengths = np.concatenate([self.lengths, lengths])
         self.odd = np.concatenate([self.odd, odd])
         self.met = np.concatenate([self.met, np.zeros(len(units), np.int64)])
+        self.bytes = np.concatenate([self.bytes, np.fromiter(map(len, units), np.int64, len(units))])
         self.size += len(units)
         self.pending = []
 
@@ -99,7 +103,7 @@ class PieceTable:
 
     def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the number of ids of each text, its end included. Only pieces not met before become strings."""
-        if self.size > REMEMBERED:
+        if self.size > REMEMBERED or self.bytes.sum() > REMEMBERED_BYTES:
             self._forget()
         if not len(texts):
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)

@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by batched numpy Viterbi.
 
 The best segmentation of a unit (a run of spaces and the characters up to the next space) under the sum of piece scores.
-Hashes of all substrings probe the sorted keys of the pieces at once; units of equal length then advance together: at
-each character position a vectorised maximum over the lengths of the last piece stores its score and a backpointer.
+Hashes of all substrings probe the sorted keys of the pieces at once. Units are cut where no known piece runs across, which
+text without spaces needs; runs of equal length then advance together: at each character position a vectorised maximum over the lengths of the last piece stores its score and a backpointer.
 Equal sums go to the longer last piece. A character without a piece of its own may stand alone at a penalty and
 becomes byte pieces. No piece runs from a character into a space, so a text's ids are its units' ids in a row.
 
@@ -132,26 +132,36 @@ class Codec:
         points[points == 32] = SPACE
         ends = np.repeat(starts + lengths, lengths)
         scores, pieces = self._probe(points, ends - np.arange(len(points)))
+        # no known piece runs across a cut, so what lies between two cuts is segmented by itself: units of any length become short runs
+        longest = 1 + np.where(pieces >= 0, np.arange(self.longest)[:, None], 0).max(0)
+        reach = np.maximum.accumulate(np.arange(len(points)) + longest)
+        heads = np.flatnonzero(np.r_[True, reach[:-1] <= np.arange(1, len(points))])
+        runs = np.diff(np.r_[heads, len(points)])
+        widest = np.maximum.reduceat(longest, heads)
         taken = np.zeros(len(points), np.int16)  # length of the piece that ends after this character
-        for size in np.unique(lengths).tolist():
-            rows = starts[lengths == size]
+        for size in np.unique(runs).tolist():
+            rows = heads[runs == size]
+            if size == 1:
+                taken[rows] = 1
+                continue
+            width = int(widest[runs == size].max())
             best = np.zeros((size + 1, len(rows)))
             for end in range(1, size + 1):
                 top, back = np.full(len(rows), -np.inf), np.zeros(len(rows), np.int16)
-                for k in range(min(self.longest, end), 0, -1):
+                for k in range(min(width, end), 0, -1):
                     sum_ = best[end - k] + scores[k - 1, rows + (end - k)]
                     more = sum_ > top
                     top, back = np.where(more, sum_, top), np.where(more, np.int16(k), back)
                 best[end] = top
                 taken[rows + end - 1] = back
-        # follow the backpointers of all units at once, from their last characters
+        # follow the backpointers of all runs at once, from their last characters
         first = np.zeros(len(points), bool)
-        at = starts + lengths
-        live = np.arange(len(units))
+        at = heads + runs
+        live = np.arange(len(heads))
         while len(live):
             at[live] -= taken[at[live] - 1]
             first[at[live]] = True
-            live = live[at[live] > starts[live]]
+            live = live[at[live] > heads[live]]
         begin = np.flatnonzero(first)
         size = np.diff(np.r_[begin, len(points)])
         ids = pieces[size - 1, begin].astype(np.int64)
