@@ -5,34 +5,48 @@ Trained models (op7, op8), tokenizer files (op3, op9), suffix arrays (op1) and X
 
 from __future__ import annotations
 
-from .license_scan import TEMPLATES, THRESHOLD
+from .license_scan import TEMPLATES, THRESHOLD, alignments, normalised_words
 
 
 def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+_STARTS = sorted({(a, i, len(w)) for w in map(normalised_words, TEMPLATES.values()) for a, i in alignments(w, THRESHOLD)})
+
 _OP2 = rf"""
 WITH templates(license, words) AS (
   SELECT k, string_split(trim(regexp_replace(lower(t), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')
   FROM (VALUES {", ".join(f"({_literal(k)}, {_literal(t)})" for k, t in TEMPLATES.items())}) AS v(k, t)
 ), sets AS (
-  SELECT license, len(words) AS n, list_distinct([words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) AS own FROM templates
+  SELECT license, list_distinct([words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) AS own FROM templates
+), fits(word, place, n) AS (
+  VALUES {", ".join(f"({_literal(a)}, {i}, {n})" for a, i, n in _STARTS)}
 ), low AS (
   SELECT doc_id, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS text FROM documents WHERE text IS NOT NULL
 ), raw AS (
   SELECT doc_id, unnest(list_concat(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\n *\n')), [text])) AS p FROM low
+), running AS (
+  SELECT doc_id, string_split(trim(regexp_replace(text, '[ \n]+', ' ', 'g')), ' ') AS w FROM low
+), places AS (
+  SELECT doc_id, w, unnest(w) AS x, unnest(range(len(w))) AS i FROM running WHERE list_has_any(w, (SELECT list(DISTINCT word) FROM fits))
+), windows AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, greatest(i - place, 0) + 1, greatest(i - place, 0) + n), ' ') AS p FROM places JOIN fits ON x = word
 ), passages AS (
-  SELECT DISTINCT doc_id, trim(regexp_replace(p, '[ \n]+', ' ', 'g')) AS p FROM raw
+  SELECT DISTINCT doc_id, trim(regexp_replace(p, '[ \n]+', ' ', 'g')) AS p, FALSE AS inside FROM raw
+  UNION ALL
+  SELECT doc_id, p, TRUE FROM windows
 ), cut AS (
-  SELECT doc_id, p, string_split(p, ' ') AS w FROM passages WHERE p LIKE '% %'
-), near AS (
-  SELECT doc_id, license, own, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS b
-  FROM cut JOIN sets ON len(w) BETWEEN n * {THRESHOLD} / (2 - {THRESHOLD}) AND n * (2 - {THRESHOLD}) / {THRESHOLD}
+  SELECT doc_id, inside, string_split(p, ' ') AS w FROM passages WHERE p LIKE '% %'
+), bags AS (
+  SELECT doc_id, inside, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS b FROM cut
 ), scored AS (
-  SELECT doc_id, license, CAST(2 * len(list_intersect(b, own)) AS DOUBLE) / (len(b) + len(own)) AS dice FROM near
+  SELECT doc_id, inside, license, CAST(2 * len(list_intersect(b, own)) AS DOUBLE) / (len(b) + len(own)) AS dice
+  FROM bags JOIN sets ON len(b) BETWEEN len(own) * {THRESHOLD} / (2 - {THRESHOLD}) AND len(own) * (2 - {THRESHOLD}) / {THRESHOLD}
+), counted AS (
+  SELECT doc_id, license, inside, dice, count(*) AS n FROM scored WHERE dice >= CAST({THRESHOLD} AS DOUBLE) GROUP BY ALL
 )
-SELECT doc_id, license, max(dice) AS dice, count(*) AS n_passages FROM scored WHERE dice >= CAST({THRESHOLD} AS DOUBLE) GROUP BY doc_id, license
+SELECT doc_id, license, max(dice) AS dice, CAST(coalesce(sum(n) FILTER (NOT inside), arg_max(n, (dice, n))) AS BIGINT) AS n_passages FROM counted GROUP BY doc_id, license
 """
 
 # cycles from the closure of the needs, steps from the values along all paths: conversations are short
