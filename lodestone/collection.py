@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import asyncio
 import json
+import threading
 import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
@@ -17,7 +18,11 @@ from .functions import vectors as V
 from .functions.filters import predicate
 from .operators import cluster, edges, fusion, keyword, knn, lifecycle, mutate, tree
 from .schema import COLLECTION_NAME, CROSS_K, DOCUMENTS, EDGES, FETCH_K, K, LAMBDA_MULT, RRF_K, SWEEP_LIMIT, Distance, Quantization
-from .sources.store import Store
+from .sources.store import Files, Store, together
+
+
+#: Ids that go into a predicate; more are joined.
+FEW_IDS = 1000
 
 
 class Embedder(Protocol):
@@ -51,9 +56,8 @@ class VectorDB:
         return self._open[name]
 
     def list_collections(self) -> list[str]:
-        from .sources.store import Files
-
-        return sorted(Files(self.spark, self.path).names(self.path), key=lambda n: (n != "default", n))
+        names = [n for n in Files(self.spark, self.path).names(self.path) if not n.startswith("tx-")]
+        return sorted(names, key=lambda n: (n != "default", n))
 
     def delete_collection(self, name: str) -> None:
         if not COLLECTION_NAME.fullmatch(name):
@@ -61,8 +65,6 @@ class VectorDB:
         if name not in self.list_collections():
             raise KeyError(name)
         self._open.pop(name, None)
-        from .sources.store import Files
-
         Files(self.spark, self.path).delete(f"{self.path}/{name}")
 
     def search_collections(self, query: str | Sequence[float], collections: Sequence[str] | None = None, k: int = CROSS_K, filter: dict[str, Any] | None = None, *, normalize_scores: bool = True) -> DataFrame:
@@ -85,12 +87,8 @@ class VectorDB:
 
     @contextmanager
     def transaction(self) -> Iterator["VectorDB"]:
-        """One transaction over all collections open now; each commits by itself at the end."""
-        from contextlib import ExitStack
-
-        with ExitStack() as stack:
-            for c in self._open.values():
-                stack.enter_context(c.store.transaction())
+        """One transaction over all collections open now: all of its changes count from one moment on, or none does."""
+        with together([c.store for c in self._open.values()], self.path):
             yield self
 
     def vacuum(self) -> None:
@@ -101,7 +99,7 @@ class VectorDB:
 class VectorCollection:
     def __init__(self, db: VectorDB, name: str, config: dict[str, str]):
         self.db, self.spark, self.name, self.config = db, db.spark, name, config
-        self.store = Store(db.spark, f"{db.path}/{name}")
+        self.store = Store(db.spark, f"{db.path}/{name}", marks=db.path)
         saved = self.store.fact("config")
         if saved is None:
             self.store.change(lambda s: s.set_fact("config", config))
@@ -131,7 +129,20 @@ class VectorCollection:
         return out if limit is None else out.offset(offset).limit(limit)
 
     def get_documents_by_ids(self, ids: Iterable[int]) -> DataFrame:
-        return self.documents().join(self._ids(ids), "id", "left_semi")
+        return self._only(self.documents(), ids)
+
+    def get_embeddings_by_ids(self, ids: Iterable[int]) -> DataFrame:
+        return self.get_documents_by_ids(ids).where("embedding is not null").select("id", "embedding")
+
+    def list_all_ids(self) -> DataFrame:
+        return self.documents().select("id").orderBy("id")
+
+    def _only(self, rows: DataFrame, ids: Iterable[int], column: str = "id") -> DataFrame:
+        """Rows of these ids; few ids are a predicate, which prunes row groups."""
+        wanted = list(dict.fromkeys(int(i) for i in ids))
+        if len(wanted) <= FEW_IDS:
+            return rows.where(F.col(column).isin(wanted) if wanted else F.lit(False))
+        return rows.join(self._ids(wanted).withColumnRenamed("id", column), column, "left_semi")
 
     def find_ids_by_texts(self, texts: list[str], limit: int | None = None, offset: int = 0) -> DataFrame:
         out = mutate.matching_ids(self.documents(), texts, None).orderBy("id").offset(offset)
@@ -161,7 +172,34 @@ class VectorCollection:
         return found.join(self.documents().select("id", "text", "metadata"), "id").orderBy("qid", "rank")
 
     def keyword_search(self, query: str, k: int = K, filter: dict[str, Any] | None = None) -> DataFrame:
-        return keyword.search(self.documents(), query, k, predicate(filter, F.col("metadata")) if filter else None).drop("embedding")
+        where = predicate(filter, F.col("metadata")) if filter else None
+        if not self.store.fact("indexed"):
+            return keyword.search(self.documents(), query, k, where).drop("embedding")
+        return keyword.search_index(self.documents(), self.store.read("postings"), self.store.read("lengths"), query, k, where).drop("embedding")
+
+    def build_keyword_index(self) -> int:
+        """Index all texts; from then on every write indexes its own texts. The number of documents."""
+
+        def work(store: Store) -> int:
+            for table in ("postings", "lengths"):
+                if store.read(table).isEmpty():
+                    continue
+                store.replace(table, store.read(table).limit(0))
+            store.set_fact("indexed", True)
+            self._index(store, store.read("documents"))
+            return store.read("lengths").count()
+
+        return self.store.change(work)
+
+    def _index(self, store: Store, docs: DataFrame) -> None:
+        """Postings of new or changed texts. Each write has a stamp; a document's stamp in ``lengths`` tells its postings that count."""
+        if not store.fact("indexed"):
+            return
+        stamp = store.fact("stamp", 0) + 1
+        tokens, lengths = keyword.index_rows(docs, stamp)
+        store.append("postings", tokens)
+        store.put("lengths", lengths) if store.current()["tables"].get("lengths") else store.append("lengths", lengths)
+        store.set_fact("stamp", stamp)
 
     def hybrid_search(self, query: str, k: int = K, filter: dict[str, Any] | None = None, *, query_vector: Sequence[float] | None = None, vector_k: int | None = None, keyword_k: int | None = None, rrf_k: int = RRF_K) -> DataFrame:
         if not query.strip() or k <= 0:
@@ -205,9 +243,10 @@ class VectorCollection:
             rows = {i: (i, t, json.dumps(m or {}, separators=(",", ":")), v, p) for i, t, m, v, p in zip(final, texts, metadatas or [None] * len(texts), vectors, parent_ids or [None] * len(texts))}
             new = self.spark.createDataFrame(list(rows.values()), DOCUMENTS)
             if any(i is not None for i in given):
-                store.replace("documents", mutate.upsert(store.read("documents"), new))
+                store.put("documents", new)
             else:
                 store.append("documents", new)
+            self._index(store, new)
             store.set_fact("last_id", last)
             store.set_fact("dim", dims.pop() if store.fact("dim") is None else store.fact("dim"))
             return final
@@ -222,6 +261,8 @@ class VectorCollection:
             last = store.fact("last_id", 0)
             numbered = mutate.assign_ids(rows, last, "text", "metadata")
             store.append("documents", numbered)
+            if store.fact("indexed"):
+                self._index(store, store.read("documents").where(F.col("id") > last))
             added = store.read("documents").agg(F.max("id"), F.max(F.size("embedding"))).collect()[0]
             store.set_fact("last_id", max(last, added[0] or 0))
             if store.fact("dim") is None and added[1] and added[1] > 0:
@@ -261,7 +302,9 @@ class VectorCollection:
         store.set_fact("last_seq", last + new.count())
 
     def delete_by_ids(self, ids: Iterable[int]) -> int:
-        wanted = self._ids(ids)
+        return self._delete_rows(self._ids(ids))
+
+    def _delete_rows(self, wanted: DataFrame) -> int:
 
         def work(store: Store) -> int:
             gone = store.read("documents").join(wanted, "id", "left_semi").select("id").cache()
@@ -275,39 +318,54 @@ class VectorCollection:
         return self.store.change(work)
 
     def _cascade(self, store: Store, gone: DataFrame) -> None:
-        store.replace("documents", mutate.delete(store.read("documents"), gone))
+        """Drop documents and what belongs to them; children of those that go become roots. Only what changes is written."""
+        docs = store.read("documents")
+        children = docs.join(gone.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").join(gone, "id", "left_anti")
+        store.put("documents", children.withColumn("parent_id", F.lit(None).cast("long")))
+        store.set_fact("tombstones", store.fact("tombstones", 0) + store.drop("documents", gone))
+        store.drop("lengths", gone)
         by_doc = gone.select(F.col("id").alias("doc_id"))
         for table in ("ttl", "pending"):
-            store.replace(table, store.read(table).join(by_doc, "doc_id", "left_anti"))
-        store.replace("edges", mutate.delete_edges_of(store.read("edges"), gone))
+            store.drop(table, by_doc)
+        held = store.read("edges")
+        store.drop("edges", held.join(mutate.delete_edges_of(held, gone), list(store.keys["edges"]), "left_anti"))
 
     def remove_texts(self, texts: list[str] | None = None, filter: dict[str, Any] | None = None) -> int:
         found = mutate.matching_ids(self.documents(), texts, predicate(filter, F.col("metadata")) if filter else None)
-        return self.delete_by_ids([r[0] for r in found.collect()])
+        return self._delete_rows(found)
 
     def update_metadata(self, patches: Sequence[tuple[int, dict[str, Any]]]) -> int:
         rows = self.spark.createDataFrame([(int(i), json.dumps(p), n) for n, (i, p) in enumerate(patches)], "id long, patch string, __seq long")
 
         def work(store: Store) -> int:
-            docs = store.read("documents")
-            store.replace("documents", mutate.update_metadata(docs, rows))
-            return docs.join(rows, "id", "left_semi").count()
+            some = store.read("documents").join(F.broadcast(rows.select("id").distinct()), "id", "left_semi")
+            return store.put("documents", mutate.update_metadata(some, rows))
 
         return self.store.change(work) if patches else 0
 
     def increment_metadata(self, id_: int, deltas: dict[str, float]) -> bool:
-        if not deltas or any(isinstance(d, bool) or not isinstance(d, (int, float)) or d != d or abs(d) == float("inf") for d in deltas.values()):
-            raise ValueError("finite increments are needed")
+        return self.increment_many([(id_, deltas)]) == 1
 
-        def work(store: Store) -> bool:
-            docs = store.read("documents")
-            exists = not docs.where(F.col("id") == id_).isEmpty()
-            if exists:
-                for key, delta in deltas.items():
-                    docs = mutate.increment(docs, self.spark.createDataFrame([(int(id_), float(delta))], "id long, delta double"), key)
-                store.replace("documents", docs)
-                self._log(store, "counter", self._ids([id_]), deltas)
-            return exists
+    def increment_many(self, changes: Sequence[tuple[int, dict[str, float]]]) -> int:
+        """Add to numbers in the metadata of documents, in one commit that writes these documents only; how many there are."""
+        for _, deltas in changes:
+            if not deltas or any(isinstance(d, bool) or not isinstance(d, (int, float)) or d != d or abs(d) == float("inf") for d in deltas.values()):
+                raise ValueError("finite increments are needed")
+        if not changes:
+            return 0
+
+        def work(store: Store) -> int:
+            docs = self._only(store.read("documents"), [i for i, _ in changes])
+            for key in sorted({k for _, deltas in changes for k in deltas}):
+                rows = [(int(i), float(deltas[key])) for i, deltas in changes if key in deltas]
+                docs = mutate.increment(docs, self.spark.createDataFrame(rows, "id long, delta double"), key)
+            n = store.put("documents", docs)
+            if n:
+                known = {r[0] for r in docs.select("id").collect()}
+                for i, deltas in changes:
+                    if i in known:
+                        self._log(store, "counter", self._ids([i]), deltas)
+            return n
 
         return self.store.change(work)
 
@@ -333,7 +391,7 @@ class VectorCollection:
         def work(store: Store) -> bool:
             rows, exists = tree.set_parent(store.read("documents"), id_, parent_id)
             if exists:
-                store.replace("documents", rows)
+                store.put("documents", rows.where(F.col("id") == id_))
             return exists
 
         return self.store.change(work)
@@ -347,14 +405,43 @@ class VectorCollection:
 
     def add_edges(self, rows: Sequence[dict[str, Any]], now: float | None = None) -> None:
         new = self._edges([{"weight": 0.0, "hits": 0, "bonus": 0.0} | r for r in rows], now)
-        self.store.change(lambda s: (s.replace("edges", edges.insert(s.read("edges"), new, s.read("documents"))), self._log(s, "edge_add"))[0])
+
+        def work(store: Store) -> None:
+            edges.insert(store.read("edges"), new, store.read("documents"))  # checks the keys and ends
+            store.put("edges", new)
+            self._log(store, "edge_add")
+
+        self.store.change(work)
+
+    def _touched(self, store: Store, changes: DataFrame) -> DataFrame:
+        return store.read("edges").join(changes.select(*edges.KEY).distinct(), edges.KEY, "left_semi")
 
     def upsert_edges(self, rows: Sequence[dict[str, Any]], now: float | None = None) -> None:
         new = self._edges(rows, now)
-        self.store.change(lambda s: (s.replace("edges", edges.upsert(s.read("edges"), new)), self._log(s, "edge_upsert"))[0])
+        self.store.change(lambda s: (s.put("edges", edges.upsert(self._touched(s, new), new)), self._log(s, "edge_upsert"))[0])
 
-    def update_edges(self, changes: DataFrame) -> None:
-        self.store.change(lambda s: (s.replace("edges", edges.update(s.read("edges"), changes)), self._log(s, "edge_update"))[0])
+    def update_edges(self, changes: DataFrame) -> int:
+        """Deltas and new values of edges that are there; their number. Nothing is logged where nothing changes."""
+
+        def work(store: Store) -> int:
+            n = store.put("edges", edges.update(self._touched(store, changes), changes))
+            if n:
+                self._log(store, "edge_update", payload={"n": n})
+            return n
+
+        return self.store.change(work)
+
+    def delete_edge(self, src_id: int, dst_id: int, *, kind: str = "") -> int:
+        """1 if there was such an edge, else 0."""
+        key = self.spark.createDataFrame([(int(src_id), int(dst_id), kind)], "src_id long, dst_id long, kind string")
+
+        def work(store: Store) -> int:
+            n = store.drop("edges", self._touched(store, key))
+            if n:
+                self._log(store, "edge_delete", payload={"src": int(src_id), "dst": int(dst_id), "kind": kind})
+            return n
+
+        return self.store.change(work)
 
     def get_edges(self, **constraints: Any) -> DataFrame:
         return edges.get(self.store.read("edges"), **constraints)
@@ -362,10 +449,7 @@ class VectorCollection:
     def prune_edges(self, **conditions: Any) -> int:
         def work(store: Store) -> int:
             before = store.read("edges")
-            after = edges.prune(before, **conditions)
-            n = before.count()
-            store.replace("edges", after)
-            return n - store.read("edges").count()
+            return store.drop("edges", before.join(edges.prune(before, **conditions).select(*edges.KEY), edges.KEY, "left_anti"))
 
         return self.store.change(work)
 
@@ -378,23 +462,28 @@ class VectorCollection:
         return self.store.fact("last_seq", 0)
 
     def read_events(self, since: int = 0, kind: str | None = None, limit: int | None = None) -> DataFrame:
-        return lifecycle.read_events(self.store.read("events"), since, kind, limit)
+        return lifecycle.read_events(self.events(), since, kind, limit)
+
+    def events(self) -> DataFrame:
+        """The change feed from its floor on."""
+        return lifecycle.prune_events(self.store.read("events"), self.store.fact("events_floor", 0))
 
     def last_seq(self) -> int:
-        return lifecycle.last_seq(self.store.read("events")).first()[0]
+        return lifecycle.last_seq(self.events()).first()[0]
 
     def prune_events(self, before_seq: int) -> None:
-        self.store.change(lambda s: s.replace("events", lifecycle.prune_events(s.read("events"), before_seq)))
+        """Raise the floor. No event is ever written twice, so that whoever follows the files of the feed meets each once."""
+        self.store.change(lambda s: s.set_fact("events_floor", max(before_seq, s.fact("events_floor", 0))))
 
     def set_ttl(self, id_: int, *, expires_at: float | None = None, seconds: float | None = None, on_expire: str = "delete", now: float | None = None) -> None:
         if (expires_at is None) == (seconds is None) or on_expire not in ("delete", "callback"):
             raise ValueError("either expires_at or seconds, and delete or callback")
         at = expires_at if expires_at is not None else (time.time() if now is None else now) + seconds
         new = self.spark.createDataFrame([(int(id_), float(at), on_expire)], "doc_id long, expires_at double, on_expire string")
-        self.store.change(lambda s: (s.replace("ttl", lifecycle.set_ttl(s.read("ttl"), new)), self._log(s, "ttl_set", self._ids([id_])))[0])
+        self.store.change(lambda s: (s.put("ttl", new), self._log(s, "ttl_set", self._ids([id_])))[0])
 
     def clear_ttl(self, id_: int) -> None:
-        self.store.change(lambda s: s.replace("ttl", s.read("ttl").where(F.col("doc_id") != id_)))
+        self.store.change(lambda s: s.drop("ttl", self._ids([id_]).withColumnRenamed("id", "doc_id")))
 
     def sweep(self, now: float | None = None, limit: int = SWEEP_LIMIT) -> tuple[list[int], list[int]]:
         """(deleted, called back): at most ``limit`` due entries, oldest first."""
@@ -404,7 +493,7 @@ class VectorCollection:
             claimed = lifecycle.expired(store.read("ttl"), at, limit).collect()
             if claimed:
                 ids = self._ids(r["doc_id"] for r in claimed)
-                store.replace("ttl", store.read("ttl").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_anti"))
+                store.drop("ttl", ids.withColumnRenamed("id", "doc_id"))
                 self._log(store, "ttl_expire", ids)
                 gone = [r["doc_id"] for r in claimed if r["on_expire"] == "delete"]
                 if gone:
@@ -419,7 +508,7 @@ class VectorCollection:
             knn.check_dimension(v, self.dim)
         new = self.spark.createDataFrame([(int(i), [float(x) for x in v], source, time.time() + n * 1e-6) for n, (i, v) in enumerate(updates)], "doc_id long, embedding array<float>, source string, enqueued_at double")
         mutate.require_finite(new)
-        self.store.change(lambda s: (s.replace("pending", lifecycle.latest_pending(s.read("pending").unionByName(new))), self._log(s, "pending_enqueue"))[0])
+        self.store.change(lambda s: (s.put("pending", lifecycle.latest_pending(new)), self._log(s, "pending_enqueue"))[0])
 
     def blend_toward(self, ids: Sequence[int], centroid: Sequence[float], alpha: float) -> int:
         blended = lifecycle.blend_toward(self.documents(), self.store.read("pending"), F.col("id").isin(list(ids)), V.literal(centroid), alpha).collect()
@@ -435,8 +524,8 @@ class VectorCollection:
             batch = lifecycle.list_pending(store.read("pending"), store.read("documents"), max_batch)
             ids = [r[0] for r in batch.select("doc_id").collect()]
             if ids:
-                store.replace("documents", lifecycle.flush_pending(store.read("documents"), batch))
-                store.replace("pending", store.read("pending").join(self._ids(ids).withColumnRenamed("id", "doc_id"), "doc_id", "left_anti"))
+                store.put("documents", lifecycle.flush_pending(self._only(store.read("documents"), ids), batch))
+                store.drop("pending", self._ids(ids).withColumnRenamed("id", "doc_id"))
                 self._log(store, "pending_flush", payload={"n": len(ids)})
                 store.set_fact("flushes", store.fact("flushes", 0) + 1)
             return len(ids)
@@ -445,7 +534,33 @@ class VectorCollection:
 
     def suggest_rebuild(self, policy: lifecycle.RebuildPolicy | None = None, now: float | None = None) -> bool:
         age = (time.time() if now is None else now) - self.store.fact("rebuilt_at", 0.0)
-        return (policy or lifecycle.RebuildPolicy()).due(self.store.fact("flushes", 0), 0, age)
+        return (policy or lifecycle.RebuildPolicy()).due(self.store.fact("flushes", 0), self.store.fact("tombstones", 0), age)
+
+    def rebuild_if_needed(self, policy: lifecycle.RebuildPolicy | None = None, now: float | None = None) -> bool:
+        """Rebuild where the policy says so; whether it did."""
+        due = self.suggest_rebuild(policy, now)
+        if due:
+            self.rebuild_index()
+        return due
+
+    @contextmanager
+    def background_sweep(self, interval: float = 60.0, limit: int = SWEEP_LIMIT, on_expire: Callable[[list[int]], None] | None = None) -> Iterator[None]:
+        """Sweep every ``interval`` seconds in a thread of the driver while the block runs; ids on 'callback' go to ``on_expire``."""
+        stop = threading.Event()
+
+        def run() -> None:
+            while not stop.wait(interval):
+                _, called = self.sweep(limit=limit)
+                if called and on_expire:
+                    on_expire(called)
+
+        thread = threading.Thread(target=run, daemon=True)
+        thread.start()
+        try:
+            yield
+        finally:
+            stop.set()
+            thread.join()
 
     def rebuild_index(self) -> int:
         """Rewrite the documents as one segment; the number of vectors."""
@@ -453,6 +568,7 @@ class VectorCollection:
         def work(store: Store) -> int:
             store.replace("documents", store.read("documents"))
             store.set_fact("flushes", 0)
+            store.set_fact("tombstones", 0)
             store.set_fact("rebuilt_at", time.time())
             self._log(store, "rebuild")
             return store.read("documents").where("embedding is not null").count()
@@ -490,10 +606,8 @@ class VectorCollection:
         patches = rows.select("id", text.alias("patch"), F.lit(0).cast("long").alias("__seq"))
 
         def work(store: Store) -> int:
-            docs = store.read("documents")
-            n = docs.join(patches, "id", "left_semi").count()
-            store.replace("documents", mutate.update_metadata(docs, patches))
-            return n
+            some = store.read("documents").join(patches.select("id"), "id", "left_semi")
+            return store.put("documents", mutate.update_metadata(some, patches))
 
         return self.store.change(work)
 
@@ -502,7 +616,7 @@ class VectorCollection:
 
     def save_cluster(self, name: str, centroids: Sequence[Sequence[float]], algorithm: str = "kmeans", metadata: dict | None = None) -> None:
         row = self.spark.createDataFrame([(name, algorithm, len(centroids), [[float(x) for x in c] for c in centroids], time.time(), json.dumps(metadata or {}))], self.store.schemas["clusters"])
-        self.store.change(lambda s: s.replace("clusters", s.read("clusters").where(F.col("name") != name).unionByName(row)))
+        self.store.change(lambda s: s.put("clusters", row))
 
     def load_cluster(self, name: str):
         return self.store.read("clusters").where(F.col("name") == name).first()
@@ -512,7 +626,7 @@ class VectorCollection:
 
     def delete_cluster(self, name: str) -> bool:
         existed = name in self.list_clusters()
-        self.store.change(lambda s: s.replace("clusters", s.read("clusters").where(F.col("name") != name)))
+        self.store.change(lambda s: s.drop("clusters", self.spark.createDataFrame([(name,)], "name string")))
         return existed
 
     def assign_to_cluster(self, name: str, doc_ids: Sequence[int] | None = None, metadata_key: str = "cluster") -> int:

@@ -8,6 +8,8 @@ digits and underscores. Each word, prefix or phrase outside the right side of a
 
 from __future__ import annotations
 
+import atexit
+import math
 import re
 from dataclasses import dataclass
 
@@ -16,11 +18,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schema import K
-from ..sources.scratch import materialize
+from ..sources.scratch import delete, fresh_path
 
 #: Fixed values of the ranking function.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 NEAR_DISTANCE = 10
+#: Rows of a result that the driver may hold.
+MOST_KEPT = 10_000
 
 
 @dataclass(frozen=True)
@@ -144,10 +148,17 @@ def phrases_of(tree: Query) -> list[tuple[Phrase, Near | None]]:
     return phrases_of(tree.left) + (phrases_of(tree.right) if tree.op != "NOT" else [])
 
 
+def index_rows(docs: DataFrame, stamp: int) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of documents: (term, id, stamp, positions), sorted by term within range partitions so that readers skip row groups; (id, stamp, n_tokens)."""
+    tokens = docs.select("id", T.tokens(F.col("text")).alias("t"))
+    words = tokens.select("id", F.posexplode("t").alias("pos", "term")).groupBy("term", "id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    of = F.lit(stamp).cast("long").alias("stamp")
+    return words.select("term", "id", of, "positions").repartitionByRange("term", "id").sortWithinPartitions("term", "id"), tokens.select("id", of, F.size("t").alias("n_tokens"))
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """(term, id, tf, positions): the inverted index."""
-    words = docs.select("id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "term"))
-    return words.groupBy("term", "id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """(term, id, tf, positions): the inverted index of documents."""
+    return index_rows(docs, 0)[0].select("term", "id", F.size("positions").cast("long").alias("tf"), "positions")
 
 
 def _matchers(phrases: list[Phrase]) -> list[tuple[str, bool]]:
@@ -226,18 +237,46 @@ def search(docs: DataFrame, query: str, k: int | None = K, where: Column | None
 
     One pass tokenizes each text once and leaves a narrow row of counts per document, without a shuffle: positions are array
     functions over the row's own tokens, and phrases intersections of shifted positions. The counts are written and read again for the
-    statistics, a single row that is broadcast, and for the ranking; the k best ids fetch their rows.
+    statistics, a single row, and for the ranking; they are deleted once the k best are known. A stored index spares the pass (``search_index``).
     """
     if not query.strip():
         return docs.limit(0).withColumn("score", F.lit(0.0))
     tree = parse(query)
-    every = list(dict.fromkeys(_all_phrases(tree)))
-    scored = list(dict.fromkeys(phrases_of(tree)))
-    matchers = _matchers(every)
+    matchers = _matchers(list(dict.fromkeys(_all_phrases(tree))))
     keep = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
     read = docs.select("id", T.tokens(F.col("text")).alias("__t"), keep.alias("__keep"))
     read = read.select("id", "__keep", F.size("__t").alias("__d"), *(_positions(F.col("__t"), *m).alias(f"__p{i}") for i, m in enumerate(matchers)))
-    positions = {m: F.col(f"__p{i}") for i, m in enumerate(matchers)}
+    totals = (F.count("*").alias("n"), F.avg("__d").alias("mean"))
+    return _rank(docs, read, None, totals, tree, k, digits)
+
+
+def search_index(docs: DataFrame, postings: DataFrame, lengths: DataFrame, query: str, k: int | None = K, where: Column | None = None, digits: int | None = None) -> DataFrame:
+    """As ``search``, from a stored index: only the query's terms are read of it, by predicates on their sorted column, and no text is tokenized.
+    ``postings``: (term, id, stamp, positions); ``lengths``: (id, stamp, n_tokens), whose stamps tell the postings that count."""
+    if not query.strip():
+        return docs.limit(0).withColumn("score", F.lit(0.0))
+    tree = parse(query)
+    matchers = _matchers(list(dict.fromkeys(_all_phrases(tree))))
+    wanted = F.lit(False)
+    for word, prefix in matchers:
+        wanted = wanted | (F.col("term").startswith(word) if prefix else F.col("term") == word)
+    held = postings.where(wanted).join(lengths, ["id", "stamp"])
+    own = lambda word, prefix: F.col("term").startswith(word) if prefix else F.col("term") == word
+    none = F.array().cast("array<int>")
+    places = [F.sort_array(F.flatten(F.collect_list(F.when(own(*m), F.col("positions")).otherwise(none)))).alias(f"__p{i}") for i, m in enumerate(matchers)]
+    read = held.groupBy("id").agg(F.first("n_tokens").alias("__d"), *places)
+    if where is None:
+        read = read.withColumn("__keep", F.lit(True))
+    else:
+        read = read.join(docs.where(where).select("id", F.lit(True).alias("__keep")), "id", "left").withColumn("__keep", F.coalesce("__keep", F.lit(False)))
+    return _rank(docs, read, lengths.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("mean")), None, tree, k, digits)
+
+
+def _rank(docs: DataFrame, read: DataFrame, corpus: DataFrame | None, totals: tuple[Column, Column] | None, tree: Query, k: int | None, digits: int | None) -> DataFrame:
+    """read: (id, __keep, __d, positions of each matcher). Number and mean length of all documents come from ``corpus``, or are ``totals`` over the rows."""
+    every = list(dict.fromkeys(_all_phrases(tree)))
+    scored = list(dict.fromkeys(phrases_of(tree)))
+    positions = {m: F.col(f"__p{i}") for i, m in enumerate(_matchers(every))}
     starts = {p: _starts(positions, p) for p in every}
     counts = {p: F.size(starts[p]) for p in every}
     found = read.select(
@@ -246,20 +285,27 @@ def search(docs: DataFrame, query: str, k: int | None = K, where: Column | None
         *((_near_hits(p, near, starts) if near else counts[p]).alias(f"__f{i}") for i, (p, near) in enumerate(scored)),
         (F.col("__keep") & _matches(tree, counts, starts)).alias("__match"),
     )
-    found = materialize(found, "keyword")
-    frequencies = (F.coalesce(F.sum((F.col(f"__c{i}") > 0).cast("long")), F.lit(0)).alias(f"__df{i}") for i in range(len(scored)))
-    statistics = found.agg(F.count("*").alias("__n"), F.avg("__d").alias("__avg"), *frequencies)
+    spark = docs.sparkSession
+    path = fresh_path(spark, "keyword")
+    found.write.parquet(path)
+    found = spark.read.schema(found.schema).parquet(path)
+    frequencies = [F.coalesce(F.sum((F.col(f"__c{i}") > 0).cast("long")), F.lit(0)).alias(f"df{i}") for i in range(len(scored))]
+    row = found.agg(*frequencies, *(totals or ())).first()
+    size = row if corpus is None else corpus.first()
+    n, mean = size["n"], size["mean"] or 1.0
 
     score = F.lit(0.0)
     repeats = phrases_of(tree)
     for i, p in enumerate(scored):
-        n, df, f = F.col("__n"), F.col(f"__df{i}"), F.col(f"__f{i}")
-        idf = F.ln((n - df + 0.5) / (df + 0.5))
-        idf = F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf)
-        score = score - repeats.count(p) * idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__d") / F.col("__avg")))
-    ranked = found.where("__match").join(F.broadcast(statistics))  # one row
-    ranked = ranked.select("id", (F.round(score, digits) if digits is not None else score).alias("score"))
-    if k is None:
-        return docs.join(ranked, "id").select(*docs.columns, "score")
-    top = ranked.orderBy("score", "id").limit(max(0, k))
-    return docs.join(F.broadcast(top) if k <= 10_000 else top, "id").select(*docs.columns, "score").orderBy("score", "id")
+        df, f = row[f"df{i}"], F.col(f"__f{i}")
+        idf = max(math.log((n - df + 0.5) / (df + 0.5)), 0.0) or IDF_FLOOR
+        score = score - repeats.count(p) * idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__d") / mean))
+    ranked = found.where("__match").select("id", (F.round(score, digits) if digits is not None else score).alias("score"))
+    if k is None or k > MOST_KEPT:
+        atexit.register(delete, spark, path)  # read again whenever the result is
+        ranked = ranked if k is None else ranked.orderBy("score", "id").limit(k)
+        return docs.join(ranked, "id").select(*docs.columns, "score").orderBy("score", "id")
+    top = ranked.orderBy("score", "id").limit(max(0, k)).collect()
+    delete(spark, path)
+    best = spark.createDataFrame([tuple(r) for r in top], ranked.schema)
+    return docs.join(F.broadcast(best), "id").select(*docs.columns, "score").orderBy("score", "id")

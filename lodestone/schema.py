@@ -11,7 +11,11 @@ EVENTS = "seq long, ts double, kind string, doc_id long, payload string"
 TTL = "doc_id long, expires_at double, on_expire string"
 PENDING = "doc_id long, embedding array<float>, source string, enqueued_at double"
 CLUSTERS = "name string, algorithm string, n_clusters int, centroids array<array<float>>, created_at double, metadata string"
-TABLES = {"documents": DOCUMENTS, "edges": EDGES, "events": EVENTS, "ttl": TTL, "pending": PENDING, "clusters": CLUSTERS}
+POSTINGS = "term string, id long, stamp long, positions array<int>"
+LENGTHS = "id long, stamp long, n_tokens int"
+TABLES = {"documents": DOCUMENTS, "edges": EDGES, "events": EVENTS, "ttl": TTL, "pending": PENDING, "clusters": CLUSTERS, "postings": POSTINGS, "lengths": LENGTHS}
+#: Tables whose rows can be replaced and dropped by key.
+KEYS = {"documents": ("id",), "edges": ("src_id", "dst_id", "kind"), "ttl": ("doc_id",), "pending": ("doc_id",), "clusters": ("name",), "lengths": ("id",)}
 
 COLLECTION_NAME = re.compile(r"[a-zA-Z0-9_]+")
 #: Fixed defaults of the data model.
