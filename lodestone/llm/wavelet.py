@@ -1,7 +1,6 @@
 """Token-ID files: a wavelet matrix per shard.
 
-Documents are encoded where they lie; their ids, not their texts, are then dealt by range of doc_id, sorted in each partition and packed
-into shards of about ``SHARD_TOKENS`` ids. A shard is one compressed binary value: ``width`` succinct bit-planes (the ids' bits from the
+Documents are dealt by range of doc_id and sorted in each partition, encoded, and packed into shards of about ``SHARD_TOKENS`` ids. A shard is one compressed binary value: ``width`` succinct bit-planes (the ids' bits from the
 highest down, each plane in the order that the planes above leave: zeros first, stably) in blocks of ``PLANE_BLOCK`` bits, each
 compressed by itself, the number of ones before every block, the number of zeros of each plane, and the documents' ids and lengths.
 Token access, counting and occurrence lookup decompress the blocks that they touch, one a plane and position at most; rank and select of
@@ -27,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import delete, new_path, slices
+from .common import new_path, slices
 from .pieces import PieceTable, ragged
 
 END_ID = 0
@@ -301,65 +300,50 @@ def _encoder(path: str, special_as_text: bool = True) -> Encoder:
     return _ENCODERS[path, special_as_text]
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, special_as_text: bool = True) -> DataFrame:
-    """(doc_id, tie, spread, ids): every document's ids as little-endian numbers of two or four bytes. tie orders documents of one
-    doc_id by their texts; spread is a number of the row that only keeps equal rows apart."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer, special_as_text)
-        for batch in batches:
-            for a, b in slices(batch.column(3), _BLOCK_BYTES):
-                flat, counts = encoder.encode(batch.column(3).slice(a, b - a))
-                raw = np.ascontiguousarray(flat, np.dtype(encoder.dtype).newbyteorder("<"))
-                ends = np.r_[0, np.cumsum(counts)] * raw.itemsize
-                ids = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw)])
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), ids.cast(pa.binary())], names=["doc_id", "tie", "spread", "ids"])
-
-    text = F.col("text").cast("string")
-    spread = F.pmod(F.monotonically_increasing_id(), F.lit(1024)).cast("int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), spread.alias("spread"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, tie long, spread int, ids binary")
-
-
 def write_shards(docs: DataFrame, tokenizer: str, target: str, shard_tokens: int = SHARD_TOKENS, special_as_text: bool = True) -> None:
     """Encode every document and write the shards, as Parquet rows (part, seq, n_tokens, n_docs, shard), to ``target``."""
-    spark = docs.sparkSession
-    vocabulary = np.dtype(_encoder(tokenizer, special_as_text).dtype)
-    width = 8 * vocabulary.itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
+        encoder = _encoder(tokenizer, special_as_text)
+        width = 8 * np.dtype(encoder.dtype).itemsize
         ids, lengths, names, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, ids, lengths, names, held
-            blob = pack_shard(names, np.array(lengths, np.int64), np.concatenate(ids), width)
+            blob = pack_shard(names, np.concatenate(lengths), np.concatenate(ids), width)
             row = [part, seq, held, len(names), blob]
             seq, ids, lengths, names, held = seq + 1, [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "seq", "n_tokens", "n_docs", "shard"])
 
         for batch in batches:
-            keys, rows = batch.column(0).to_pylist(), batch.column(1)
-            for i, name in enumerate(keys):  # whole documents up to the shard's size
-                own = np.frombuffer(rows[i].as_buffer(), vocabulary.newbyteorder("<"))
-                if names and held + len(own) > shard_tokens:
-                    yield flush()
-                ids.append(own.astype(vocabulary))
-                lengths.append(len(own))
-                names.append(name)
-                held += len(own)
+            texts, keys = batch.column(1), batch.column(0).to_pylist()
+            for at, end in slices(texts, _BLOCK_BYTES):
+                flat, counts = encoder.encode(texts.slice(at, end - at))
+                start, stops = at, np.cumsum(counts)
+                while start < end:  # whole documents up to the shard's size
+                    base = int(stops[start - at - 1]) if start > at else 0
+                    fit = int(np.searchsorted(stops, base + shard_tokens - held, "right")) + at
+                    fit = min(end, max(fit, start + (held == 0)))
+                    if fit > start:
+                        stop = int(stops[fit - at - 1])
+                        ids.append(flat[base:stop])
+                        lengths.append(counts[start - at : fit - at])
+                        names += keys[start:fit]
+                        held += stop - base
+                        start = fit
+                    if start < end:
+                        yield flush()
         if names:
             yield flush()
 
-    # encoded once, before the range's sample and the shuffle read it
-    path = new_path(spark, "encoded")
-    encode_documents(docs, tokenizer, special_as_text).write.parquet(path)
-    encoded = spark.read.schema("doc_id long, tie long, spread int, ids binary").parquet(path)
-    order = ["doc_id", "tie", "spread"]
-    sorted_docs = encoded.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
+    # tie orders documents of one doc_id by their texts; spread only keeps equal rows apart
+    text, order = F.col("text").cast("string"), ["doc_id", "tie", "spread"]
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(1024)).cast("int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), spread.alias("spread"), text.alias("text"))
+    sorted_docs = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     shards = sorted_docs.mapInArrow(run, "part int, seq int, n_tokens long, n_docs long, shard binary")
     shards.write.option("compression", "none").option("maxRecordsPerFile", FILE_SHARDS).parquet(target)
-    delete(spark, path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
