@@ -254,20 +254,28 @@ class VectorCollection:
         return self.store.change(work)
 
     def add_frame(self, rows: DataFrame) -> int:
-        """Append a table (text, metadata, embedding, parent_id); ids follow the order of text and metadata. For bulk loads."""
-        mutate.require_finite(rows)
+        """Append a table (text, metadata, embedding, parent_id); ids follow the order of text and metadata. For bulk loads.
+
+        Where rows bring their ids they keep them and replace documents of the same id; of equal ids the one with the greatest __seq, if there is one, counts.
+        """
+        if "embedding" in rows.columns:
+            mutate.require_finite(rows)
 
         def work(store: Store) -> int:
-            last = store.fact("last_id", 0)
-            numbered = mutate.assign_ids(rows, last, "text", "metadata")
-            store.append("documents", numbered)
+            last, known = store.fact("last_id", 0), bool(store.current()["tables"].get("documents"))
+            if "id" in rows.columns:
+                new = mutate.latest(rows)
+                store.put("documents", new) if known else store.append("documents", new)
+            else:
+                new = None
+                store.append("documents", mutate.assign_ids(rows, last, "text", "metadata"))
+            added = store.read("documents").agg(F.max("id"), F.max(F.size("embedding"))).first()
             if store.fact("indexed"):
-                self._index(store, store.read("documents").where(F.col("id") > last))
-            added = store.read("documents").agg(F.max("id"), F.max(F.size("embedding"))).collect()[0]
+                self._index(store, new if new is not None else store.read("documents").where(F.col("id") > last))
             store.set_fact("last_id", max(last, added[0] or 0))
             if store.fact("dim") is None and added[1] and added[1] > 0:
                 store.set_fact("dim", added[1])
-            return (added[0] or last) - last
+            return new.count() if new is not None else (added[0] or last) - last
 
         return self.store.change(work)
 
@@ -334,14 +342,30 @@ class VectorCollection:
         found = mutate.matching_ids(self.documents(), texts, predicate(filter, F.col("metadata")) if filter else None)
         return self._delete_rows(found)
 
-    def update_metadata(self, patches: Sequence[tuple[int, dict[str, Any]]]) -> int:
-        rows = self.spark.createDataFrame([(int(i), json.dumps(p), n) for n, (i, p) in enumerate(patches)], "id long, patch string, __seq long")
+    def update_metadata(self, patches: Sequence[tuple[int, dict[str, Any]]] | DataFrame) -> int:
+        """Merge JSON objects into the metadata of documents: pairs, or a table (id, patch, __seq). How many documents there are."""
+        if not isinstance(patches, DataFrame):
+            if not patches:
+                return 0
+            patches = self.spark.createDataFrame([(int(i), json.dumps(p), n) for n, (i, p) in enumerate(patches)], "id long, patch string, __seq long")
+
+        def work(store: Store) -> int:
+            some = store.read("documents").join(patches.select("id").distinct(), "id", "left_semi")
+            return store.put("documents", mutate.update_metadata(some, patches))
+
+        return self.store.change(work)
+
+    def increment_frame(self, deltas: DataFrame, key: str) -> int:
+        """Add the deltas (id, delta) to one number in the metadata; how many documents there are. Logged as one event."""
 
         def work(store: Store) -> int:
-            some = store.read("documents").join(F.broadcast(rows.select("id").distinct()), "id", "left_semi")
-            return store.put("documents", mutate.update_metadata(some, rows))
+            some = store.read("documents").join(deltas.select("id").distinct(), "id", "left_semi")
+            n = store.put("documents", mutate.increment(some, deltas, key))
+            if n:
+                self._log(store, "counter", payload={"key": key, "n": n})
+            return n
 
-        return self.store.change(work) if patches else 0
+        return self.store.change(work)
 
     def increment_metadata(self, id_: int, deltas: dict[str, float]) -> bool:
         return self.increment_many([(id_, deltas)]) == 1

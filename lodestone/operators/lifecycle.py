@@ -90,5 +90,6 @@ class RebuildPolicy:
     tombstones: int = REBUILD_TOMBSTONES
     seconds: float = REBUILD_SECONDS
 
-    def due(self, flushes: int, tombstones: int, age: float) -> bool:
-        return flushes >= self.flushes or tombstones >= self.tombstones or (age >= self.seconds and flushes >= 1)
+    def due(self, flushes: int | Column, tombstones: int | Column, age: float | Column) -> bool | Column:
+        """Of numbers, or row by row of columns."""
+        return (flushes >= self.flushes) | (tombstones >= self.tombstones) | ((age >= self.seconds) & (flushes >= 1))

@@ -27,11 +27,17 @@ def assign_ids(new: DataFrame, last_id: int, *order: str) -> DataFrame:
     return ranged.join(F.broadcast(base), F.col("__part") == F.col("__p")).withColumn("id", F.col("__base") + own + last_id).drop("__part", "__p", "__base")
 
 
+def latest(new: DataFrame) -> DataFrame:
+    """Of equal ids the row with the greatest __seq, where there is such a column."""
+    if "__seq" not in new.columns:
+        return new
+    value = F.struct("__seq", *(c for c in new.columns if c not in ("id", "__seq")))
+    return new.groupBy("id").agg(F.max(value).alias("v")).select("id", *(F.col(f"v.{c}").alias(c) for c in new.columns if c not in ("id", "__seq")))
+
+
 def upsert(docs: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of ``new`` replace those with the same id; of equal ids in ``new`` the one with the greatest __seq (if there is one) stays."""
-    if "__seq" in new.columns:
-        value = F.struct("__seq", *(c for c in new.columns if c not in ("id", "__seq")))
-        new = new.groupBy("id").agg(F.max(value).alias("v")).select("id", *(F.col(f"v.{c}").alias(c) for c in new.columns if c not in ("id", "__seq")))
+    new = latest(new)
     return docs.join(new.select("id"), "id", "left_anti").unionByName(new, allowMissingColumns=True)
 
 

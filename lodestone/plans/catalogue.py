@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..collection import VectorCollection, VectorDB
 from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.filters import predicate
@@ -162,25 +163,41 @@ def hash_embed(spark, sf):
 
 # scans
 
+def library(spark, rows: DataFrame) -> VectorCollection:
+    """A collection that holds these rows, by their ids."""
+    from ..sources.scratch import fresh_path
+
+    made = VectorDB(spark, fresh_path(spark, "db")).collection("rows")
+    made.add_frame(rows)
+    return made
+
+
+def described(spark, sf) -> DataFrame:
+    """Documents with their language, source and length as metadata."""
+    return documents(spark, sf).select("id", "text", F.to_json(F.struct("lang", "source", "n_chars")).alias("metadata"))
+
+
 @query("SELECT doc_id AS id, lang, n_chars FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 50 OFFSET 100")
 def scan_paginated(spark, sf):
-    return documents(spark, sf).where("lang = 'en'").orderBy("id").offset(100).limit(50).select("id", "lang", "n_chars")
+    page = library(spark, described(spark, sf)).get_documents({"lang": "en"}, limit=50, offset=100)
+    return page.select("id", F.get_json_object("metadata", "$.lang").alias("lang"), F.get_json_object("metadata", "$.n_chars").cast("long").alias("n_chars"))
 
 
 @query("SELECT doc_id AS id, text, lang FROM documents WHERE doc_id IN (3, 5, 8, 13, 100000000)")
 def lookup_by_ids(spark, sf):
-    return documents(spark, sf).where(F.col("id").isin(3, 5, 8, 13, 100000000)).select("id", "text", "lang")
+    found = library(spark, described(spark, sf)).get_documents_by_ids([3, 5, 8, 13, 100000000])
+    return found.select("id", "text", F.get_json_object("metadata", "$.lang").alias("lang"))
 
 
 @query(f"SELECT id, CAST(i - 1 AS INTEGER) AS i, round(x, 6) + 0.0 AS x FROM ({_EACH}) WHERE id IN (2, 4, 499)")
 def lookup_embeddings(spark, sf):
-    return vectors(spark, sf).where(F.col("id").isin(2, 4, 499)).select("id", F.posexplode(V.doubles(F.col("embedding"))).alias("i", "x")).select("id", "i", (F.round("x", 6) + 0.0).alias("x"))
+    return library(spark, vectors(spark, sf).select("id", "embedding")).get_embeddings_by_ids([2, 4, 499]).select("id", F.posexplode(V.doubles(F.col("embedding"))).alias("i", "x")).select("id", "i", (F.round("x", 6) + 0.0).alias("x"))
 
 
 @query("SELECT doc_id AS id FROM documents WHERE text IN (SELECT text FROM documents WHERE doc_id < 40) ORDER BY id LIMIT 100")
 def find_by_text(spark, sf):
-    docs = documents(spark, sf)
-    return docs.join(docs.where("id < 40").select("text"), "text", "left_semi").select("id").orderBy("id").limit(100)
+    texts = [r[0] for r in documents(spark, sf).where("id < 40").select("text").collect()]
+    return library(spark, described(spark, sf)).find_ids_by_texts(texts, limit=100)
 
 
 @query("SELECT event_id AS id FROM events WHERE CAST(json_extract(props, '$.k') AS DOUBLE) >= 90 AND event_type = 'click'")
@@ -190,12 +207,17 @@ def find_by_filter(spark, sf):
 
 @query("SELECT count(*) AS n FROM documents")
 def count_docs(spark, sf):
-    return documents(spark, sf).agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(library(spark, described(spark, sf)).count(),)], "n long")
 
 
 @query("SELECT DISTINCT source AS name FROM documents")
 def list_collections(spark, sf):
-    return documents(spark, sf).select(F.col("source").alias("name")).distinct()
+    from ..sources.scratch import fresh_path
+
+    db = VectorDB(spark, fresh_path(spark, "db"))
+    for row in documents(spark, sf).select("source").distinct().collect():
+        db.collection(row["source"])
+    return spark.createDataFrame([(name,) for name in db.list_collections()], "name string")
 
 
 # the predicate language, over metadata of mixed types
@@ -442,6 +464,15 @@ def edge_table(spark, sf) -> DataFrame:
     return joined.groupBy(F.col("o_custkey").alias("src_id"), F.col("l_partkey").alias("dst_id"), F.col("l_returnflag").alias("kind")).agg(F.sum("l_discount").alias("weight"), F.count("*").alias("hits"), F.lit(0.0).alias("bonus"), F.max(F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1e6).alias("last_touch"))
 
 
+def graph(spark, sf) -> VectorCollection:
+    """A collection that holds the edges, made once."""
+    from ..sources.scratch import fresh_path
+
+    made = VectorDB(spark, fresh_path(spark, "db")).collection("graph")
+    made.store.change(lambda s: s.append("edges", edge_table(spark, sf)))
+    return made
+
+
 def _edge_rows(rows: DataFrame) -> DataFrame:
     return rows.select("src_id", "dst_id", "kind", F.round("weight", 6).alias("weight"), "hits", F.round("bonus", 6).alias("bonus"), "last_touch")
 
@@ -464,10 +495,11 @@ def edges_upsert(spark, sf):
 
 @query(f"WITH e AS {_EDGES} SELECT src_id, dst_id, kind, round(CASE WHEN dst_id % 3 = 0 THEN weight + 0.3 ELSE weight END, 6) AS weight, CAST(CASE WHEN dst_id % 3 = 0 THEN hits + 2 ELSE hits END AS BIGINT) AS hits, round(CASE WHEN dst_id % 3 = 0 THEN 1.5 ELSE bonus END::DOUBLE, 6) AS bonus, last_touch FROM e")
 def edges_delta(spark, sf):
-    rows = edge_table(spark, sf)
-    some = rows.where("dst_id % 3 = 0").select(*edges.KEY)
+    made = graph(spark, sf)
+    some = made.store.read("edges").where("dst_id % 3 = 0").select(*edges.KEY)
     changes = some.select("*", F.lit(0.1).alias("dweight"), F.lit(1).alias("dhits"), F.lit(None).cast("double").alias("bonus")).unionByName(some.select("*", F.lit(0.2).alias("dweight"), F.lit(1).alias("dhits"), F.lit(1.5).alias("bonus")))
-    return _edge_rows(edges.update(rows, changes))
+    made.update_edges(changes)
+    return _edge_rows(made.store.read("edges"))
 
 
 @query(f"SELECT {_EDGE_COLUMNS} FROM {_EDGES} WHERE kind <> 'R' OR src_id % 2 = 0")
@@ -514,7 +546,9 @@ def events_prune(spark, sf):
 
 @query("SELECT event_type AS kind, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1")
 def event_kinds(spark, sf):
-    return feed(spark, sf).groupBy("kind").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
+    made = library(spark, spark.createDataFrame([], "id long, text string"))
+    made.store.change(lambda s: s.append("events", feed(spark, sf)))
+    return made.read_events(-1).groupBy("kind").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
 
 
 @query()
@@ -528,11 +562,11 @@ def events_stream(spark, sf):
     return spark.read.schema(stream.schema).parquet(sink)
 
 
-_TTL = f"(SELECT doc_id, {NOW} + ((doc_id * 37) % 1000) - 400 AS expires_at, CASE WHEN doc_id % 3 = 0 THEN 'callback' ELSE 'delete' END AS on_expire FROM documents WHERE doc_id % 2 = 0)"
+_TTL = f"(SELECT doc_id, {NOW} + ((doc_id * 37) % 1000) - 400 AS expires_at, CASE WHEN doc_id % 3 = 0 THEN 'callback' ELSE 'delete' END AS on_expire FROM documents)"
 
 
 def expiry(spark, sf) -> DataFrame:
-    return documents(spark, sf).where("id % 2 = 0").select(F.col("id").alias("doc_id"), (F.lit(NOW) + (F.col("id") * 37) % 1000 - 400).alias("expires_at"), F.when(F.col("id") % 3 == 0, "callback").otherwise("delete").alias("on_expire"))
+    return documents(spark, sf).select(F.col("id").alias("doc_id"), (F.lit(NOW) + (F.col("id") * 37) % 1000 - 400).alias("expires_at"), F.when(F.col("id") % 3 == 0, "callback").otherwise("delete").alias("on_expire"))
 
 
 @query(f"SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN {NOW} ELSE expires_at END::DOUBLE AS expires_at, CASE WHEN doc_id % 5 = 0 THEN 'delete' ELSE on_expire END AS on_expire FROM {_TTL}")
@@ -552,11 +586,11 @@ def ttl_sweep(spark, sf):
     return docs.select(F.lit("document").alias("what"), "id").unionByName(left.select(F.lit("ttl").alias("what"), F.col("doc_id").alias("id"))).unionByName(claimed.select(F.col("on_expire").alias("what"), F.col("doc_id").alias("id")))
 
 
-_PENDING = "SELECT vec_id + s AS doc_id, vec_id, s::DOUBLE + vec_id / 1000 AS enqueued_at, 'src' || s AS source FROM embeddings, (VALUES (0), (1), (2)) t(s) WHERE vec_id % 7 = 0"
+_PENDING = "SELECT vec_id + s AS doc_id, vec_id, s::DOUBLE + vec_id / 1000 AS enqueued_at, 'src' || s AS source FROM embeddings, (VALUES (0), (1), (2)) t(s)"
 
 
 def pending_log(spark, sf) -> DataFrame:
-    rows = vectors(spark, sf).where("id % 7 = 0").withColumn("s", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    rows = vectors(spark, sf).withColumn("s", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     again = rows.unionByName(rows.withColumn("s", F.col("s") + 0).where("s = 1"))
     return again.select((F.col("id") + F.col("s")).alias("doc_id"), F.transform("embedding", lambda x: -x).alias("embedding"), F.concat(F.lit("src"), F.col("s").cast("string")).alias("source"), (F.col("s").cast("double") + F.col("id") / 1000).alias("enqueued_at"))
 
@@ -566,20 +600,20 @@ def pending_latest(spark, sf):
     return lifecycle.latest_pending(pending_log(spark, sf)).select("doc_id", "source", F.round("enqueued_at", 6).alias("enqueued_at"))
 
 
-@query(f"SELECT doc_id, source FROM ({_PENDING}) WHERE doc_id IN (SELECT vec_id FROM embeddings) ORDER BY enqueued_at, doc_id LIMIT 100")
+@query(f"SELECT doc_id, source FROM (SELECT * FROM ({_PENDING}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY enqueued_at DESC) = 1) WHERE doc_id IN (SELECT vec_id FROM embeddings) ORDER BY enqueued_at, doc_id LIMIT 100")
 def pending_list(spark, sf):
     return lifecycle.list_pending(lifecycle.latest_pending(pending_log(spark, sf)), vectors(spark, sf), 100).select("doc_id", "source")
 
 
-@query(f"WITH p AS ({_PENDING}) SELECT e.vec_id AS id, round(list_sum(list_transform(coalesce(list_transform(s.embedding, lambda x: -x), e.embedding), lambda x: x::DOUBLE)), 5) + 0.0 AS total FROM embeddings e LEFT JOIN p ON p.doc_id = e.vec_id LEFT JOIN embeddings s ON s.vec_id = p.vec_id")
+@query(f"WITH p AS (SELECT * FROM ({_PENDING}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY enqueued_at DESC) = 1) SELECT e.vec_id AS id, round(list_sum(list_transform(coalesce(list_transform(s.embedding, lambda x: -x), e.embedding), lambda x: x::DOUBLE)), 5) + 0.0 AS total FROM embeddings e LEFT JOIN p ON p.doc_id = e.vec_id LEFT JOIN embeddings s ON s.vec_id = p.vec_id")
 def pending_flush(spark, sf):
     flushed = lifecycle.flush_pending(vectors(spark, sf), lifecycle.latest_pending(pending_log(spark, sf)))
     return flushed.select("id", (F.round(F.aggregate(V.doubles(F.col("embedding")), F.lit(0.0), lambda a, x: a + x), 5) + 0.0).alias("total"))
 
 
-@query(f"WITH e AS ({_EACH}), c AS (SELECT i, x FROM e WHERE id = 0) SELECT e.id AS doc_id, CAST(e.i - 1 AS INTEGER) AS i, round(0.75 * e.x + 0.25 * c.x, 6) + 0.0 AS x FROM e JOIN c USING (i) WHERE e.id < 50")
+@query(f"WITH e AS ({_EACH}), c AS (SELECT i, x FROM e WHERE id = 0) SELECT e.id AS doc_id, CAST(e.i - 1 AS INTEGER) AS i, round(0.75 * e.x + 0.25 * c.x, 6) + 0.0 AS x FROM e JOIN c USING (i)")
 def blend_toward(spark, sf):
-    blended = lifecycle.blend_toward(vectors(spark, sf), None, F.col("id") < 50, V.literal(vector_of(spark, sf, 0)), 0.25)
+    blended = lifecycle.blend_toward(vectors(spark, sf), None, F.lit(True), V.literal(vector_of(spark, sf, 0)), 0.25)
     return blended.select("doc_id", F.posexplode("embedding").alias("i", "x")).select("doc_id", "i", (F.round("x", 6) + 0.0).alias("x"))
 
 
@@ -595,7 +629,10 @@ def upsert_docs(spark, sf):
     docs = documents(spark, sf).select("id", "lang")
     new = docs.where("id % 4 = 0").select("id", F.lit("first").alias("lang"), F.lit(0).alias("__seq"))
     new = new.unionByName(docs.where("id % 4 < 2").select(F.when(F.col("id") % 4 == 0, F.col("id")).otherwise(-F.col("id")).alias("id"), F.lit("second").alias("lang"), F.lit(1).alias("__seq")))
-    return mutate.upsert(docs, new)
+    as_rows = lambda rows: rows.select("id", F.col("lang").alias("text"), *(c for c in ("__seq",) if c in rows.columns))
+    made = library(spark, as_rows(docs))
+    made.add_frame(as_rows(new))
+    return made.documents().select("id", F.col("text").alias("lang"))
 
 
 @query(f"WITH g AS (SELECT doc_id FROM documents WHERE doc_id % 9 = 0), e AS {_EDGES} SELECT 'document' AS what, count(*) AS n FROM documents WHERE doc_id NOT IN (FROM g) UNION ALL SELECT 'edge', count(*) FROM e WHERE src_id NOT IN (FROM g) AND dst_id NOT IN (FROM g) UNION ALL SELECT 'label', count(*) FROM labels WHERE doc_id NOT IN (FROM g)")
@@ -618,7 +655,9 @@ def metadata_merge(spark, sf):
     rows = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("props").alias("metadata"), "event_type")
     some = rows.where("id % 3 = 0")
     patches = some.select("id", F.lit('{"k": 1, "a": 0}').alias("patch"), F.lit(0).alias("__seq")).unionByName(some.select("id", F.concat(F.lit('{"k": 2, "a": "'), F.col("event_type"), F.lit('"}')).alias("patch"), F.lit(1).alias("__seq")))
-    return mutate.update_metadata(rows, patches).select("id", F.to_json(F.parse_json("metadata")).alias("metadata"))
+    made = library(spark, rows.select("id", "metadata"))
+    made.update_metadata(patches)
+    return made.documents().select("id", F.to_json(F.parse_json("metadata")).alias("metadata"))
 
 
 @query(f"SELECT id, CASE WHEN id % 3 = 0 THEN round(CASE WHEN {_NUM} THEN {_VAL} ELSE 0 END + 0.75, 6) ELSE CASE WHEN {_NUM} THEN {_VAL} END END AS value FROM {_ROWS}")
@@ -626,7 +665,9 @@ def counter_increment(spark, sf):
     rows = mixed(spark, sf).withColumnRenamed("m", "metadata")
     some = rows.where("id % 3 = 0")
     deltas = some.select("id", F.lit(0.5).alias("delta")).unionByName(some.select("id", F.lit(0.25).alias("delta")))
-    return mutate.increment(rows, deltas, "k").select("id", F.round(mutate.counter_value(F.col("metadata"), "k"), 6).alias("value"))
+    made = library(spark, rows.select("id", "metadata"))
+    made.increment_frame(deltas, "k")
+    return made.documents().select("id", F.round(mutate.counter_value(F.col("metadata"), "k"), 6).alias("value"))
 
 
 @query("SELECT vec_id AS id, label::BIGINT AS label FROM embeddings")
@@ -638,13 +679,12 @@ def assign_cluster_metadata(spark, sf):
 
 @query("SELECT count(*) AS n FROM embeddings WHERE embedding IS NOT NULL")
 def rebuild_count(spark, sf):
-    return vectors(spark, sf).where("embedding is not null").agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(library(spark, vectors(spark, sf).select("id", "embedding")).rebuild_index(),)], "n long")
 
 
 @query("SELECT event_id AS id, (event_id >= 5000 OR user_id >= 5000 OR (value * 100 >= 3600 AND event_id >= 1)) AS due FROM events")
 def rebuild_trigger(spark, sf):
-    p = lifecycle.RebuildPolicy()
-    due = (F.col("event_id") >= p.flushes) | (F.col("user_id") >= p.tombstones) | ((F.col("value") * 100 >= p.seconds) & (F.col("event_id") >= 1))
+    due = lifecycle.RebuildPolicy().due(F.col("event_id"), F.col("user_id"), F.col("value") * 100)
     return table(spark, sf, "events").select(F.col("event_id").alias("id"), due.alias("due"))
 
 
@@ -699,13 +739,20 @@ def cluster_summary(spark, sf):
 
 @query("SELECT vec_id AS id FROM embeddings WHERE label = 3")
 def cluster_members(spark, sf):
-    return vectors(spark, sf).where("label = 3").select("id").orderBy("id")
+    rows = vectors(spark, sf)
+    made = library(spark, rows.select("id", "embedding", F.lit("{}").alias("metadata")))
+    made.assign_cluster_metadata(rows.select("id", "label"))
+    return made.get_cluster_members(3).select("id")
 
 
 @query(f"SELECT label::VARCHAR AS name, count(*) AS dim, round(sum(c), 5) + 0.0 AS total FROM {_MEANS} GROUP BY label")
 def cluster_store(spark, sf):
-    rows = centroids(spark, sf)
-    return rows.select(F.col("label").cast("string").alias("name"), F.size("centroid").cast("long").alias("dim"), (F.round(F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x), 5) + 0.0).alias("total"))
+    made = library(spark, spark.createDataFrame([], "id long, text string"))
+    for row in centroids(spark, sf).collect():
+        made.save_cluster(str(row["label"]), [row["centroid"]])
+    centroid = F.col("centroids")[0]
+    rows = made.store.read("clusters").where(F.col("name").isin(made.list_clusters()))
+    return rows.select("name", F.size(centroid).cast("long").alias("dim"), (F.round(F.aggregate(centroid, F.lit(0.0), lambda a, x: a + x), 5) + 0.0).alias("total"))
 
 
 @query()
@@ -737,8 +784,8 @@ def tfidf_keywords(spark, sf):
     from pyspark.sql import Window
 
     docs = documents(spark, sf)
-    labels = docs.select("lang").distinct().withColumn("label", F.row_number().over(Window.orderBy("lang")).cast("long") - 1)
-    return cluster.tags(docs.join(F.broadcast(labels.limit(10_000)), "lang"))
+    labels = docs.select(F.col("lang").alias("l")).distinct().withColumn("label", F.row_number().over(Window.orderBy(F.col("l").asc_nulls_last())).cast("long") - 1)
+    return cluster.tags(docs.join(labels, F.col("lang").eqNullSafe(F.col("l"))).drop("l"))
 
 
 @query("SELECT label::BIGINT AS label, count(*) || ' texts' AS tags FROM embeddings JOIN documents ON vec_id = doc_id GROUP BY label")
