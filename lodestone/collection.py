@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .functions import vectors as V
 from .functions.filters import predicate
 from .operators import cluster, edges, fusion, keyword, knn, lifecycle, mutate, tree
-from .schema import COLLECTION_NAME, CROSS_K, DOCUMENTS, EDGES, FETCH_K, K, LAMBDA_MULT, RRF_K, SWEEP_LIMIT, Distance, Quantization
+from .schema import BRUTE_FORCE_LIMIT, COLLECTION_NAME, CROSS_K, DOCUMENTS, EDGES, FETCH_K, K, LAMBDA_MULT, RRF_K, SWEEP_LIMIT, Distance, Quantization
 from .sources.store import Files, Store, together
 
 
@@ -164,8 +164,43 @@ class VectorCollection:
         knn.check_dimension(out, self.dim)
         return out
 
-    def similarity_search(self, query: str | Sequence[float], k: int = K, filter: dict[str, Any] | None = None) -> DataFrame:
-        return knn.search(self.documents(), self.vector(query), k, self.metric, predicate(filter, F.col("metadata")) if filter else None).drop("embedding")
+    def similarity_search(self, query: str | Sequence[float], k: int = K, filter: dict[str, Any] | None = None, *, exact: bool | None = None) -> DataFrame:
+        """The k nearest documents. ``exact`` False goes by the index where there is one, None does so beyond BRUTE_FORCE_LIMIT documents, True never."""
+        vector, where = self.vector(query), predicate(filter, F.col("metadata")) if filter else None
+        held = None if exact else self.store.fact("ivf")
+        if held is None or (exact is None and held["rows"] <= BRUTE_FORCE_LIMIT):
+            return knn.search(self.documents(), vector, k, self.metric, where).drop("embedding")
+        index = knn.InvertedFile(held["centroids"], self.metric, held["probes"])
+        fresh = self.store.read("fresh")
+        known = self.store.read("cells").where(F.col("cell").isin(index.order(vector)[: index.probes])).join(fresh.select("id"), "id", "left_anti")
+        rows = known.select("id", "embedding").unionByName(fresh.where("embedding is not null"))
+        if where is not None:
+            rows = rows.join(self.documents().where(where).select("id"), "id", "left_semi")
+        found = knn.search(rows, vector, k, self.metric).drop("embedding")
+        return self.documents().drop("embedding").join(F.broadcast(found) if k <= FEW_IDS else found, "id").orderBy("distance", "id")
+
+    def build_vector_index(self, cells: int | None = None, goal: float = knn.RECALL) -> float:
+        """An inverted file over all vectors, its cells trained on a bounded sample; how many of them a query looks into is measured against
+        exact search on a bounded sample of queries. Later writes stand beside it until it is built again. The recall measured."""
+        if self.metric not in ("cosine", "l2"):
+            raise ValueError("cells need cosine or l2 distances")
+
+        def work(store: Store) -> float:
+            rows = store.read("documents").where("embedding is not null").select("id", "embedding")
+            n = rows.count()
+            index = knn.InvertedFile.train(rows, cells or max(1, min(cluster.MAX_CENTROIDS, round(n**0.5))), self.metric)
+            store.replace("cells", index.assign(rows).repartitionByRange("cell", "id").sortWithinPartitions("cell", "id"))
+            store.replace("fresh", store.read("fresh").limit(0))
+            recall = index.tune(store.read("cells"), goal=goal)
+            store.set_fact("ivf", {"centroids": index.centroids.tolist(), "probes": index.probes, "recall": recall, "rows": n})
+            return recall
+
+        return self.store.change(work)
+
+    def _refresh(self, store: Store, rows: DataFrame) -> None:
+        """Vectors that changed since the index was built, null for those that are gone."""
+        if store.fact("ivf") is not None:
+            store.put("fresh", rows.select("id", "embedding"))
 
     def similarity_search_batch(self, queries: Sequence[str | Sequence[float]], k: int = K, filter: dict[str, Any] | None = None) -> DataFrame:
         found = knn.search_batch(self.documents(), [(i, self.vector(q)) for i, q in enumerate(queries)], k, self.metric, predicate(filter, F.col("metadata")) if filter else None)
@@ -247,6 +282,7 @@ class VectorCollection:
             else:
                 store.append("documents", new)
             self._index(store, new)
+            self._refresh(store, new)
             store.set_fact("last_id", last)
             store.set_fact("dim", dims.pop() if store.fact("dim") is None else store.fact("dim"))
             return final
@@ -270,8 +306,10 @@ class VectorCollection:
                 new = None
                 store.append("documents", mutate.assign_ids(rows, last, "text", "metadata"))
             added = store.read("documents").agg(F.max("id"), F.max(F.size("embedding"))).first()
-            if store.fact("indexed"):
-                self._index(store, new if new is not None else store.read("documents").where(F.col("id") > last))
+            if store.fact("indexed") or store.fact("ivf") is not None:
+                changed = store.read("documents").where(F.col("id") > last) if new is None else store.read("documents").join(new.select("id"), "id", "left_semi")
+                self._index(store, changed)
+                self._refresh(store, changed)
             store.set_fact("last_id", max(last, added[0] or 0))
             if store.fact("dim") is None and added[1] and added[1] > 0:
                 store.set_fact("dim", added[1])
@@ -332,6 +370,7 @@ class VectorCollection:
         store.put("documents", children.withColumn("parent_id", F.lit(None).cast("long")))
         store.set_fact("tombstones", store.fact("tombstones", 0) + store.drop("documents", gone))
         store.drop("lengths", gone)
+        self._refresh(store, gone.withColumn("embedding", F.lit(None).cast("array<float>")))
         by_doc = gone.select(F.col("id").alias("doc_id"))
         for table in ("ttl", "pending"):
             store.drop(table, by_doc)
@@ -549,6 +588,7 @@ class VectorCollection:
             ids = [r[0] for r in batch.select("doc_id").collect()]
             if ids:
                 store.put("documents", lifecycle.flush_pending(self._only(store.read("documents"), ids), batch))
+                self._refresh(store, self._only(store.read("documents"), ids))
                 store.drop("pending", self._ids(ids).withColumnRenamed("id", "doc_id"))
                 self._log(store, "pending_flush", payload={"n": len(ids)})
                 store.set_fact("flushes", store.fact("flushes", 0) + 1)
@@ -601,20 +641,48 @@ class VectorCollection:
 
     # clusters
 
-    def cluster(self, n_clusters: int | None = None, algorithm: str = "minibatch_kmeans", *, filter: dict[str, Any] | None = None, min_cluster_size: int = 5, random_state: int = 0):
-        """(assignments, centroids, inertia); density clusters have neither centroids nor inertia."""
-        docs = self.documents().where(predicate(filter, F.col("metadata")))
+    def cluster(self, n_clusters: int | None = None, algorithm: str = "minibatch_kmeans", *, filter: dict[str, Any] | None = None, sample_size: int | None = None, min_cluster_size: int = 5, random_state: int = 0):
+        """(assignments, centroids, inertia); density clusters have neither centroids nor inertia.
+
+        With ``sample_size`` only so many documents, drawn by hash, are clustered; all others get the label of the nearest centroid (of
+        density clusters, of the nearest cluster's mean), and inertia counts all documents.
+        """
+        docs = self.documents().where(predicate(filter, F.col("metadata"))).where("embedding is not null")
         if self.metric == "cosine":
             docs = docs.withColumn("embedding", V.l2_normalize(F.col("embedding")))
-        if algorithm == "hdbscan":
-            return cluster.hdbscan(docs, min_cluster_size), None, None
-        if n_clusters is None or n_clusters < 1:
+        if algorithm not in ("hdbscan", "kmeans", "minibatch_kmeans"):
+            raise ValueError(f"unknown algorithm {algorithm!r}")
+        if algorithm != "hdbscan" and (n_clusters is None or n_clusters < 1):
             raise ValueError("n_clusters is needed")
+        if sample_size is not None and sample_size < 1:
+            raise ValueError("a sample has one document at least")
+        some = docs if sample_size is None else docs.orderBy(F.xxhash64("id", F.lit(random_state)), "id").limit(sample_size)
+        if algorithm == "hdbscan":
+            labels = cluster.hdbscan(some, min_cluster_size)
+            if sample_size is None:
+                return labels, None, None
+            means = cluster.mean_vectors(some.join(labels.where("label >= 0"), "id"))
+            rest = cluster.assign(docs.join(labels.select("id"), "id", "left_anti"), means).select("id", F.coalesce("label", F.lit(-1)).cast(labels.schema["label"].dataType).alias("label"))
+            return labels.unionByName(rest), None, None
         if algorithm == "kmeans":
-            return cluster.kmeans(docs, n_clusters, random_state)
-        if algorithm == "minibatch_kmeans":
-            return (*cluster.minibatch_kmeans(docs, n_clusters, seed=random_state), None)
-        raise ValueError(f"unknown algorithm {algorithm!r}")
+            labels, centroids, inertia = cluster.kmeans(some, n_clusters, random_state)
+        else:
+            labels, centroids = cluster.minibatch_kmeans(some, n_clusters, seed=random_state)
+            inertia = None
+        if sample_size is None or not centroids:
+            return labels, centroids, inertia
+        table = self.spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centroids)], "label long, centroid array<double>")
+        every = cluster.assign(docs, table)
+        return every.select("id", F.col("label").cast("int").alias("label")), centroids, every.agg(F.sum("distance")).first()[0] if algorithm == "kmeans" else None
+
+    def cluster_metrics(self, assignments: DataFrame) -> dict[str, Any]:
+        """Documents, clusters, noise, sizes of the clusters and silhouette (of a bounded sample, as cosine collections measure it on unit vectors)."""
+        v = V.l2_normalize(F.col("embedding")) if self.metric == "cosine" else F.col("embedding")
+        rows = self.documents().where("embedding is not null").select("id", v.alias("embedding")).join(assignments.select("id", "label"), "id")
+        sizes = {r["label"]: r["n"] for r in cluster.summary(rows).collect()}
+        kept = [x for x in sizes if x >= 0]
+        score = cluster.silhouette(rows.where("label >= 0")).first()["silhouette"] if len(kept) > 1 else None
+        return {"n_documents": sum(sizes.values()), "n_clusters": len(kept), "n_noise": sizes.get(-1, 0), "sizes": {k: sizes[k] for k in kept}, "silhouette": score}
 
     def auto_tag(self, assignments: DataFrame, n_keywords: int = 5, callback: Callable[[list[str]], str] | None = None) -> DataFrame:
         rows = self.documents().select("id", "text").join(assignments.select("id", "label"), "id")

@@ -13,8 +13,9 @@ from ..functions import vectors as V
 from ..schema import SILHOUETTE_SAMPLE
 from ..sources.scratch import materialize
 
-#: Centroids that may stand in a plan as a literal.
+#: Centroids that may go out to all tasks, and their numbers that may stand in a plan as literals.
 MAX_CENTROIDS = 4096
+LITERAL_NUMBERS = 4096
 #: Rows of a block of density clustering; a task holds two blocks.
 DENSITY_BLOCK = 4096
 #: Words that tags leave out.
@@ -24,21 +25,51 @@ me more most my no nor not of off on once only or other our out over own same sh
 there these they this those through to too under until up very was we were what when where which while who why will with would you your""".split()
 
 
-def nearest_label(v: Column, centroids: Sequence[Sequence[float]]) -> Column:
-    """Number of the nearest centroid, the lowest on ties."""
+def _measured(centroids: np.ndarray, digits: int):
+    """A Pandas UDF: vector to (label, squared distance) of the nearest centroid, the lowest on ties; for centroids too many for a plan."""
+
+    @F.pandas_udf("label int, distance double")
+    def run(vectors: pd.Series) -> pd.DataFrame:
+        labels, distances = np.zeros(len(vectors), np.int32), np.full(len(vectors), np.nan)
+        known = vectors.notna().to_numpy()
+        rows = np.array(vectors[known].tolist(), float).reshape(-1, centroids.shape[1])
+        step = max(1, LITERAL_NUMBERS * 256 // max(1, centroids.size))
+        found = [np.round(((rows[a : a + step, None, :] - centroids[None]) ** 2).sum(2), digits) for a in range(0, len(rows), step)]
+        if found:
+            labels[known] = np.concatenate([d.argmin(1) for d in found])
+            distances[known] = np.concatenate([d.min(1) for d in found])
+        return pd.DataFrame({"label": labels, "distance": distances})
+
+    return run
+
+
+def _nearest(v: Column, centroids: Sequence[Sequence[float]], digits: int) -> Column:
+    """struct<label, distance> of the nearest centroid: an expression over literals while they are few, else a matrix that goes out with the function."""
     if len(centroids) > MAX_CENTROIDS:
         raise ValueError(f"{len(centroids)} centroids; {MAX_CENTROIDS} at most")
-    options = F.array(*(F.struct(F.round(V.squared_l2(v, V.literal(c)), 12).alias("d"), F.lit(i).alias("label")) for i, c in enumerate(np.asarray(centroids, float).tolist())))
-    return F.array_min(options)["label"]
+    table = np.asarray(centroids, float)
+    if table.size > LITERAL_NUMBERS:
+        return _measured(table, digits)(v.cast("array<double>"))
+    options = F.array(*(F.struct(F.round(V.squared_l2(v, V.literal(c)), digits).alias("distance"), F.lit(i).alias("label")) for i, c in enumerate(table.tolist())))
+    return F.array_min(options)
+
+
+def nearest_label(v: Column, centroids: Sequence[Sequence[float]]) -> Column:
+    """Number of the nearest centroid, the lowest on ties."""
+    return _nearest(v, centroids, 12)["label"]
 
 
 def assign(docs: DataFrame, centroids: DataFrame, digits: int = 6) -> DataFrame:
-    """(id, label, distance): the nearest of ``centroids`` (label, centroid), a checked number of rows, by squared distance."""
+    """(id, label, distance): the nearest of ``centroids`` (label, centroid), a checked number of rows, by squared distance; the lowest label on ties."""
     few = centroids.limit(MAX_CENTROIDS + 1).collect()
     if len(few) > MAX_CENTROIDS:
         raise ValueError(f"more than {MAX_CENTROIDS} centroids")
-    table = F.array(*(F.struct(F.round(V.squared_l2(F.col("embedding"), V.literal(r["centroid"])), digits).alias("distance"), F.lit(r["label"]).cast("long").alias("label")) for r in few))
-    return docs.where(F.col("embedding").isNotNull()).select("id", F.array_min(table).alias("b")).select("id", "b.label", "b.distance")
+    few.sort(key=lambda r: r["label"])
+    rows = docs.where(F.col("embedding").isNotNull())
+    if not few:
+        return rows.selectExpr("id", "cast(null as long) as label", "cast(null as double) as distance")
+    names = F.array(*(F.lit(r["label"]).cast("long") for r in few))
+    return rows.select("id", _nearest(F.col("embedding"), [r["centroid"] for r in few], digits).alias("b")).select("id", F.element_at(names, F.col("b.label") + 1).alias("label"), "b.distance")
 
 
 def mean_vectors(docs: DataFrame, label: str = "label") -> DataFrame:

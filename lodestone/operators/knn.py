@@ -15,6 +15,9 @@ from ..schema import K
 #: Queries that one pass broadcasts.
 QUERY_BLOCK = 4096
 _ROWS = 4096
+#: Recall that an index is tuned to, and the queries that measure it.
+RECALL = 0.95
+TUNING_QUERIES = 200
 
 
 def check_dimension(vector: Sequence[float], dim: int | None) -> None:
@@ -84,10 +87,10 @@ def search_batch(docs: DataFrame, queries: list[tuple[int, Sequence[float]]], k:
 class InvertedFile:
     """Approximate search: rows are dealt to the cells of their nearest centroids; a query looks into ``probes`` cells.
 
-    ``assign`` gives the rows a ``cell`` column (write them partitioned by it and probes prune partitions)."""
+    ``assign`` gives the rows a ``cell`` column (write them sorted by it and probes skip row groups). ``tune`` measures recall and sets ``probes``."""
 
-    def __init__(self, centroids: np.ndarray, kind: str = "cosine"):
-        self.centroids, self.kind = np.asarray(centroids, float), kind
+    def __init__(self, centroids: np.ndarray, kind: str = "cosine", probes: int = 4, recall: float | None = None):
+        self.centroids, self.kind, self.probes, self.recall = np.asarray(centroids, float), kind, probes, recall
 
     @classmethod
     def train(cls, docs: DataFrame, cells: int, kind: str = "cosine", sample_rows: int = 20_000, rounds: int = 8, seed: int = 0) -> "InvertedFile":
@@ -109,9 +112,26 @@ class InvertedFile:
 
         return docs.withColumn("cell", nearest_label(F.col("embedding") if self.kind != "cosine" else V.l2_normalize(F.col("embedding")), self.centroids))
 
-    def search(self, celled: DataFrame, query: Sequence[float], k: int = K, probes: int = 4, where: Column | None = None) -> DataFrame:
+    def order(self, query: Sequence[float]) -> list[int]:
+        """Cells from the nearest on."""
         q = np.asarray(query, float)[None, :]
         if self.kind == "cosine":
             q = q / np.maximum(np.linalg.norm(q), V.TINY)
-        cells = np.argsort(_distances("l2", q, self.centroids)[0], kind="stable")[:probes].tolist()
+        return np.argsort(_distances("l2", q, self.centroids)[0], kind="stable").tolist()
+
+    def tune(self, celled: DataFrame, k: int = 10, goal: float = RECALL, sample: int = TUNING_QUERIES, seed: int = 1) -> float:
+        """The least probes with which the k best of a bounded sample of rows, against all rows, are found to ``goal``; the recall measured."""
+        rows = celled.where(F.col("embedding").isNotNull())
+        drawn = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select("id", "embedding").collect()
+        queries = [(r["id"], list(r["embedding"])) for r in drawn]
+        best = search_batch(rows, queries, k, self.kind).join(rows.select("id", "cell"), "id").select("qid", "cell").collect()
+        place = {q: {c: i for i, c in enumerate(self.order(v))} for q, v in queries}
+        depth = np.sort([place[r["qid"]][r["cell"]] for r in best])
+        if len(depth):
+            self.probes = int(depth[max(0, int(np.ceil(goal * len(depth))) - 1)]) + 1
+            self.recall = float((depth < self.probes).mean())
+        return self.recall if self.recall is not None else 1.0
+
+    def search(self, celled: DataFrame, query: Sequence[float], k: int = K, probes: int | None = None, where: Column | None = None) -> DataFrame:
+        cells = self.order(query)[: self.probes if probes is None else probes]
         return search(celled.where(F.col("cell").isin(cells)), query, k, self.kind, where)

@@ -120,8 +120,9 @@ def knn_batch_filtered(spark, sf):
 @query()
 def knn_ann_ivf(spark, sf):
     rows = vectors(spark, sf)
-    index = knn.InvertedFile.train(rows, 16)
-    return index.search(index.assign(rows), vector_of(spark, sf, 0), 10, probes=6).select("id", "distance")
+    made = library(spark, rows.select("id", "embedding"))
+    made.build_vector_index(16)
+    return made.similarity_search(vector_of(spark, sf, 0), 10, exact=False).select("id", "distance")
 
 
 # codecs

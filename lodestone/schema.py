@@ -13,9 +13,11 @@ PENDING = "doc_id long, embedding array<float>, source string, enqueued_at doubl
 CLUSTERS = "name string, algorithm string, n_clusters int, centroids array<array<float>>, created_at double, metadata string"
 POSTINGS = "term string, id long, stamp long, positions array<int>"
 LENGTHS = "id long, stamp long, n_tokens int"
-TABLES = {"documents": DOCUMENTS, "edges": EDGES, "events": EVENTS, "ttl": TTL, "pending": PENDING, "clusters": CLUSTERS, "postings": POSTINGS, "lengths": LENGTHS}
+CELLS = "cell int, id long, embedding array<float>"
+FRESH = "id long, embedding array<float>"
+TABLES = {"documents": DOCUMENTS, "edges": EDGES, "events": EVENTS, "ttl": TTL, "pending": PENDING, "clusters": CLUSTERS, "postings": POSTINGS, "lengths": LENGTHS, "cells": CELLS, "fresh": FRESH}
 #: Tables whose rows can be replaced and dropped by key.
-KEYS = {"documents": ("id",), "edges": ("src_id", "dst_id", "kind"), "ttl": ("doc_id",), "pending": ("doc_id",), "clusters": ("name",), "lengths": ("id",)}
+KEYS = {"documents": ("id",), "edges": ("src_id", "dst_id", "kind"), "ttl": ("doc_id",), "pending": ("doc_id",), "clusters": ("name",), "lengths": ("id",), "fresh": ("id",)}
 
 COLLECTION_NAME = re.compile(r"[a-zA-Z0-9_]+")
 #: Fixed defaults of the data model.
