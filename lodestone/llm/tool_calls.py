@@ -6,11 +6,12 @@ its own turn and the steps of the results that it needs, a result's the greater
 orders what shares a step. A call that needs itself, if only by way of others, is in a cycle and marked ``cyclic``; what needs such a call, if
 only by way of others, is ``blocked``. Needs within a cycle are left out of the order, and calls after a cycle are placed after it.
 
-Steps start from the turns and are relaxed along the needs, from the calls that moved in the round before only, until nothing
-moves: at once where the log is in order already, in as many rounds as the longest chain that isn't, with no limit. Cycles lie in
-conversations where some need isn't of an earlier turn; there calls that nothing needs or that need nothing are peeled off layer by layer, and
-what is left is told apart by colouring (the smallest name that reaches a call, then back from it within its colour). Tables of pairs are never
-made: every step holds at most the needs themselves. Small sides are broadcast once counted; beyond, hot calls are joined apart.
+A conversation whose needs are all of earlier turns, with results there in time, is in order as it is. Of the others, those of ``SHORT`` needs
+at most are solved as a row each, by array functions. In longer ones steps are relaxed along the needs, from the calls that moved in the round
+before only, until nothing moves: in as many rounds as the longest chain that is out of order, with no limit. Their cycles lie where some need isn't
+of an earlier turn; there calls that nothing needs or that need nothing are peeled off layer by layer, and what is left is told apart by
+colouring (the smallest name that reaches a call, then back from it within its colour). Tables of pairs are never made: every step holds
+at most the needs themselves. Small sides are broadcast once counted; beyond, hot calls are joined apart.
 Arguments are parsed as variants, held against the schema of their function, and serialised as canonical JSON (keys sorted, no blanks).
 
 Defined cases: rows without conversation or call id are dropped from linking; of repeated call ids in a conversation the one with the smallest (turn,
@@ -59,6 +60,8 @@ def valid_arguments(name: Column, value: Column, schemas: Schema) -> Column:
 
 
 _NODE = ("conv_id", "call_id")
+#: Needs of a conversation up to which it is solved as one row; longer ones go in rounds over all of them.
+SHORT = 16
 #: Rounds of moved steps that are kept as they are before they are folded into one table.
 _FOLD = 8
 
@@ -175,6 +178,63 @@ def _settle(nodes: DataFrame, edges: DataFrame, max_rounds: int | None) -> DataF
     return latest(known).drop("result_turn")
 
 
+def _solve(edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, step, depth, cyclic, blocked) of the calls at the ends of edges, in conversations of ``SHORT`` edges at most: each is a row of
+    two short arrays, and all is array functions over them."""
+    call = lambda end: F.struct(F.col(end).alias("call"), F.col(f"{end}_turn").alias("turn"), F.col(f"{end}_result").alias("result_turn"))
+    rows = edges.groupBy("conv_id").agg(F.collect_set(F.struct("src", "dst")).alias("e"), F.array_distinct(F.concat(F.collect_set(call("src")), F.collect_set(call("dst")))).alias("nodes"))
+
+    def longer(pairs: Column) -> Column:
+        return F.flatten(F.transform(pairs, lambda x: F.transform(F.filter(pairs, lambda y: y["src"] == x["dst"]), lambda y: F.struct(x["src"].alias("src"), y["dst"].alias("dst")))))
+
+    # SHORT edges make paths of SHORT steps at most, which as many doublings as its length in bits reach
+    rows = rows.withColumn("reach", F.aggregate(F.sequence(F.lit(1), F.lit(SHORT.bit_length())), F.col("e"), lambda r, _: F.array_distinct(F.concat(r, longer(r)))))
+    rows = rows.withColumn("cyclic", F.transform(F.filter("reach", lambda r: r["src"] == r["dst"]), lambda r: r["src"]))
+    rows = rows.withColumn("blocked", F.array_except(F.transform(F.filter("reach", lambda r: F.array_contains("cyclic", r["src"])), lambda r: r["dst"]), F.col("cyclic")))
+    apart = lambda x: (x["src"] != x["dst"]) & ~F.array_contains("reach", F.struct(x["dst"].alias("src"), x["src"].alias("dst")))
+    rows = rows.withColumn("e", F.filter("e", apart))
+
+    def placed(v: Column, step: Column, depth: Column) -> Column:
+        return F.struct(v["call"].alias("call"), step.alias("step"), depth.alias("depth"), v["result_turn"].alias("result_turn"))
+
+    def ready(u: Column) -> Column:
+        later = F.coalesce(u["result_turn"] > u["step"], F.lit(False))
+        return F.struct(F.when(later, u["result_turn"]).otherwise(u["step"]).alias("step"), F.when(later, F.lit(0).cast("long")).otherwise(u["depth"] + 1).alias("depth"))
+
+    def relaxed(state: Column, _: Column) -> Column:
+        def one(v: Column) -> Column:
+            needs = F.filter("e", lambda x: x["dst"] == v["call"])
+            due = F.transform(needs, lambda x: ready(F.filter(state, lambda u: u["call"] == x["src"])[0]))
+            best = F.array_max(F.concat(F.array(F.struct(v["step"].alias("step"), v["depth"].alias("depth"))), due))
+            return placed(v, best["step"], best["depth"])
+
+        return F.transform(state, one)
+
+    start = F.transform("nodes", lambda v: placed(v, v["turn"], F.lit(0).cast("long")))
+    rounds = F.sequence(F.lit(1), F.greatest(F.size("e"), F.lit(1)))
+    rows = rows.withColumn("state", F.when(F.size("e") > 0, F.aggregate(rounds, start, relaxed)).otherwise(start))
+    rows = rows.select("conv_id", "cyclic", "blocked", F.explode("state").alias("v"))
+    return materialize(rows.select("conv_id", F.col("v.call").alias("call_id"), "v.step", "v.depth", F.array_contains("cyclic", F.col("v.call")).alias("cyclic"), F.array_contains("blocked", F.col("v.call")).alias("blocked")), "short")
+
+
+def _solve_long(nodes: DataFrame, edges: DataFrame, max_rounds: int | None) -> DataFrame:
+    """As ``_solve``, for conversations of any length, in rounds over all of them; nodes: (conv_id, call_id, turn, result_turn)."""
+    late = edges.where(~F.coalesce(F.col("src_turn") < F.col("dst_turn"), F.lit(False))).select("conv_id").distinct()
+    cycles = _cycles(materialize(edges.join(late, "conv_id", "left_semi").select("conv_id", "src", "dst"), "suspect"))
+    edges = edges.select("conv_id", "src", "dst")
+    blocked = nodes.select(*_NODE, F.lit(True).alias("blocked")).limit(0)
+    if not cycles.isEmpty():
+        side = lambda end: cycles.select("conv_id", F.col("call_id").alias(end), F.col("cycle").alias(f"of_{end}"))
+        marked = edges.join(side("src"), ["conv_id", "src"], "left").join(side("dst"), ["conv_id", "dst"], "left")
+        edges = materialize(marked.where("of_src is null or of_dst is null or of_src <> of_dst").select("conv_id", "src", "dst"), "open")
+        after = _spread(cycles.select("conv_id", F.col("call_id").alias("at"), F.lit(1).alias("value")), edges, False)
+        blocked = after.select("conv_id", F.col("at").alias("call_id"), F.lit(True).alias("blocked"))
+    steps = _settle(nodes, edges, max_rounds)
+    out = steps.join(cycles.select(*_NODE, F.lit(True).alias("cyclic")), list(_NODE), "left").join(blocked, list(_NODE), "left")
+    is_cyclic = F.coalesce("cyclic", F.lit(False))
+    return out.select(*_NODE, "step", "depth", is_cyclic.alias("cyclic"), (F.coalesce("blocked", F.lit(False)) & ~is_cyclic).alias("blocked"))
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: Schema, needs_field: str = "needs", max_rounds: int | None = None) -> DataFrame:
     """calls: conv_id, call_id, turn, name, arguments; results: conv_id, call_id, turn, content.
 
@@ -194,24 +254,21 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schema, needs_field: str
     nodes = materialize(linked.withColumn("status", status).select(*_NODE, "status", "name", "turn", "result_turn", "valid", "canonical", "needs"), "calls")
 
     asking = nodes.where("status <> 'orphan'").withColumn("turn", F.col("turn").cast("long")).withColumn("result_turn", F.col("result_turn").cast("long"))
-    wanted = materialize(asking.select("conv_id", F.col("call_id").alias("dst"), F.col("turn").alias("dst_turn"), F.explode(F.array_distinct("needs")).alias("src")).where("src is not null"), "needs")
-    known = materialize(asking.select("conv_id", F.col("call_id").alias("src"), F.col("turn").alias("src_turn"), F.lit(True).alias("known")), "asked")
+    end = lambda name: [F.col("call_id").alias(name), F.col("turn").alias(f"{name}_turn"), F.col("result_turn").alias(f"{name}_result")]
+    wanted = materialize(asking.select("conv_id", *end("dst"), F.explode(F.array_distinct("needs")).alias("src")).where("src is not null"), "needs")
+    known = materialize(asking.select("conv_id", *end("src"), F.lit(True).alias("known")), "asked")
     edges = materialize(join_hot(wanted, known, "conv_id", "src"), "edges")
     unknown = edges.where("known is null").select("conv_id", F.col("dst").alias("call_id")).distinct().withColumn("lost", F.lit(True))
     edges = edges.where("known")
-    late = edges.where(~F.coalesce(F.col("src_turn") < F.col("dst_turn"), F.lit(False))).select("conv_id").distinct()
-    suspect = materialize(edges.join(late, "conv_id", "left_semi").select("conv_id", "src", "dst"), "suspect")
-    cycles = _cycles(suspect)
-    edges = edges.select("conv_id", "src", "dst")
-    blocked = asking.select(*_NODE, F.lit(True).alias("blocked")).limit(0)
-    if not cycles.isEmpty():
-        side = lambda end: cycles.select("conv_id", F.col("call_id").alias(end), F.col("cycle").alias(f"of_{end}"))
-        marked = edges.join(side("src"), ["conv_id", "src"], "left").join(side("dst"), ["conv_id", "dst"], "left")
-        edges = materialize(marked.where("of_src is null or of_dst is null or of_src <> of_dst").select("conv_id", "src", "dst"), "open")
-        after = _spread(cycles.select("conv_id", F.col("call_id").alias("at"), F.lit(1).alias("value")), edges, False)
-        blocked = after.select("conv_id", F.col("at").alias("call_id"), F.lit(True).alias("blocked"))
-    steps = _settle(asking, edges, max_rounds)
-    ordered = steps.join(cycles.select(*_NODE, F.lit(True).alias("cyclic")), list(_NODE), "left").join(blocked, list(_NODE), "left")
+    # where every need is of an earlier turn and its result there by the call's turn, turns are the order
+    out_of_order = ~F.coalesce(F.col("src_turn") < F.col("dst_turn"), F.lit(False)) | F.coalesce(F.col("src_result") > F.col("dst_turn"), F.lit(False))
+    restless = materialize(edges.groupBy("conv_id").agg(F.count("*").alias("n"), F.max(out_of_order).alias("restless")).where("restless"), "restless")
+    solved = _solve(edges.join(restless.where(F.col("n") <= SHORT).select("conv_id"), "conv_id", "left_semi"))
+    long = restless.where(F.col("n") > SHORT).select("conv_id")
+    if not long.isEmpty():
+        mine = materialize(edges.join(long, "conv_id", "left_semi"), "long")
+        solved = solved.unionByName(_solve_long(asking.join(long, "conv_id", "left_semi"), mine, max_rounds))
+    ordered = asking.select(*_NODE, F.col("turn").alias("step")).join(solved.withColumnRenamed("step", "later"), list(_NODE), "left").withColumn("step", F.coalesce("later", "step")).drop("later")
     out = nodes.join(ordered, list(_NODE), "left").join(unknown, list(_NODE), "left")
     out = out.select(
         *_NODE, "status", "name",
@@ -220,7 +277,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schema, needs_field: str
         F.when(F.col("result_turn").isNotNull(), F.greatest("result_turn", F.coalesce("step", "result_turn"))).alias("result_step"),
         F.when(F.col("valid").isNotNull(), F.col("valid") & F.col("lost").isNull()).alias("valid"),
         F.coalesce("cyclic", F.lit(False)).alias("cyclic"),
-        (F.coalesce("blocked", F.lit(False)) & F.col("cyclic").isNull()).alias("blocked"),
+        F.coalesce("blocked", F.lit(False)).alias("blocked"),
         "canonical",
     )
     return out.orderBy("conv_id", "step", "depth", "call_id")

@@ -3,6 +3,8 @@
 import json
 import random
 
+import pytest
+
 from lodestone.llm import tool_calls
 
 CALLS = "conv_id long, call_id string, turn long, name string, arguments string, step int, cyclic int"
@@ -51,14 +53,21 @@ def ask(conv, call, turn, *needs):
     return conv, call, turn, "reply", json.dumps({"turn": turn, "question": "q", "needs": needs})
 
 
-def test_cycles_of_three_and_what_hangs_on_them(spark):
+@pytest.fixture(params=["rows", "rounds"])
+def way(request, monkeypatch):
+    """Short conversations as rows, or all in rounds."""
+    if request.param == "rounds":
+        monkeypatch.setattr(tool_calls, "SHORT", 0)
+
+
+def test_cycles_of_three_and_what_hangs_on_them(spark, way):
     calls = [ask(1, "a", 5, "c"), ask(1, "b", 0, "a"), ask(1, "c", 0, "b"), ask(1, "d", 0, "b"), ask(1, "e", 9, "d"), ask(1, "f", 1)]
     # two cycles with a way from one to the other, and a call on that way
     calls += [ask(2, "a", 0, "b"), ask(2, "b", 0, "a"), ask(2, "m", 0, "a"), ask(2, "x", 0, "y", "m"), ask(2, "y", 1, "z"), ask(2, "z", 2, "x"), ask(2, "s", 3, "s")]
     check(spark, calls, [(1, "b", 7, "r"), (2, "a", 4, "r"), (2, "q", 1, "r")])
 
 
-def test_random_graphs(spark):
+def test_random_graphs(spark, way):
     draw = random.Random(7)
     calls, results = [], []
     for conv in range(60):
@@ -77,7 +86,7 @@ def test_one_conversation_holds_nearly_all_calls(spark, monkeypatch):
     check(spark, calls, [(1, "hub", 3, "r")])
 
 
-def test_empty_calls_and_results(spark):
+def test_empty_calls_and_results(spark, way):
     none, nothing = spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS)
     assert tool_calls.link(none, nothing, tool_calls.CHAT_SCHEMA).count() == 0
     rows = tool_calls.link(none, spark.createDataFrame([(1, "a", 2, "r")], RESULTS), tool_calls.CHAT_SCHEMA).collect()
