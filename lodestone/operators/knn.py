@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..schema import K
 
-#: Queries that one pass broadcasts.
-QUERY_BLOCK = 4096
-_ROWS = 4096
+#: Queries that one pass broadcasts, and queries and rows whose distances are held at a time.
+QUERY_BLOCK = 16384
+_QUERIES, _ROWS = 512, 4096
 #: Recall that an index is tuned to, and the queries that measure it.
 RECALL = 0.95
 TUNING_QUERIES = 200
@@ -57,9 +57,19 @@ def matrix(lists: pa.Array) -> np.ndarray:
     return flat.reshape(len(sizes), -1) if len(sizes) else np.zeros((0, 0))
 
 
+def _offer(held: tuple[np.ndarray, np.ndarray, np.ndarray], q: np.ndarray, d: np.ndarray, i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k least (distance, id) of each query among those held and the new ones, sorted by query."""
+    q, d, i = (np.concatenate(x) for x in zip(held, (q, d, i)))
+    order = np.lexsort((i, d, q))
+    q = q[order]
+    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, int)
+    keep = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) < k
+    return q[keep], d[order][keep], i[order][keep]
+
+
 def search_batch(docs: DataFrame, queries: list[tuple[int, Sequence[float]]], k: int = K, kind: str = "cosine", where: Column | None = None, digits: int = 6) -> DataFrame:
-    """(qid, id, distance, rank) for many queries in one pass over the rows: a matrix product per block of rows, the k best
-    of each query leave a partition, and ranks are given to what is left. Queries go out in bounded blocks."""
+    """(qid, id, distance, rank) for many queries in one pass over the rows: a matrix product per block of queries and rows, of which only
+    what may be among the k best is sorted; the k best of each query leave a partition, and ranks are given to what is left. Queries go out in bounded blocks."""
     spark = docs.sparkSession
     out = spark.createDataFrame([], "qid long, id long, distance double")
     rows = (docs if where is None else docs.where(where)).where(F.col("embedding").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
@@ -68,16 +78,26 @@ def search_batch(docs: DataFrame, queries: list[tuple[int, Sequence[float]]], k:
         names, vectors = np.array([q for q, _ in block]), np.array([v for _, v in block], float)
 
         def best(batches: Iterator[pa.RecordBatch], names=names, vectors=vectors) -> Iterator[pa.RecordBatch]:
-            ids, found = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
+            none = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+            parts = range(0, len(names), _QUERIES)
+            held, reach = {p: none for p in parts}, {p: np.full(min(_QUERIES, len(names) - p), np.inf) for p in parts}
             for batch in batches:
                 for s in range(0, batch.num_rows, _ROWS):
                     part = batch.slice(s, _ROWS)
-                    distance = np.round(_distances(kind, vectors, matrix(part.column(1))), digits) + 0.0
-                    own = np.broadcast_to(part.column(0).to_numpy(zero_copy_only=False), distance.shape)
-                    found, ids = np.concatenate([found, distance], 1), np.concatenate([ids, own], 1)
-                    order = np.lexsort((ids, found), axis=1)[:, :k]
-                    found, ids = np.take_along_axis(found, order, 1), np.take_along_axis(ids, order, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, ids.shape[1])), pa.array(ids.ravel()), pa.array(found.ravel())], names=["qid", "id", "distance"])
+                    own, ids = matrix(part.column(1)), part.column(0).to_numpy(zero_copy_only=False)
+                    for p in parts:
+                        distance = np.round(_distances(kind, vectors[p : p + _QUERIES], own), digits) + 0.0
+                        limit = reach[p]
+                        if len(ids) > k and np.isinf(limit).any():
+                            limit = np.minimum(limit, np.partition(distance, k - 1, axis=1)[:, k - 1])
+                        q, r = np.nonzero(distance <= limit[:, None])
+                        held[p] = _offer(held[p], q, distance[q, r], ids[r], k)
+                        ends = np.cumsum(np.bincount(held[p][0], minlength=len(limit)))
+                        full = np.flatnonzero(np.diff(np.r_[0, ends]) == k)
+                        reach[p][full] = held[p][1][ends[full] - 1]
+            for p in parts:
+                q, d, i = held[p]
+                yield pa.RecordBatch.from_arrays([pa.array(names[p + q]), pa.array(i), pa.array(d)], names=["qid", "id", "distance"])
 
         out = out.unionByName(rows.mapInArrow(best, "qid long, id long, distance double"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
