@@ -65,8 +65,10 @@ def _prefix_sums(rows: DataFrame) -> DataFrame:
     large = small.groupBy("source", "__a").agg(F.sum("__n").alias("__n"))
     large = large.select("source", "__a", upto(earlier().orderBy("__a")).alias("__pa"))
     small = small.select("source", "__a", "__b", upto(earlier("__a").orderBy("__b")).alias("__pb"))
-    own = Window.partitionBy("source", "__a", "__b").orderBy("__h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("__pc", F.coalesce(F.sum("size").over(own), F.lit(0)))
+    # rows without words change no sum and take nothing: however many share a hash, they are dealt apart
+    keyed = keyed.withColumn("__z", F.when(F.col("size") == 0, F.pmod(F.monotonically_increasing_id(), F.lit(_BUCKETS)) + 1).otherwise(F.lit(0)))
+    own = Window.partitionBy("source", "__a", "__b", "__z").orderBy("__h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.withColumn("__pc", F.coalesce(F.sum("size").over(own), F.lit(0))).drop("__z")
     on = lambda left, right, keys: left.join(right.select(*(F.col(c).alias(f"_{c}") if c in ("source", *keys) else F.col(c) for c in right.columns)), [left["source"].eqNullSafe(F.col("_source")), *(left[c] == F.col(f"_{c}") for c in keys)]).drop("_source", *(f"_{c}" for c in keys))
     placed = on(placed, small, ["__a", "__b"])
     placed = on(placed, large, ["__a"])
@@ -123,6 +125,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with all columns, range-sorted by training position: a document stands as often as it is taken (the last
     time whole, too), each copy at a position of its own, not at all if nothing of it is taken."""
     names = docs.columns
+    if {"__hash", "__source", "__plan", "__own", "__at", "__n", "__position"} & set(names):
+        raise ValueError("columns __hash, __source, __plan, __own, __at, __n and __position are the operator's own")
     places = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), lambda e: position(_share(e), F.col("slope"))))
     plan = _planned(docs).select(F.col("__h").alias("__hash"), F.col("source").alias("__source"), "__before", F.coalesce(places, F.array().cast("array<double>")).alias("at"))
     plan = plan.groupBy("__hash", "__source").agg(F.sort_array(F.collect_list(F.struct("__before", "at"))).alias("__plan"))
