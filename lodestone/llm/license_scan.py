@@ -4,8 +4,8 @@ A text is normalised (lower case, everything but letters and digits to one space
 between blank lines, itself, and windows: as many words as a template has, laid so that one of its anchors meets the same word of the text,
 so a notice or license is found inside a longer line or paragraph or across line ends. Passages and templates are compared as sets of word
 bigrams. A Dice coefficient of t needs set sizes within a factor of (2 - t) / t, which prunes templates; a set of n bigrams needs n + 1
-words and 2 n + 1 characters, which prunes passages before any bigram is made, and a short template's passage must hold one of its
-anchors. It is a map over rows; only matches are grouped. Templates are a parameter, a literal in the plan (``MAX_TEMPLATES`` and
+words, a match of a short template holds one of its anchors, and a match of a long one holds many of its words: that prunes texts and
+passages before any bigram is made. It is a map over rows; only matches are shuffled. Templates are a parameter, a literal in the plan (``MAX_TEMPLATES`` and
 ``MAX_TEMPLATE_WORDS`` at most). A template of more than ``LONG`` words is laid by three words only that stand in it once, and where a
 text's words stand for one another in both, its windows may be missed; passages never are.
 
@@ -18,6 +18,7 @@ that share a doc_id share their result row, those without doc_id as well; an emp
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -80,6 +81,23 @@ def anchors(words: list[str], threshold: float) -> list[str]:
     return out
 
 
+def vocabulary(words: list[str], threshold: float) -> tuple[list[str], int]:
+    """The template's words but common ones, and how many of them a matching text holds at least. A match shares all but a part of the bigrams;
+    a missing word costs all that it stands in, of which each may be counted for two words."""
+    left = bigrams(words)
+    weight: dict[str, int] = {}
+    for b in left:
+        for w in set(b.split()) - set(COMMON):
+            weight[w] = weight.get(w, 0) + 1
+    open_ = sum(weight.values()) - 2 * (len(left) - len(left) * threshold / (2 - threshold))
+    count = 0
+    for x in sorted(weight.values(), reverse=True):
+        if open_ <= 0:
+            break
+        open_, count = open_ - x, count + 1
+    return sorted(weight), count
+
+
 def alignments(words: list[str], threshold: float) -> list[tuple[str, int]]:
     """(word, index) by which a template is laid on a text: its anchors wherever they stand, of a long one three words that stand in it once,
     the longest of each third."""
@@ -91,6 +109,11 @@ def alignments(words: list[str], threshold: float) -> list[tuple[str, int]]:
     return [max(own, key=lambda o: (len(o[0]), o)) for k in range(3) if (own := [o for o in once if o[1] // third == k])]
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     templates = TEMPLATES if templates is None else templates
     parsed = {k: normalised_words(t) for k, t in templates.items()}
@@ -102,50 +125,62 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
         return docs.sparkSession.createDataFrame([], "doc_id long, license string, dice double, n_passages long")
     ratio = (2 - threshold) / threshold
     sets = {k: bigrams(w) for k, w in parsed.items()}
-    short = {k: w for k, w in parsed.items() if len(w) <= LONG}
-    #: bigrams that a passage needs to match any template, and any long one
-    least = min(len(b) for b in sets.values()) / ratio
-    least_long = min((len(sets[k]) for k in parsed if k not in short), default=float("inf")) / ratio
-
-    # a passage that matches a short template holds an anchor, and so does its text, as a plain substring; one that matches a long
-    # template is long. Most texts go no further
-    needed = sorted({a for w in short.values() for a in anchors(w, threshold)})
-
-    def worth(c: Column, blanks: Column | None = None) -> Column:
-        """blanks: a passage has words of two characters or more on average between them, a text may have other characters there."""
-        out = F.length(c) >= 2 * least_long if blanks is None else blanks >= least_long
+    least = min(len(b) for b in sets.values()) / ratio  # bigrams that a passage needs to match any template
+
+    # what matches a short template holds an anchor of it, as a plain substring; what matches a long one holds many of its words: most
+    # texts go no further
+    needed = sorted({a for w in parsed.values() if len(w) <= LONG for a in anchors(w, threshold)})
+    long = [k for k, w in parsed.items() if len(w) > LONG]
+    least_long = min((len(sets[k]) / ratio for k in long), default=float("inf"))
+
+    def anchored(c: Column) -> Column:
+        out = F.lit(False)
         for a in needed:
             out = out | c.contains(a)
         return out
 
-    low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("__low")).where(worth(F.col("__low")))
-    # one blank between words; line ends stay
-    rows = low.select("doc_id", F.regexp_replace("__low", r"[^\p{L}\p{N}\n]+", " ").alias("__text"))
+    def like(k: str, held: Column) -> Column:
+        own, count = vocabulary(parsed[k], threshold)
+        shared = F.size(F.array_intersect(held, F.split(F.lit("\n".join(own)), "\n")))
+        return F.when(F.size(held) >= count, shared >= count).otherwise(F.lit(False))
+
+    def judged(lower: Column) -> Column:
+        """The text with one blank between words and line ends left in, its words, whether it holds an anchor, and which long templates it is like."""
+        text = F.when(anchored(lower) | (F.length(lower) >= 2 * least_long), F.regexp_replace(lower, r"[^\p{L}\p{N}\n]+", " "))
+        flags = lambda w: F.array(*(like(k, w) for k in long)) if long else F.array().cast("array<boolean>")
+        made = lambda t, w: F.struct(t.alias("text"), w.alias("words"), flags(w).alias("like"), anchored(lower).alias("anchored"))
+        return once(text, lambda t: once(F.split(F.trim(F.regexp_replace(t, r"[ \n]+", " ")), " "), lambda w: made(t, w)))
+
+    # each text is judged once: an array of one row or none, not a filter that would judge it again
+    worth = F.filter(F.array(once(F.lower(F.col("text").cast("string")), judged)), lambda r: r["text"].isNotNull() & (r["anchored"] | F.array_contains(r["like"], True)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(worth).alias("__r"))
+    rows = rows.select("doc_id", F.col("__r.text").alias("__text"), F.col("__r.words").alias("__words"), F.col("__r.like").alias("__like"))
     blocks = F.when(F.col("__text").rlike(r"\n *\n"), F.split("__text", r"\n *\n")).otherwise(F.array().cast("array<string>"))
     whole = F.array(F.translate("__text", "\n", " "))
     passages = F.concat(F.split("__text", r"\n"), F.transform(blocks, lambda b: F.translate(b, "\n", " ")), whole)
     starts = sorted({(a, i, len(w)) for w in parsed.values() for a, i in alignments(w, threshold)})
     fits = F.array(*(F.struct(F.lit(a).alias("word"), F.lit(i).alias("at"), F.lit(n).alias("n")) for a, i, n in starts))
-    words = F.split(F.trim(F.regexp_replace("__text", r"[ \n]+", " ")), " ")
-    words = F.when(F.col("__text").rlike(r"(?:^|[ \n])(?:" + "|".join(sorted({a for a, _, _ in starts})) + r")(?:$|[ \n])"), words).otherwise(F.array().cast("array<string>"))
+    words = F.when(F.col("__text").rlike(r"(?:^|[ \n])(?:" + "|".join(sorted({a for a, _, _ in starts})) + r")(?:$|[ \n])"), F.col("__words")).otherwise(F.array().cast("array<string>"))
     held = F.filter(F.transform("__words", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda h: h["x"].isin(sorted({a for a, _, _ in starts})))
     laid = lambda h: F.transform(F.filter(fits, lambda f: f["word"] == h["x"]), lambda f: F.concat_ws(" ", F.slice("__words", F.greatest(h["i"] - f["at"], F.lit(0)) + 1, f["n"])))
     windows = F.array_distinct(F.flatten(F.transform(held, laid)))
     marked = lambda c, inside: F.transform(c, lambda p: F.struct(p.alias("p"), F.lit(inside).alias("inside")))
-    rows = rows.withColumn("__words", words).select("doc_id", F.explode(F.concat(marked(passages, False), marked(windows, True))).alias("__q"))
-    rows = rows.select("doc_id", F.col("__q.p").alias("__p"), F.col("__q.inside").alias("__inside"))
+    rows = rows.withColumn("__words", words).select("doc_id", "__like", F.explode(F.concat(marked(F.array_distinct(passages), False), marked(windows, True))).alias("__q"))
+    rows = rows.select("doc_id", "__like", F.col("__q.p").alias("__p"), F.col("__q.inside").alias("__inside"))
     # n words have n - 1 blanks between them at least
     blanks = F.length("__p") - F.length(F.translate("__p", " ", ""))
-    rows = rows.where((blanks >= max(1, int(least))) & worth(F.col("__p"), blanks))
-    rows = rows.select("doc_id", "__inside", F.trim(F.regexp_replace("__p", " +", " ")).alias("__p")).distinct()
+    rows = rows.where((blanks >= max(1, int(least))) & (anchored(F.col("__p")) | (F.array_contains("__like", True) & (blanks >= least_long))))
+    rows = rows.select("doc_id", "__like", "__inside", F.trim(F.regexp_replace("__p", " +", " ")).alias("__p"))
     rows = rows.withColumn("__w", F.split("__p", " ")).withColumn("__n", F.size("__w")).where((F.col("__n") >= 2) & (F.col("__n") > least))
     rows = rows.withColumn("__b", F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("__n") - 2), lambda i: F.concat_ws(" ", F.get("__w", i), F.get("__w", i + 1)))))
     size, scores = F.size("__b"), []
     for name, own in sets.items():
         near = size.between(len(own) / ratio, len(own) * ratio)
+        near = near & F.get("__like", F.lit(long.index(name))) if name in long else near
         shared = F.size(F.array_intersect(F.col("__b"), F.split(F.lit("\n".join(own)), "\n")))
         scores.append(F.when(near, F.struct(F.lit(name).alias("license"), (F.lit(2.0) * shared / (size + len(own))).alias("dice"))))
-    found = rows.select("doc_id", "__inside", F.explode(F.filter(F.array(*scores), lambda s: s.isNotNull() & (s["dice"] >= threshold))).alias("s"))
+    # only matches are shuffled, with a digest of the passage that tells equal ones
+    found = rows.select("doc_id", "__inside", F.md5(F.col("__p").cast("binary")).alias("__key"), F.explode(F.filter(F.array(*scores), lambda s: s.isNotNull() & (s["dice"] >= threshold))).alias("s")).distinct()
     counted = found.groupBy("doc_id", F.col("s.license").alias("license"), "__inside", F.col("s.dice").alias("dice")).agg(F.count("*").alias("n"))
     outside = F.sum(F.when(~F.col("__inside"), F.col("n")))
     best = F.max(F.struct("dice", "n"))
