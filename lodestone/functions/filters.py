@@ -8,6 +8,7 @@ booleans are 0 and 1, a JSON null counts as missing, strings never equal numbers
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column
@@ -90,10 +91,9 @@ def parse(conditions: dict[str, Any] | None) -> dict[str, dict[str, Any]]:
 
 
 class _Json:
-    """A value inside a JSON string, with SQLite's typing."""
+    """A value (a variant, null where there is none) inside a JSON object, with SQLite's typing."""
 
-    def __init__(self, metadata: Column, key: str):
-        value = F.try_variant_get(F.try_parse_json(metadata), f"$.{key}", "variant")
+    def __init__(self, value: Column):
         kind = F.schema_of_variant(value)
         self.present = F.coalesce(kind != "VOID", F.lit(False))
         self.is_number = F.coalesce(kind.rlike(_NUMBER), F.lit(False))
@@ -144,11 +144,35 @@ def _any(parts: list[Column]) -> Column:
     return out
 
 
-def predicate(conditions: dict[str, Any] | None, metadata: Column, columns: dict[str, Column] | None = None) -> Column:
-    """The filter as one boolean column, never null. ``columns``: keys that name real columns, which then reach the scan."""
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _all(value: _Json | _Plain, ops: dict[str, Any]) -> Column:
     out = F.lit(True)
-    for key, ops in parse(conditions).items():
-        value = _Plain(columns[key]) if columns and key in columns else _Json(metadata, key)
-        for op, arg in ops.items():
-            out = out & _condition(value, op, arg)
+    for op, arg in ops.items():
+        out = out & _condition(value, op, arg)
     return out
+
+
+def predicate(conditions: dict[str, Any] | None, metadata: Column, columns: dict[str, Column] | None = None) -> Column:
+    """The filter as one boolean column, never null. ``columns``: keys that name real columns, which then reach the scan. Metadata is parsed once a
+    row, and each key is looked up once in it."""
+    parsed = parse(conditions)
+    plain = {key: ops for key, ops in parsed.items() if columns and key in columns}
+    inside = {key: ops for key, ops in parsed.items() if key not in plain}
+    out = F.lit(True)
+    for key, ops in plain.items():
+        out = out & _all(_Plain(columns[key]), ops)
+
+    def held(ops: dict[str, Any]) -> Callable[[Column], Column]:
+        return lambda v: _all(_Json(v), ops)
+
+    def holds(tree: Column) -> Column:
+        every = F.lit(True)
+        for key, ops in inside.items():
+            every = every & _once(F.try_variant_get(tree, f"$.{key}", "variant"), held(ops))
+        return every
+
+    return out & F.coalesce(_once(F.try_parse_json(metadata), holds), F.lit(False)) if inside else out
