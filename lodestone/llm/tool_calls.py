@@ -182,7 +182,9 @@ def _solve(edges: DataFrame) -> DataFrame:
     """(conv_id, call_id, step, depth, cyclic, blocked) of the calls at the ends of edges, in conversations of ``SHORT`` edges at most: each is a row of
     two short arrays, and all is array functions over them."""
     call = lambda end: F.struct(F.col(end).alias("call"), F.col(f"{end}_turn").alias("turn"), F.col(f"{end}_result").alias("result_turn"))
-    rows = edges.groupBy("conv_id").agg(F.collect_set(F.struct("src", "dst")).alias("e"), F.array_distinct(F.concat(F.collect_set(call("src")), F.collect_set(call("dst")))).alias("nodes"))
+    # as many tasks as a shuffle has, however few bytes there are: it's the functions that take time
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = edges.repartition(tasks, "conv_id").groupBy("conv_id").agg(F.collect_set(F.struct("src", "dst")).alias("e"), F.array_distinct(F.concat(F.collect_set(call("src")), F.collect_set(call("dst")))).alias("nodes"))
 
     def longer(pairs: Column) -> Column:
         return F.flatten(F.transform(pairs, lambda x: F.transform(F.filter(pairs, lambda y: y["src"] == x["dst"]), lambda y: F.struct(x["src"].alias("src"), y["dst"].alias("dst")))))
