@@ -18,12 +18,13 @@ that share a doc_id share their result row, those without doc_id as well; an emp
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import once
+
 THRESHOLD = 0.8
 MAX_TEMPLATES = 200
 MAX_TEMPLATE_WORDS = 100_000
@@ -109,11 +110,6 @@ def alignments(words: list[str], threshold: float) -> list[tuple[str, int]]:
     return [max(own, key=lambda o: (len(o[0]), o)) for k in range(3) if (own := [o for o in once if o[1] // third == k])]
 
 
-def once(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     templates = TEMPLATES if templates is None else templates
     parsed = {k: normalised_words(t) for k, t in templates.items()}

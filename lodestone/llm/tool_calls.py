@@ -7,7 +7,7 @@ orders what shares a step. A call that needs itself, if only by way of others, i
 only by way of others, is ``blocked``. Needs within a cycle are left out of the order, and calls after a cycle are placed after it.
 
 A conversation whose needs are all of earlier turns, with results there in time, is in order as it is. Of the others, those of ``SHORT`` needs
-at most are solved as a row each, by array functions. In longer ones steps are relaxed along the needs, from the calls that moved in the round
+at most are solved as a row each, by array functions: sweeps over the calls in the order of their turns, up and down, until nothing moves. In longer ones steps are relaxed along the needs, from the calls that moved in the round
 before only, until nothing moves: in as many rounds as the longest chain that is out of order, with no limit. Their cycles lie where some need isn't
 of an earlier turn; there calls that nothing needs or that need nothing are peeled off layer by layer, and what is left is told apart by
 colouring (the smallest name that reaches a call, then back from it within its colour). Tables of pairs are never made: every step holds
@@ -22,12 +22,13 @@ an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, join_hot, materialize
+from .common import BROADCAST_ROWS, join_hot, materialize, once
 
 #: Function -> field -> (types of schema_of_variant, required).
 Schema = dict[str, dict[str, tuple[str, bool]]]
@@ -61,7 +62,7 @@ def valid_arguments(name: Column, value: Column, schemas: Schema) -> Column:
 
 _NODE = ("conv_id", "call_id")
 #: Needs of a conversation up to which it is solved as one row; longer ones go in rounds over all of them.
-SHORT = 16
+SHORT = 1024
 #: Rounds of moved steps that are kept as they are before they are folded into one table.
 _FOLD = 8
 
@@ -178,45 +179,92 @@ def _settle(nodes: DataFrame, edges: DataFrame, max_rounds: int | None) -> DataF
     return latest(known).drop("result_turn")
 
 
+def _sweep(n: Column, old: Column, value: Callable, up: bool) -> Column:
+    """``value(i, at)`` of every number below n, upward or downward; ``at`` gives what this sweep has found so far, else what was before."""
+
+    def at(done: Column, i: Column) -> Callable[[Column], Column]:
+        if up:
+            return lambda s: F.when(s < i, F.get(done, s)).otherwise(F.get(old, s))
+        return lambda s: F.when(s > i, F.get(done, n - 1 - s)).otherwise(F.get(old, s))
+
+    numbers = F.sequence(F.lit(0), n - 1) if up else F.sequence(n - 1, F.lit(0))
+    out = F.aggregate(numbers, F.slice(old, 1, 0), lambda done, i: F.concat(done, F.array(value(i, at(done, i)))))
+    return out if up else F.reverse(out)
+
+
+def _fixed(n: Column, start: Column, value: Callable) -> Column:
+    """The array that sweeps change no more: as many as the longest way turns round, not as it has steps."""
+
+    def swept(s: Column, _: Column) -> Column:
+        both = once(_sweep(n, s["now"], value, True), lambda a: once(_sweep(n, a, value, False), lambda b: F.struct(b.alias("now"), (b != a).alias("moved"))))
+        return F.when(s["moved"], both).otherwise(s)
+
+    return F.aggregate(F.sequence(F.lit(0), n), F.struct(start.alias("now"), F.lit(True).alias("moved")), swept)["now"]
+
+
+def _named(n: Column, nodes: Column, between: Column) -> Column:
+    """For every call the name of its cycle (or of itself, if it is alone in it), -1 if it isn't ``between`` cycles: the greatest number that reaches a call
+    is its colour, and what leads back to that number within the colour is its cycle; what is left goes on. Logs run forward, so mostly once."""
+    open_ = F.lit(-2)
+
+    def told(names: Column, _: Column) -> Column:
+        is_open = lambda i: F.get(names, i) == open_
+        greatest = lambda i, at: F.when(is_open(i), F.array_max(F.concat(F.array(i), F.transform(F.get(nodes, i)["needs"], at)))).otherwise(F.lit(-1))
+
+        def back(colour: Column) -> Column:
+            start = F.transform(colour, lambda c, i: c == i)
+            leads = lambda i, at: (F.get(colour, i) == i) | (is_open(i) & F.exists(F.get(nodes, i)["users"], lambda u: (F.get(colour, u) == F.get(colour, i)) & at(u)))
+            return once(_fixed(n, start, leads), lambda held: F.transform(names, lambda name, i: F.when(F.get(held, i), F.get(colour, i)).otherwise(name)))
+
+        colours = _fixed(n, F.transform(names, lambda name, i: F.when(name == open_, i).otherwise(F.lit(-1))), greatest)
+        return F.when(F.exists(names, lambda name: name == open_), once(colours, back)).otherwise(names)
+
+    start = F.transform(between, lambda c: F.when(c, open_).otherwise(F.lit(-1)))
+    return F.when(F.exists(between, lambda c: c), F.aggregate(F.sequence(F.lit(1), n), start, told)).otherwise(start)
+
+
+def _solved(nodes: Column) -> Column:
+    """Array of (call, step, depth, cyclic, blocked) of one conversation's calls, sorted by turn; ``needs`` and ``users`` are numbers in that order."""
+    of = lambda i: F.get(nodes, i)
+    n = F.size(nodes)
+    all_ = F.transform(nodes, lambda _: F.lit(True))
+    after = _fixed(n, all_, lambda i, at: F.exists(of(i)["needs"], at))  # reached from a cycle
+    before = _fixed(n, all_, lambda i, at: F.exists(of(i)["users"], at))
+
+    def ready(u: Column, result: Column) -> Column:
+        later = F.coalesce(result > u["step"], F.lit(False))
+        return F.struct(F.when(later, result).otherwise(u["step"]).alias("step"), F.when(later, F.lit(0).cast("long")).otherwise(u["depth"] + 1).alias("depth"))
+
+    def placed(reached: Column, names: Column) -> Column:
+        joint = lambda i, s: (F.get(names, i) >= 0) & (F.get(names, i) == F.get(names, s))
+        own = lambda x: F.struct(x["turn"].alias("step"), F.lit(0).cast("long").alias("depth"))
+        due = lambda i, at: F.transform(F.filter(of(i)["needs"], lambda s: ~joint(i, s)), lambda s: once(at(s), lambda u: ready(u, of(s)["result_turn"])))
+        steps = _fixed(n, F.transform(nodes, own), lambda i, at: F.array_max(F.concat(F.array(own(of(i))), due(i, at))))
+
+        def shown(u: Column, i: Column) -> Column:
+            cyclic = F.exists(of(i)["needs"], lambda s: joint(i, s))
+            return F.struct(of(i)["call"].alias("call_id"), u["step"].alias("step"), u["depth"].alias("depth"), cyclic.alias("cyclic"), (F.get(reached, i) & ~cyclic).alias("blocked"))
+
+        return F.transform(steps, shown)
+
+    with_names = lambda a: once(once(before, lambda b: _named(n, nodes, F.transform(a, lambda x, i: x & F.get(b, i)))), lambda names: placed(a, names))
+    return once(after, with_names)
+
+
 def _solve(edges: DataFrame) -> DataFrame:
-    """(conv_id, call_id, step, depth, cyclic, blocked) of the calls at the ends of edges, in conversations of ``SHORT`` edges at most: each is a row of
-    two short arrays, and all is array functions over them."""
-    call = lambda end: F.struct(F.col(end).alias("call"), F.col(f"{end}_turn").alias("turn"), F.col(f"{end}_result").alias("result_turn"))
+    """(conv_id, call_id, step, depth, cyclic, blocked) of the calls at the ends of edges, in conversations of ``SHORT`` edges at most: each is a row, and
+    all is array functions over it."""
+    end = lambda name, asks: F.struct(F.lit(asks).alias("asks"), F.col(name).alias("call"), F.col(f"{name}_turn").alias("turn"), F.col(f"{name}_result").alias("result_turn"))
     # as many tasks as a shuffle has, however few bytes there are: it's the functions that take time
     tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = edges.repartition(tasks, "conv_id").groupBy("conv_id").agg(F.collect_set(F.struct("src", "dst")).alias("e"), F.array_distinct(F.concat(F.collect_set(call("src")), F.collect_set(call("dst")))).alias("nodes"))
-
-    def longer(pairs: Column) -> Column:
-        return F.flatten(F.transform(pairs, lambda x: F.transform(F.filter(pairs, lambda y: y["src"] == x["dst"]), lambda y: F.struct(x["src"].alias("src"), y["dst"].alias("dst")))))
-
-    # SHORT edges make paths of SHORT steps at most, which as many doublings as its length in bits reach
-    rows = rows.withColumn("reach", F.aggregate(F.sequence(F.lit(1), F.lit(SHORT.bit_length())), F.col("e"), lambda r, _: F.array_distinct(F.concat(r, longer(r)))))
-    rows = rows.withColumn("cyclic", F.transform(F.filter("reach", lambda r: r["src"] == r["dst"]), lambda r: r["src"]))
-    rows = rows.withColumn("blocked", F.array_except(F.transform(F.filter("reach", lambda r: F.array_contains("cyclic", r["src"])), lambda r: r["dst"]), F.col("cyclic")))
-    apart = lambda x: (x["src"] != x["dst"]) & ~F.array_contains("reach", F.struct(x["dst"].alias("src"), x["src"].alias("dst")))
-    rows = rows.withColumn("e", F.filter("e", apart))
-
-    def placed(v: Column, step: Column, depth: Column) -> Column:
-        return F.struct(v["call"].alias("call"), step.alias("step"), depth.alias("depth"), v["result_turn"].alias("result_turn"))
-
-    def ready(u: Column) -> Column:
-        later = F.coalesce(u["result_turn"] > u["step"], F.lit(False))
-        return F.struct(F.when(later, u["result_turn"]).otherwise(u["step"]).alias("step"), F.when(later, F.lit(0).cast("long")).otherwise(u["depth"] + 1).alias("depth"))
-
-    def relaxed(state: Column, _: Column) -> Column:
-        def one(v: Column) -> Column:
-            needs = F.filter("e", lambda x: x["dst"] == v["call"])
-            due = F.transform(needs, lambda x: ready(F.filter(state, lambda u: u["call"] == x["src"])[0]))
-            best = F.array_max(F.concat(F.array(F.struct(v["step"].alias("step"), v["depth"].alias("depth"))), due))
-            return placed(v, best["step"], best["depth"])
-
-        return F.transform(state, one)
-
-    start = F.transform("nodes", lambda v: placed(v, v["turn"], F.lit(0).cast("long")))
-    rounds = F.sequence(F.lit(1), F.greatest(F.size("e"), F.lit(1)))
-    rows = rows.withColumn("state", F.when(F.size("e") > 0, F.aggregate(rounds, start, relaxed)).otherwise(start))
-    rows = rows.select("conv_id", "cyclic", "blocked", F.explode("state").alias("v"))
-    return materialize(rows.select("conv_id", F.col("v.call").alias("call_id"), "v.step", "v.depth", F.array_contains("cyclic", F.col("v.call")).alias("cyclic"), F.array_contains("blocked", F.col("v.call")).alias("blocked")), "short")
+    ends = edges.repartition(tasks, "conv_id").select("conv_id", "src", "dst", F.explode(F.array(end("src", False), end("dst", True))).alias("e")).select("conv_id", "src", "dst", "e.*")
+    ends = ends.withColumn("i", F.dense_rank().over(Window.partitionBy("conv_id").orderBy("turn", "call")) - 1)
+    ends = ends.withColumn("other", (F.sum("i").over(Window.partitionBy("conv_id", "src", "dst")) - F.col("i")).cast("int"))
+    linked = [F.collect_list(F.when(F.col("asks"), F.col("other"))).alias("needs"), F.collect_list(F.when(~F.col("asks"), F.col("other"))).alias("users")]
+    nodes = ends.groupBy("conv_id", "i").agg(*(F.first(c).alias(c) for c in ("call", "turn", "result_turn")), *linked)
+    nodes = nodes.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("i", "call", "turn", "result_turn", "needs", "users"))).alias("nodes"))
+    rows = materialize(nodes, "nodes").repartition(tasks).select("conv_id", F.explode(_solved(F.col("nodes"))).alias("v"))
+    return materialize(rows.select("conv_id", "v.*"), "short")
 
 
 def _solve_long(nodes: DataFrame, edges: DataFrame, max_rounds: int | None) -> DataFrame:

@@ -92,3 +92,16 @@ def test_empty_calls_and_results(spark, way):
     rows = tool_calls.link(none, spark.createDataFrame([(1, "a", 2, "r")], RESULTS), tool_calls.CHAT_SCHEMA).collect()
     assert [(r["status"], r["step"], r["valid"], r["blocked"]) for r in rows] == [("orphan", 2, None, False)]
     assert [r["status"] for r in tool_calls.link(spark.createDataFrame([(*ask(1, "a", 2), 0, 0)], CALLS), nothing, tool_calls.CHAT_SCHEMA).collect()] == ["unanswered"]
+
+
+def test_long_conversations_take_few_jobs(spark):
+    # a chain of 300 calls backward, one forward through cycles of two, and one at random
+    draw = random.Random(3)
+    calls = [ask(1, f"c{i}", i, f"c{i + 1}") for i in range(300)]
+    calls += [ask(2, f"c{i}", i, f"c{i - 1}", *([f"c{i + 1}"] if i % 5 == 1 else [])) for i in range(300)]
+    calls += [ask(3, f"c{i}", draw.randrange(50), *{f"c{draw.randrange(120)}" for _ in range(draw.randrange(3))}) for i in range(120)]
+    spark.sparkContext.setJobGroup("long", "long conversations")
+    check(spark, calls, [(c, f"c{i}", draw.randrange(300), "r") for c in (1, 2, 3) for i in range(0, 120, 3)])
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("long"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs < 100
