@@ -16,6 +16,8 @@ from ..sources.scratch import materialize
 #: Centroids that may go out to all tasks, and their numbers that may stand in a plan as literals.
 MAX_CENTROIDS = 4096
 LITERAL_NUMBERS = 4096
+#: Terms of a few bytes each that may go out to all tasks, counted first.
+MAX_SENT_TERMS = 1_000_000
 #: Rows of a block of density clustering; a task holds two blocks.
 DENSITY_BLOCK = 4096
 #: Words that tags leave out.
@@ -342,15 +344,30 @@ def tags(docs: DataFrame, n_keywords: int = 5, max_features: int = 100, max_df:
     rows = docs.select(F.col("label").cast("long").alias("label"), F.monotonically_increasing_id().alias("__row") if "id" not in docs.columns else F.col("id").alias("__row"), F.lower("text").alias("t"))
     words = F.filter(F.regexp_extract_all("t", F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(list(stop_words)))
     rows = rows.withColumn("w", words)
-    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    tf = rows.where("label >= 0").select("label", "__row", F.explode(F.concat("w", pairs)).alias("term")).groupBy("label", "__row", "term").agg(F.count("*").alias("tf"))
     n = rows.groupBy("label").agg(F.count("*").alias("n"))
+    rows = rows.where("label >= 0")
+    # no term that stays is rarer than the max_features-th word of those in few enough rows, and no pair is more frequent than its words: only
+    # counts of words, then of frequent words and pairs of them, are shuffled
+    each = F.concat(F.transform("w", lambda t: F.struct(t.alias("term"), F.lit(1).alias("total"), F.lit(0).alias("df"))), F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("total"), F.lit(1).alias("df"))))
+    single = materialize(rows.select("label", F.explode(each).alias("e")).groupBy("label", "e.term").agg(F.sum("e.total").alias("total"), F.sum("e.df").alias("df")), "words")
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("total")))
+    least = single.join(n, "label").where(F.col("df") <= F.col("n") * max_df).withColumn("__r", place).where(F.col("__r") == max_features).select("label", F.col("total").alias("least"))
+    common = materialize(single.join(least, "label", "left").where(F.col("total") >= F.coalesce("least", F.lit(0))).select("label", "term"), "common")
+    # each word with the next; of a frequent one remain itself and its pair, if the next is frequent too
+    found = rows.select("label", "__row", F.explode(F.transform("w", lambda x, i: F.struct(x.alias("a"), F.get("w", i + 1).alias("b")))).alias("e")).select("label", "__row", "e.*")
+    if common.count() <= MAX_SENT_TERMS:
+        found = found.join(F.broadcast(common.withColumnRenamed("term", "a")), ["label", "a"])
+        found = found.join(F.broadcast(common.select("label", F.col("term").alias("b"), F.lit(True).alias("__pair"))), ["label", "b"], "left")
+    else:
+        found = found.withColumn("__pair", F.col("b").isNotNull())
+    terms = F.when(F.col("__pair"), F.array("a", F.concat_ws(" ", "a", "b"))).otherwise(F.array("a"))
+    tf = materialize(found.select("label", "__row", F.explode(terms).alias("term")).groupBy("label", "__row", "term").agg(F.count("*").alias("tf")), "tf")
     df = tf.groupBy("label", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).join(n, "label").where(F.col("df") <= F.col("n") * max_df)
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("total"), "term"))
     vocabulary = df.withColumn("__r", rank).where(F.col("__r") <= max_features).select("label", "term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = tf.join(F.broadcast(vocabulary) if max_features <= 1000 else vocabulary, ["label", "term"]).withColumn("x", F.col("tf") * F.col("idf"))
-    norms = weighted.groupBy("label", "__row").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    scores = weighted.join(norms, ["label", "__row"]).groupBy("label", "term").agg(F.round(F.sum(F.col("x") / F.col("norm")), 6).alias("score"))
+    weighted = tf.where("__row is not null").join(F.broadcast(vocabulary) if max_features <= 1000 else vocabulary, ["label", "term"]).withColumn("x", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("label", "__row")))
+    scores = weighted.withColumn("norm", norm).groupBy("label", "term").agg(F.round(F.sum(F.col("x") / F.col("norm")), 6).alias("score"))
     best = scores.withColumn("__r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), F.desc("term")))).where(F.col("__r") <= n_keywords)
     joined = best.groupBy("label").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__r", "term"))), lambda s: s["term"]), ", ").alias("tags"))
     named = F.when(F.col("label") < 0, F.lit("outliers")).otherwise(F.coalesce("tags", F.concat(F.lit("cluster_"), F.col("label").cast("string"))))

@@ -786,6 +786,7 @@ def tfidf_keywords(spark, sf):
 
     docs = documents(spark, sf)
     labels = docs.select(F.col("lang").alias("l")).distinct().withColumn("label", F.row_number().over(Window.orderBy(F.col("l").asc_nulls_last())).cast("long") - 1)
+    labels = F.broadcast(labels) if labels.count() <= cluster.MAX_SENT_TERMS else labels  # else every pass would shuffle the texts
     return cluster.tags(docs.join(labels, F.col("lang").eqNullSafe(F.col("l"))).drop("l"))
 
 

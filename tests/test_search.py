@@ -98,3 +98,17 @@ def test_inverted_file_recall(spark):
         near = {r["id"] for r in knn.search(rows, points[q], 5).collect()}
         hits += len(near & {r["id"] for r in index.search(celled, points[q], 5, probes=6).collect()})
     assert hits >= 0.9 * 25
+
+
+def test_tags_shuffle_counts_of_frequent_terms_only(spark, monkeypatch):
+    # each row holds 40 words of its own; repeated and missing ids and few words besides
+    texts = [(i % 50 if i % 7 else None, i % 3 - 1, " ".join([f"w{i * j % 13}" for j in range(i % 9)] + [f"own{i}x{j}" for j in range(40)])) for i in range(120)]
+    rows = spark.createDataFrame(texts + [(900, 5, "a"), (901, 5, None), (902, 7, "alone here")], "id long, label long, text string")
+    kept, write = {}, cluster.materialize
+    monkeypatch.setattr(cluster, "materialize", lambda df, label: kept.setdefault(label, write(df, label)))
+    few = {r["label"]: r["tags"] for r in cluster.tags(rows, 3, 4).collect()}
+    assert kept["tf"].where("label < 5 and term like '%own%'").isEmpty()
+    monkeypatch.setattr(cluster, "MAX_SENT_TERMS", -1)  # all terms are counted
+    kept.clear()
+    assert few == {r["label"]: r["tags"] for r in cluster.tags(rows, 3, 4).collect()} and not kept["tf"].where("label < 5 and term like '%own%'").isEmpty()
+    assert few[-1] == "outliers" and few[5] == "cluster_5"
