@@ -34,7 +34,7 @@ THRESHOLD = 3
 BLOCK = 8192
 #: Groups up to this size are compared pair by pair, all groups of a batch at once.
 _SMALL = 12
-_BLOCK_BYTES = 4 << 20
+_BLOCK_BYTES = 1 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
