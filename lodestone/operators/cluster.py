@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,7 @@ MAX_CENTROIDS = 4096
 LITERAL_NUMBERS = 4096
 #: Terms of a few bytes each that may go out to all tasks, counted first.
 MAX_SENT_TERMS = 1_000_000
-#: Rows of a block of density clustering; a task holds two blocks.
+#: Most vectors of a block of density clustering; a task holds two blocks.
 DENSITY_BLOCK = 4096
 #: Words that tags leave out.
 STOP_WORDS = """a about above after again all also am an and any are as at be because been before being below between both but by can could did do
@@ -252,53 +252,13 @@ def tree_labels(n: int, edges: Iterable[tuple[float, int, int]], min_cluster_siz
 
 
 def hdbscan(docs: DataFrame, min_cluster_size: int = 5, block_rows: int = DENSITY_BLOCK) -> DataFrame:
-    """(id, label) of every row with a vector, exactly. Quadratic by nature: rows are dealt into blocks by hash and each pair of blocks is a
-    group of its own, first for the core distances, then for the spanning tree of its links. The trees of all pairs hold
-    that of the whole; one task merges them, in order of weight, and cuts the tree, with memory linear in the rows."""
-    rows = docs.where(F.col("embedding").isNotNull()).select(F.col("id").cast("long").alias("id"), V.doubles(F.col("embedding")).alias("v"))
-    rows = materialize(rows.orderBy("id").withColumn("n", F.monotonically_increasing_id()), "points")
-    total = rows.count()
-    if total < max(2, min_cluster_size):
-        return rows.select("id", F.lit(-1).alias("label"))
-    blocks = -(-total // block_rows)
-    numbers = F.sequence(F.lit(0), F.lit(blocks - 1))
-    pairs = F.transform(numbers, lambda x: F.struct(F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j")))
-
-    def dealt(points: DataFrame) -> DataFrame:
-        spread = points.withColumn("block", F.pmod(F.xxhash64("n"), F.lit(blocks)).cast("int")).withColumn("p", F.explode(pairs))
-        return spread.select("n", "v", "block", *(["core"] if "core" in points.columns else []), "p.i", "p.j").repartition(blocks * (blocks + 1) // 2, "i", "j").groupBy("i", "j")
-
-    def measure(group: pd.DataFrame) -> pd.DataFrame:
-        points, block = np.stack(group["v"].to_numpy()), group["block"].to_numpy()
-        if group["i"].iloc[0] == group["j"].iloc[0]:
-            sides = [(block == block, block == block)]
-        else:
-            sides = [(block == group["i"].iloc[0], block == group["j"].iloc[0]), (block == group["j"].iloc[0], block == group["i"].iloc[0])]
-        found = [(group["n"].to_numpy()[a], list(nearest_distances(points[a], points[b], min_cluster_size))) for a, b in sides if b.any()]
-        return pd.DataFrame({"n": np.concatenate([n for n, _ in found]), "near": [d for _, ds in found for d in ds]}) if found else pd.DataFrame({"n": [], "near": []})
-
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("n")
-        n, block = group["n"].to_numpy(), group["block"].to_numpy()
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
-        if i != j and len(np.unique(block)) < 2:
-            return pd.DataFrame({"w": [], "a": [], "b": []})
-        w, a, b = spanning_tree(np.stack(group["v"].to_numpy()), group["core"].to_numpy(), None if i == j else (block == j).astype(int))
-        return pd.DataFrame({"w": w, "a": n[a], "b": n[b]})
-
-    def label(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[int, int] = {}
-        number = lambda n: seen.setdefault(n, len(seen))
-        edges = ((w, number(a), number(b)) for part in parts for w, a, b in zip(part["w"].tolist(), part["a"].tolist(), part["b"].tolist()))
-        labels = tree_labels(total, edges, min_cluster_size)
-        yield pd.DataFrame({"n": np.fromiter(seen, np.int64, total), "label": labels.astype(np.int32)})
-
-    near = dealt(rows).applyInPandas(measure, "n long, near array<double>")
-    core = near.groupBy("n").agg(F.element_at(F.sort_array(F.flatten(F.collect_list("near"))), min_cluster_size).alias("core"))
-    points = materialize(rows.join(core, "n"), "core")
-    tree = materialize(dealt(points).applyInPandas(join, "w double, a long, b long"), "tree")
-    labels = tree.repartition(1).sortWithinPartitions("w", "a", "b").mapInPandas(label, "n long, label int")
-    return rows.select("n", "id").join(materialize(labels, "labels"), "n").select("id", "label")
+    """(id, label) of every row with a vector, exactly. Quadratic by nature in time: each block of rows meets each other. Memory and disk are linear
+    in the rows; one task merges the links and cuts the tree. Vectors with components that are null or not finite are noise."""
+    from .density import density
+
+    single = docs.schema["embedding"].dataType.simpleString() == "array<float>"
+    v = F.col("embedding") if single else V.doubles(F.col("embedding"))
+    return density(docs.where(F.col("embedding").isNotNull()).select(F.col("id").cast("long").alias("id"), v.alias("v")), min_cluster_size, block_rows)
 
 
 def inertia(docs: DataFrame, centroids: DataFrame) -> DataFrame:

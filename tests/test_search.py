@@ -87,6 +87,33 @@ def test_density_clusters_label_every_row(spark):
     assert cluster.hdbscan(many).count() == 10_050
 
 
+def test_density_clusters_shuffle_no_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(rng.normal(size=(600, 16)))], "id long, embedding array<double>")
+
+    def shuffled():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = shuffled()
+    assert cluster.hdbscan(rows, 5, 20).count() == 600
+    assert shuffled() - before < 600 * 16 * 8  # each vector once for each of 30 blocks, twice over, would be 60 times that
+
+
+def test_density_clusters_of_ties_copies_and_islands(spark):
+    rng = np.random.default_rng(5)
+    copies = np.concatenate([np.ones((90, 2)), np.zeros((3, 2)), np.repeat(rng.normal(3, 0.2, (30, 2)), 3, 0)])
+    islands = np.concatenate([rng.normal(c, 0.05, (30, 2)) for c in rng.uniform(-900, 900, (8, 2))])
+    for points in (copies, islands, rng.integers(0, 10, (300, 2)).astype(float)):
+        rows = [(i, p.tolist()) for i, p in enumerate(points)] + [(None, [1.0, 1.0])]  # null comes first
+        odd = [(900, [float("nan"), 0.0]), (901, [float("inf"), 0.0]), (902, [None, 0.0]), (903, None)]
+        docs = spark.createDataFrame([(rows + odd)[i] for i in rng.permutation(len(rows + odd))], "id long, embedding array<double>")
+        found = {r["id"]: r["label"] for r in cluster.hdbscan(docs, 4, 25).collect()}
+        want = cluster.density_labels(np.concatenate([[[1.0, 1.0]], points]), 4).tolist()
+        assert [found.pop(i) for i in [None, *range(len(points))]] == want and found == {900: -1, 901: -1, 902: -1}
+
+
 def test_inverted_file_recall(spark):
     rng = np.random.default_rng(2)
     points = rng.normal(size=(400, 8))
